@@ -31,6 +31,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32_000_000
 #: Groups of equal payloads up to which their table (some 100 bytes a group) is broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 200_000
+#: Tasks that read archives, at most.
+READERS = 20_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the formats.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -226,7 +228,8 @@ def write_archives(pages: DataFrame, out_dir: str, revisit_bytes: int = REVISIT_
 
 def read_archives(spark: SparkSession, out_dir: str) -> DataFrame:
     """Per record of the archives below ``out_dir``: page_id, payload_bytes, payload_digest, record_type, refers_to, url, archive."""
-    names = spark.read.parquet(f"{out_dir}/manifest").select("archive").repartition("archive")
+    names = spark.read.parquet(f"{out_dir}/manifest").select("archive")
+    names = names.repartition(max(1, min(names.count(), READERS)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = common.file_system(out_dir)
