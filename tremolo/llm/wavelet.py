@@ -8,6 +8,7 @@ select read a few blocks of one file, and a full decode reads each block once.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -27,9 +28,11 @@ MAGIC = b"TWM1"
 BLOCK_BITS = 1 << 19
 #: Ids of a shard, but for a longer single document; a writer holds about 20 bytes an id.
 SHARD_TOKENS = 4_000_000
-#: Chunks of text whose ids a worker remembers at a time.
-CACHE_WORDS = 400_000
+#: Chunks and words whose ids a worker remembers at a time (some 200 bytes each).
+CACHE_WORDS = 800_000
 LONG_WORD = 64
+#: Tasks that read shards, at most.
+READERS = 20_000
 
 MANIFEST = "shard string, part int, seq int, n_docs long, n_tokens long, n_bytes long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
@@ -56,9 +59,9 @@ class WaveletMatrix:
             counts = np.array([int(np.bitwise_count(c).sum()) for c in cuts], dtype=np.int64)
             ranks.append(np.concatenate(([0], np.cumsum(counts))).astype(np.int64))
             blocks.append([pack.compress(c.tobytes()) for c in cuts])
-            low = current[~ones]
+            low = np.compress(~ones, current)
             zeros.append(int(low.size))
-            current = np.concatenate((low, current[ones]))
+            current = np.concatenate((low, np.compress(ones, current)))
         return cls(int(values.size), levels, zeros, ranks, blocks)
 
     def _block(self, level: int, k: int) -> np.ndarray:
@@ -135,8 +138,8 @@ class WaveletMatrix:
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
             z = self.zeros[level]
-            above[~ones] = values[:z]
-            above[ones] = values[z:] | kind(1 << (self.levels - 1 - level))
+            above[np.flatnonzero(~ones)] = values[:z]
+            above[np.flatnonzero(ones)] = values[z:] | kind(1 << (self.levels - 1 - level))
             values = above
         return values
 
@@ -176,46 +179,71 @@ def open_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     return WaveletMatrix(head["n"], head["levels"], head["zeros"], list(ranks), blocks), ids, np.frombuffer(docs, "<i8", k, 8 * k)
 
 
+class Remembered(dict):
+    """The ids of pieces of text, made when first asked for; forgets all when it holds too many."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(piece) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class WordEncoder:
-    """The library's ids of whole texts, with the ids of frequent white-space-delimited chunks remembered.
+    """The library's ids of whole texts, with the ids of frequent words remembered.
 
     The tokenizer's normaliser and splitter never join what white space separates, so a text's ids are those of its chunks in
-    order. Texts that hold a special token's string, or separators that Python and the tokenizer judge differently, are given
-    to the library whole.
+    order. A chunk of Latin letters and then punctuation is split between the two, and the letters, in lower case and in the
+    byte alphabet, are given to the library's model; other chunks to the whole library. Texts that hold a special token's string,
+    or separators that Python and the tokenizer judge differently, are given to the library whole.
     """
 
     ODD = re.compile("[\x1c-\x1f]")
+    #: Letters that stand alone under NFC and have one lower case; then punctuation that begins no contraction.
+    PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-_{-~]*)")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.levels = max(1, (size - 1).bit_length())
         self.kind = np.dtype("<u2" if self.levels <= 16 else "<u4")
+        self.code = "H" if self.levels <= 16 else "I"
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
+        self.words = Remembered(self._word, CACHE_WORDS // 2)
+        self.rest = Remembered(lambda x: self._library([x])[0], CACHE_WORDS // 10)
+        self.chunks = Remembered(self._chunk, CACHE_WORDS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, letters: str) -> bytes:
+        known = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(known)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        plain = self.PLAIN.fullmatch(chunk)
+        if plain is None:
+            return self.rest[chunk]
+        return self.words[plain[1].lower()] + (self.rest[plain[2]] if plain[2] else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``kind``."""
-        whole = [bool(self.ODD.search(t)) or any(s in t for s in self.special) for t in texts]
-        chunks = [None if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        new = list({c for cs in chunks if cs is not None for c in cs if c not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list({c for cs in chunks if cs is not None for c in cs})
-        got = dict(zip(new, self._library(new), strict=True)) if new else {}
-        long = {c: got.pop(c) for c in [c for c in got if len(c) > LONG_WORD]}
-        self.known.update(got)
-        find = self.known.__getitem__ if not long else lambda c: long.get(c) or self.known[c]
-        out = [b"" if cs is None else b"".join(map(find, cs)) for cs in chunks]
-        if any(whole):
-            for i, ids in zip([i for i, w in enumerate(whole) if w], self._library([t for t, w in zip(texts, whole, strict=True) if w]), strict=True):
-                out[i] = ids
-        return out
+        find = self.chunks.__getitem__
+        return [self._library([t])[0] if self.ODD.search(t) or any(s in t for s in self.special) else b"".join(map(find, t.split())) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -272,7 +300,8 @@ def read_shards(spark: SparkSession, out_dir: str) -> DataFrame:
     manifest = spark.read.parquet(f"{out_dir}/manifest")
     # a row a shard of millions of ids: the one ordered pass over them is small at any size
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")).repartition("shard")
+    starts = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    starts = starts.repartition(max(1, min(manifest.count(), READERS)))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = common.file_system(out_dir)
