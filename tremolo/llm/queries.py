@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, quality, token_count, toxicity, warc_zip, wavelet
+from . import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, token_count, toxicity, warc_zip, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_licences": licences.op5_licences,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_warc": warc_zip.op8_warc,
