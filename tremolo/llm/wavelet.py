@@ -28,8 +28,8 @@ MAGIC = b"TWM1"
 BLOCK_BITS = 1 << 19
 #: Ids of a shard, but for a longer single document; a writer holds about 20 bytes an id.
 SHARD_TOKENS = 4_000_000
-#: Chunks and words whose ids a worker remembers at a time (some 200 bytes each).
-CACHE_WORDS = 800_000
+#: Chunks of text whose ids a worker remembers at a time (some 200 bytes each).
+CACHE_WORDS = 750_000
 LONG_WORD = 64
 #: Tasks that read shards, at most.
 READERS = 20_000
@@ -208,6 +208,9 @@ class WordEncoder:
     #: Letters that stand alone under NFC and have one lower case; then punctuation that begins no contraction.
     PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-_{-~]*)")
 
+    #: Beyond these characters, lower case may depend on what stands around.
+    BEYOND = re.compile("[^\x00-\u012F\u0131-\u024F]")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -222,7 +225,6 @@ class WordEncoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
-        self.words = Remembered(self._word, CACHE_WORDS // 2)
         self.rest = Remembered(lambda x: self._library([x])[0], CACHE_WORDS // 10)
         self.chunks = Remembered(self._chunk, CACHE_WORDS)
 
@@ -238,12 +240,18 @@ class WordEncoder:
         plain = self.PLAIN.fullmatch(chunk)
         if plain is None:
             return self.rest[chunk]
-        return self.words[plain[1].lower()] + (self.rest[plain[2]] if plain[2] else b"")
+        letters = plain[1].lower()
+        return self.chunks[letters] + self.rest[plain[2]] if plain[2] else self._word(letters)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``kind``."""
-        find = self.chunks.__getitem__
-        return [self._library([t])[0] if self.ODD.search(t) or any(s in t for s in self.special) else b"".join(map(find, t.split())) for t in texts]
+        find, out = self.chunks.__getitem__, []
+        for text in texts:
+            if self.ODD.search(text) or any(s in text for s in self.special):
+                out.append(self._library([text])[0])
+            else:
+                out.append(b"".join(map(find, (text if self.BEYOND.search(text) else text.lower()).split())))
+        return out
 
 
 @lru_cache(maxsize=2)
