@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +45,44 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tremolo/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Tables that the operator at work has written, and whether its result still reads them.
+_written: ContextVar[list[tuple[str, bool]] | None] = ContextVar("written", default=None)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write the table to the shared folder and read it back, so a lost executor costs no earlier stage.
+
+    Unlike a checkpoint, the table read has the size of its files, not a product of the sizes of all that went into it, by which
+    later joins are planned. ``keep``: the result reads it; others go when the operator (see ``tidy``) is done.
+    """
+    where = work_dir(df.sparkSession, "cut")
+    df.write.parquet(where)
+    if (written := _written.get()) is not None:
+        written.append((where, keep))
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def tidy(operator):
+    """An operator whose tables are deleted when it returns, but for those that its result reads."""
+
+    @wraps(operator)
+    def run(*args, **kwargs):
+        token = _written.set(written := [])
+        done = False
+        try:
+            result = operator(*args, **kwargs)
+            done = True
+            return result
+        finally:
+            _written.reset(token)
+            gone = [where for where, keep in written if not (keep and done)]
+            if gone and (spark := SparkSession.getActiveSession()) is not None:
+                conf = spark.sparkContext._jsc.hadoopConfiguration()
+                for where in gone:
+                    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+                    path.getFileSystem(conf).delete(path, True)
+
+    return run
 
 
 def file_system(where: str) -> tuple[pafs.FileSystem, str]:

@@ -141,6 +141,7 @@ class Matcher:
         return best[1], best[0], "header" if best[1] else None, len(notices)
 
 
+@common.tidy
 def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Per row of ``files`` (doc_id, path, text, any more): doc_id, path, licence, cosine, kind, n_notices, licence_dir.
 
@@ -158,7 +159,7 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
             frame["doc_id"], frame["path"] = batch["doc_id"].astype("Int64"), batch["path"]
             yield frame
 
-    found = common.cut(rows.mapInPandas(scan, FOUND).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")))
+    found = common.cut(rows.mapInPandas(scan, FOUND).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), keep=True)
     licensed = found.where("kind = 'file'").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("a"), F.col("licence").alias("b"), F.col("path").alias("c"))).alias("best"))
     licensed = common.cut(licensed.select(F.col("dir").alias("licence_dir"), F.col("best.b").alias("of"), (-F.col("best.a")).alias("near")))
     # each directory's ancestors, itself too, from the root down
@@ -167,7 +168,7 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     dirs = found.select("dir").distinct().select("dir", F.explode(F.array_distinct(above)).alias("licence_dir"))
     licensed = F.broadcast(licensed) if licensed.count() <= BROADCAST_DIRS else licensed
     nearest = dirs.join(licensed, "licence_dir").groupBy("dir").agg(F.max_by(F.struct("licence_dir", "of", "near"), F.length("licence_dir")).alias("up"))
-    nearest = common.cut(nearest)
+    nearest = common.cut(nearest, keep=True)
     nearest = F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRS else nearest
     joined = found.join(nearest, "dir", "left")
     own = F.col("licence").isNotNull()

@@ -16,6 +16,8 @@ CAP = 3
 SEED = "mix-1"
 #: Sources up to which their table is broadcast (a row each, some 100 bytes); more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Columns that mix() makes.
+MADE = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(column: str = "text") -> F.Column:
@@ -55,20 +57,20 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, c
     Null texts have size 0, as have empty ones; a source of size 0 gets target 0 and no copies. A null source is one source, the
     last. Repeated rows of a doc_id draw the same number. Columns of these names in ``docs`` are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("size", word_count())
+    docs = docs.drop(*MADE).withColumn("size", word_count())
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sizes = common.cut(targets(sizes, weights, cap)).withColumnRenamed("source", "of_source")
+    sizes = common.cut(targets(sizes, weights, cap), keep=True).withColumnRenamed("source", "of_source")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SOURCES else sizes
-    joined = docs.join(sizes, docs["source"].eqNullSafe(sizes["of_source"])).drop("of_source")
+    joined = docs.join(sizes, docs["source"].eqNullSafe(sizes["of_source"])).drop(sizes["of_source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + F.when(draw(seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
     return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    mixed = mix(docs, **how)
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[mixed[c] for c in docs.columns])
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs`` but those that mix() replaces."""
+    columns = [c for c in docs.columns if c not in MADE]
+    return mix(docs, **how).where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

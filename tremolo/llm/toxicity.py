@@ -76,6 +76,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, oth
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     few = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).union(known.where("toxic = 0").orderBy(*order).limit(other_rows))
     few = F.broadcast(common.cut(few).withColumnRenamed("doc_id", "of_doc"))
+    docs = docs.select("doc_id", "text")
     rows = docs.join(few, docs["doc_id"].cast("long") == few["of_doc"]).select(F.col("of_doc").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), common.text_of().alias("text"))
     other = swaps()
 
@@ -214,6 +215,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     return rows.mapInPandas(score, RESULT)
 
 
+@common.tidy
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, any more): doc_id, held_out, score, predicted, n_words.
 

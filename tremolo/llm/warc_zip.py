@@ -76,6 +76,9 @@ def directory(file: RangeFile) -> dict[str, Member]:
     tail_at = max(0, file.size - 65_557)
     tail = file.read(tail_at, file.size - tail_at)
     at = tail.rfind(END)
+    # the record's signature may also stand in the comment that ends the file
+    while at >= 0 and not (at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail)):
+        at = tail.rfind(END, 0, at + 3)
     if at < 0:
         raise ValueError("no end of central directory")
     count, size, start = struct.unpack_from("<HII", tail, at + 10)
@@ -186,6 +189,7 @@ def pack(records: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+@common.tidy
 def write_archives(pages: DataFrame, out_dir: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html, any more) into archives below ``out_dir``; their manifest.
 
