@@ -18,6 +18,8 @@ BLOCK_BYTES = 4096
 #: BLOCK_BYTES bytes (40 MB) are broadcast at any size.
 HOT_ROWS = 256
 HOT_SHARE = 10_000
+#: The right half of a pair that has none; no name is this.
+NO_NAME = -(1 << 63)
 
 
 def stripped(column: str = "text") -> F.Column:
@@ -27,8 +29,7 @@ def stripped(column: str = "text") -> F.Column:
 
 def _named(rows: DataFrame, keys: list[str], total: int, carry: list[str]) -> DataFrame:
     """``carry`` and a name that two rows share exactly if they are equal in all ``keys``."""
-    hot_keys = F.broadcast(rows.groupBy(F.xxhash64(*keys).alias("of")).count().where(F.col("count") > max(HOT_ROWS, total // HOT_SHARE)).select("of"))
-    hot_keys = common.cut(hot_keys)
+    hot_keys = common.cut(rows.groupBy(F.xxhash64(*keys).alias("of")).count().where(F.col("count") > max(HOT_ROWS, total // HOT_SHARE)).select("of"))
     cold, hot = rows, None
     if hot_keys.count():
         marked = rows.withColumn("of", F.xxhash64(*keys)).join(F.broadcast(hot_keys.withColumn("hot", F.lit(True))), "of", "left")
@@ -61,7 +62,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if not count:
             break
         half = lambda odd: F.max(F.when(F.col("pos") % 2 == odd, F.col("name")))
-        pairs = rest.groupBy("doc_id", "text_hash", ((F.col("n") + 1) / 2).cast("int").alias("n"), (F.col("pos") / 2).cast("int").alias("pos")).agg(half(0).alias("left"), half(1).alias("right"))
+        pairs = rest.groupBy("doc_id", "text_hash", ((F.col("n") + 1) / 2).cast("int").alias("n"), (F.col("pos") / 2).cast("int").alias("pos")).agg(half(0).alias("left"), F.coalesce(half(1), F.lit(NO_NAME)).alias("right"))
         named, level = _named(pairs, ["left", "right"], count, carry), level + 1
     out = done[0]
     for one in done[1:]:
@@ -69,6 +70,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return out
 
 
+@common.tidy
 def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document of ``docs`` (doc_id, text, any more): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -82,9 +84,9 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
     named = identities(docs, block_bytes).select("doc_id", "text_hash", F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("text_sha256"), F.lit(0).cast("long").alias("times"), "level", "name")
     both = seen.unionByName(named).groupBy("doc_id", "text_hash").agg(F.max("length").alias("length"), F.max("text_sha256").alias("text_sha256"), F.sum("times").alias("times"), F.max("level").alias("level"), F.max("name").alias("name"))
-    both = common.cut(both)
+    both = common.cut(both, keep=True)
     first = F.min(F.struct((-F.col("length")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("text_hash").alias("d")))
-    groups = common.cut(both.groupBy("level", "name").agg(first.alias("first"), F.sum("times").alias("group_size")))
+    groups = common.cut(both.groupBy("level", "name").agg(first.alias("first"), F.sum("times").alias("group_size")), keep=True)
     joined = both.join(groups, ["level", "name"])
     kept = F.col("doc_id").eqNullSafe(F.col("first.c")) & (F.col("text_hash") == F.col("first.d"))
     return joined.select("doc_id", F.col("first.c").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
