@@ -88,14 +88,8 @@ def byte_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(edges[a][0], edges[b - 1][1]) for a, b in runs]
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_words, n_hit, items (sorted ids), spans of hit passages (UTF-8 offsets).
-
-    Null texts, on either side, have no words. An empty benchmark hits nothing. Null item_ids are left out. Repeated documents
-    are scanned each; repeated items count once. A benchmark of more than ``block_chars`` characters is taken in blocks of that
-    size (one item at least), each with an automaton in workers of its own, which the documents pass one after the other.
-    """
-    common.bounded_batches(docs.sparkSession)
+def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str]]]:
+    """The items with their texts, in blocks of at most so many characters, or of one item."""
     tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks: list[list[tuple[str, str]]] = [[]]
     room = block_chars
@@ -105,6 +99,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
             room = block_chars
         blocks[-1].append((item.item_id, item.text))
         room -= len(item.text)
+    return blocks
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_words, n_hit, items (sorted ids), spans of hit passages (UTF-8 offsets).
+
+    Null texts, on either side, have no words. An empty benchmark hits nothing. Null item_ids are left out. Repeated documents
+    are scanned each; repeated items count once. A benchmark of more than ``block_chars`` characters is taken in blocks of that
+    size (one item at least), each with an automaton in workers of its own, which the documents pass one after the other.
+    """
+    common.bounded_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, block_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumns({"runs": F.lit(None).cast("array<array<long>>"), "items": F.lit(None).cast("array<string>")}) if len(blocks) > 1 else rows
     for k, block in enumerate(blocks):
@@ -150,6 +156,27 @@ def _scan(rows: DataFrame, items: list[tuple[str, str]], width: int, last: bool)
     return rows.mapInPandas(scan, RESULT if last else STEP)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, with its columns, in one scan; rows of any doc_ids."""
+    common.bounded_batches(docs.sparkSession)
+    rows, columns = docs, docs.columns
+    for block in _blocks(benchmark, block_chars):
+        rows = rows.where(~_hits(docs.sparkSession, block, width)(F.col("text").cast("string")))
+    return rows.select(*columns)
+
+
+def _hits(spark: SparkSession, block: list[tuple[str, str]], width: int):
+    """Whether any window of the block's items occurs in a text."""
+    sent = spark.sparkContext.broadcast((block, width))
+
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        windows = Windows(*sent.value)
+        for batch in batches:
+            yield pd.Series([bool(windows.scan(words_of(text))[1]) for text in batch], dtype=bool)
+
+    return F.pandas_udf(hit, "boolean")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns from find_overlaps()'s."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
