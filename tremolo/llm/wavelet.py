@@ -116,7 +116,10 @@ class WaveletMatrix:
 
     def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of a value in [lo, hi)."""
-        a, b = self._range(value, lo, self.n if hi is None else hi) if value >> self.levels == 0 else (0, 0)
+        hi = self.n if hi is None else min(hi, self.n)
+        if value >> self.levels or max(lo, 0) >= hi:
+            return 0
+        a, b = self._range(value, max(lo, 0), hi)
         return b - a
 
     def select(self, value: int, k: int) -> int:
