@@ -272,7 +272,7 @@ w1 as (select *, coalesce(score, 1.0) as sc, case when hit then 'exact_match' wh
 w2 as (select *, bool_or(in_type) over (partition by qid) as any_type from w1), w3 as (select *, max(sc) over (partition by qid) as best from w2 where in_type or not any_type),
 w4 as (select *, count(*) over (partition by qid) as near, count(*) over (partition by qid, n_forms, sc) as ties, row_number() over (partition by qid order by n_forms desc, sc desc, cui) as k from w3 where best - sc <= 0.02),
 won as (select * from w4 where k = 1), q as (select vec_id as qid, case when vec_id % 10 = 8 then 'C' || lpad(label::varchar, 7, '0') end as direct from embeddings where vec_id < 100)
-select q.qid, case when direct is not null then direct when won.qid is null or best < 0.7 then 'UNASSIGNED' else cui end as predicted_cui, round(case when direct is not null then 1.0 when won.qid is null then 0.0 when best < 0.7 then best else sc end, 6) as confidence,
+select q.qid, case when direct is not null then direct when won.qid is null or best < 0.7 then 'UNASSIGNED' else cui end as predicted_cui, round(case when direct is not null then 1.0 when won.qid is null then 0.0 when best < 0.7 then best else sc end, 7) as confidence,
   case when direct is not null then 'direct_cui' when won.qid is null then 'faiss_empty' else concat_ws('+', rule1, case when any_type then 'st21pv' else 'st21pv_skip' end, 'encoder_cosine', case when best < 0.7 then 'below_thresh_0.7' when near > 1 then 'freq_tiebreak' end) end as assign_rule_path,
   case when direct is not null or won.qid is null or best < 0.7 then 1 else ties end::bigint as ties from q left join won using (qid)"""
 
@@ -289,7 +289,7 @@ def five_rule_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = e.where("vec_id < 100")
     exact = own.where("vec_id % 4 = 0").select(F.col("vec_id").alias("qid"), name((F.col("label") + F.col("vec_id")) % 10).alias("cui")).join(kinds, "cui")
     queries = own.select(F.col("vec_id").alias("qid"), F.when(F.col("vec_id") % 10 == 8, name(F.col("label"))).alias("direct"))
-    return concepts.assign(queries, candidates, exact).withColumn("confidence", r("confidence", 6))
+    return concepts.assign(queries, candidates, exact).withColumn("confidence", r("confidence", 7))
 
 
 @query("margin_aggregate", f"with {s.GRID}, x as (select *, case when label <> 'UNASSIGNED' then confidence - (k % 7) end as margin, confidence as s1, (k % 7)::double as s2 from g) select instance_id, model_name, count(margin) as n_retrieval_rows, round(arg_min(margin, _ord) filter (where is_orig and margin is not null), 9) + 0.0 as margin_original, round(avg(margin), 9) + 0.0 as margin_mean, round(min(margin), 9) + 0.0 as margin_min, round(avg(s1), 9) as s1_mean, round(avg(s2), 9) as s2_mean from x group by all")

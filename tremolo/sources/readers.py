@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,11 +75,6 @@ def zipped_questions(spark: SparkSession, path: str, member: str, kind: str = "f
 
     An exact answer may be a text, a list, or a list of lists.
     """
-    import io
-    import zipfile
-
-    import pandas as pd
-
     def unzip(contents: pd.Series) -> pd.Series:
         def one(data: bytes) -> str:
             with zipfile.ZipFile(io.BytesIO(data)) as archive:
@@ -96,6 +95,6 @@ def candidate_labels(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumns({"cui": F.regexp_replace(F.split_part(column, F.lit("||"), F.lit(1)), "^UMLS:", ""), "name": F.split_part(F.col(column), F.lit("||"), F.lit(2))})
 
 
-def quoted_answers(column: str) -> "F.Column":
+def quoted_answers(column: str) -> Column:
     """The quoted texts of a cell that holds a printed dict or array (SRC-15)."""
     return F.filter(F.transform(F.regexp_extract_all(column, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), 0), lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), lambda x: ~x.isin("text", "answer_start"))
