@@ -107,7 +107,7 @@ select doc_id, len(v) as n_variants, array_to_string(list_sort(v), '#') as varia
 def perturb_syntactic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRT-02: of the first line of English texts."""
     line = F.regexp_extract(F.regexp_replace("text", r"[^\x00-\x7F]", ""), r"^([^\n]{0,120})", 1)
-    v = perturb.reordered(F.regexp_replace(scalar.squeeze(line), r"[.]+$", ""))
+    v = perturb.reordered(line)
     return s.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", v.alias("v")).select("doc_id", F.size("v").cast("long").alias("n_variants"), F.array_join(F.array_sort("v"), "#").alias("variants"))
 
 
