@@ -28,7 +28,14 @@ def test_signatures_do_not_depend_on_the_batch():
     bags = [np.unique(draw.integers(1, 500, n).astype(np.uint64), return_counts=True) for n in (1, 3, 50, 2000)]
     together = near_dedup.signatures(bags)
     assert all((near_dedup.signatures([bag])[0] == row).all() for bag, row in zip(bags, together, strict=True))
-    assert np.isinf(near_dedup.signatures([(np.empty(0, np.uint64), np.empty(0, np.int64))])).all()
+    assert (near_dedup.signatures([(np.empty(0, np.uint64), np.empty(0, np.int64))]) == near_dedup.NEVER).all()
+
+
+def test_equal_texts_of_different_batches_have_equal_signatures():
+    draw = np.random.default_rng(3)
+    bag = np.unique(draw.integers(1, 2**60, 40).astype(np.uint64), return_counts=True)
+    many = [np.unique(draw.integers(1, 2**60, 60_000).astype(np.uint64), return_counts=True) for _ in range(5)]
+    assert (near_dedup.signatures([bag])[0] == near_dedup.signatures([*many, bag])[-1]).all()
 
 
 def classes(texts):

@@ -6,7 +6,6 @@ once as `` word word ... ``, and matches are mapped back to word numbers and to
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd

@@ -6,9 +6,10 @@ a slot of the signature and a place in the block. A whole block is taken by its
 beyond w are passed over. A slot keeps its earliest time, so two documents agree in a slot with the probability of their weighted
 Jaccard similarity. Points come in order of time, and an element stops once it is later than all slots.
 
-Signatures are banded; documents that share a band are compared with its first member, then, where a bucket still holds several
-classes, with members of its smaller classes in turn, until no pair of a bucket's classes is left untested. So a bucket of n
-members of one class costs n comparisons, and no pair of a bucket is given up.
+Signatures are banded; documents that share a band are compared with its first member. Where a bucket still holds several classes,
+members with too many shingles of their own to be near any other are set aside, and the others are compared with a few that have
+fewest of their own, and then with all members of the bucket's smaller classes, so that no pair across its classes is left untested.
+A bucket of n members of one class costs n comparisons, and no pair of a bucket is given up.
 """
 
 from __future__ import annotations
@@ -33,14 +34,19 @@ SLOTS = BANDS * ROWS
 #: Estimates so many standard deviations below the similarity asked for are not verified.
 DEVIATIONS = 6
 #: Shingles that a worker takes at a time (but for one longer document), and words whose hashes it remembers.
-BATCH_SHINGLES = 400_000
-CACHE_WORDS = 1_000_000
+BATCH_SHINGLES = 150_000
+CACHE_WORDS = 250_000
 #: Keys up to which a table of them (some 50 bytes a key) is broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
-#: Members of a bucket's smaller classes that are compared in the first round after the first member; four times more in each next.
-PIVOTS = 16
-
-FEATURES = "doc_id long, text_hash long, node binary, signature binary"
+#: Members of a bucket that are compared with all others after its first member.
+PIVOTS = 4
+#: Members of a bucket that are compared at a time (about 550 bytes each).
+CHUNK = 256
+
+FEATURES = "doc_id long, text_hash long, node binary, size long, signature binary"
+LIKELY = "a binary, b binary, key_a struct<doc_id:long,text_hash:long>, key_b struct<doc_id:long,text_hash:long>"
+#: Ticks of a unit of a Poisson process' time, and a time that no point has.
+TICKS, NEVER = float(1 << 40), np.int64((1 << 62) - 1)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,8 +81,11 @@ def shingles(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) -> np.ndarray:
-    """The BagMinHash signature (a row of times) of each (elements, weights); an empty bag's times are infinite."""
-    times = np.full((len(bags), slots), np.inf)
+    """The BagMinHash signature (a row of times) of each (elements, weights); an empty bag's times are NEVER.
+
+    Times are whole numbers, so that they don't depend on how many points are added up at once.
+    """
+    times = np.full((len(bags), slots), NEVER)
     flat = times.ravel()
     doc = np.repeat(np.arange(len(bags)), [b[0].size for b in bags])
     element = np.concatenate([b[0] for b in bags]) if bags else np.empty(0, np.uint64)
@@ -93,12 +102,12 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
     at, level, low, rate = (np.concatenate(x) for x in zip(*parts, strict=True))
     doc, limit = doc[at], (weight[at] - low) / rate
     seed = mixed(element[at] + level * np.uint64(0xD1B54A32D192ED03))
-    time, active, drawn, many = np.zeros(at.size), np.arange(at.size), 0, 1
+    time, active, drawn, many = np.zeros(at.size, np.int64), np.arange(at.size), 0, 1
     while active.size:
         steps = np.arange(drawn + 1, drawn + many + 1, dtype=np.uint64) * GOLDEN
         a = mixed(seed[active][:, None] + steps)
         gap = -np.log1p(-(a >> np.uint64(11)).astype(np.float64) * 2.0**-53)
-        when = time[active][:, None] + np.cumsum(gap, axis=1) / rate[active][:, None]
+        when = time[active][:, None] + np.cumsum((gap * TICKS / rate[active][:, None]).astype(np.int64), axis=1)
         b = mixed(a + np.uint64(0xA0761D6478BD642F))
         slot = ((b >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
         cell = doc[active][:, None] * slots + slot.astype(np.int64)
@@ -106,11 +115,11 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
         np.minimum.at(flat, cell[inside], when[inside])
         time[active] = when[:, -1]
         there = np.unique(doc[active])
-        latest = np.zeros(len(bags))
+        latest = np.zeros(len(bags), np.int64)
         latest[there] = times[there].max(axis=1)
         drawn += many
         active = active[time[active] < latest[doc[active]]]
-        many = int(min(max(1, 500_000 // max(1, active.size)), many * 2, 256))
+        many = int(min(max(1, 200_000 // max(1, active.size)), many * 2, 256))
     return times
 
 
@@ -120,7 +129,7 @@ def packed(times: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, signature): node is a 128-bit name of the multiset of shingles, all zero without words."""
+    """(doc_id, text_hash, node, size, signature): node is a 128-bit name of the multiset of shingles, all zero without words."""
     common.bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +139,7 @@ def features(docs: DataFrame) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             rows = packed(signatures([h[2] for h in held]))
-            return pd.DataFrame({"doc_id": pd.array([h[0] for h in held], "Int64"), "text_hash": [h[1] for h in held], "node": [h[3] for h in held], "signature": [r.tobytes() for r in rows]})
+            return pd.DataFrame({"doc_id": pd.array([h[0] for h in held], "Int64"), "text_hash": [h[1] for h in held], "node": [h[3] for h in held], "size": [int(h[2][1].sum()) for h in held], "signature": [r.tobytes() for r in rows]})
 
         for batch in batches:
             ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
@@ -173,31 +182,75 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
+def least_estimate(similarity: float) -> float:
+    """The share of agreeing slots under which no link is looked for."""
+    return similarity - DEVIATIONS * (similarity * (1 - similarity) / SLOTS) ** 0.5
+
+
 class Texts:
-    """Pairs of nodes to links: an estimate from signatures, then the exact similarity of the texts."""
+    """The texts of nodes, and which pairs of nodes are links: by an estimate from signatures, then by the texts themselves."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, similarity: float):
-        self.docs, self.nodes, self.similarity = docs, nodes, similarity
+        text = common.text_of()
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("of_doc"), F.xxhash64(text).alias("of_hash"), text.alias("text"))
+        self.nodes, self.similarity = nodes, similarity
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that are similar."""
-        one = self.nodes.select(F.col("node").alias("a"), F.col("signature").alias("sign_a"))
-        two = self.nodes.select(F.col("node").alias("b"), F.col("signature").alias("sign_b"))
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(node, text) of (node, doc_id, text_hash)."""
+        small = _small(wanted)
+        return self.docs.join(small, self.docs["of_doc"].eqNullSafe(small["doc_id"]) & (self.docs["of_hash"] == small["text_hash"])).select("node", "text")
 
-        least = self.similarity - DEVIATIONS * (self.similarity * (1 - self.similarity) / SLOTS) ** 0.5
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose signatures don't rule a link out, with the keys of their texts."""
+        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("signature").alias(f"sign_{x}"), F.struct("doc_id", "text_hash").alias(f"key_{x}"))
+        least = least_estimate(self.similarity)
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
                     x, y = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(len(batch), SLOTS) for c in ("sign_a", "sign_b"))
-                    yield batch.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
+                    yield batch.loc[(x == y).mean(axis=1) >= least].drop(columns=["sign_a", "sign_b"])
 
-        likely = common.cut(pairs.join(one, "a").join(two, "b").select("a", "b", "sign_a", "sign_b").mapInPandas(near, "a binary, b binary"))
-        wanted = common.cut(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b"))).distinct().join(self.nodes.select("node", "doc_id", "text_hash"), "node"))
-        text = common.text_of()
-        keyed = self.docs.select(F.col("doc_id").cast("long").alias("of_doc"), F.xxhash64(text).alias("of_hash"), text.alias("text"))
-        small = _small(wanted)
-        texts = keyed.join(small, keyed["of_doc"].eqNullSafe(small["doc_id"]) & (keyed["of_hash"] == small["text_hash"])).select("node", "text")
+        return common.cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "key_a", "key_b", "sign_a", "sign_b").mapInPandas(near, LIKELY))
+
+    def likely_across(self, members: DataFrame, pivots: DataFrame) -> DataFrame:
+        """The same for pairs of a bucket's members and pivots (bucket, n rows, node, size, shared, class, signature, key) of two classes.
+
+        Members and pivots come in chunks of bounded size, which are compared as matrices: a row is a pair of chunks, and only
+        likely pairs become rows. A pair is taken in the first band that it shares.
+        """
+        similarity, least = self.similarity, least_estimate(self.similarity)
+        entry = F.struct("node", "size", "shared", "class", "signature", "key")
+
+        def chunked(rows: DataFrame, most: int, name: str) -> DataFrame:
+            chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most).cast("long"))
+            return rows.groupBy("bucket", chunk.alias("_c")).agg(F.collect_list(entry).alias(name)).drop("_c")
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for bucket, xs, ys in zip(batch["bucket"], batch["xs"], batch["ys"], strict=True):
+                    x, y = (np.frombuffer(b"".join(e["signature"] for e in es), "<u2").reshape(len(es), SLOTS) for es in (xs, ys))
+                    column = lambda es, c: np.array([e[c] for e in es])
+                    sizes = column(xs, "size")[:, None] + column(ys, "size")
+                    shared = np.minimum(column(xs, "shared")[:, None], column(ys, "shared"))
+                    kind = {c: i for i, c in enumerate({e["class"] for e in [*xs, *ys]})}
+                    other = np.array([kind[e["class"]] for e in xs])[:, None] != np.array([kind[e["class"]] for e in ys])
+                    band = int(bucket["band"])
+                    out = []
+                    for i, j in np.argwhere(other & (shared * (1 + similarity) >= similarity * sizes - 1e-9)):
+                        same = x[i] == y[j]
+                        if same.mean() >= least and int(same.reshape(BANDS, ROWS).all(axis=1).argmax()) == band:
+                            a, b = (xs[i], ys[j]) if xs[i]["node"] < ys[j]["node"] else (ys[j], xs[i])
+                            out.append((a["node"], b["node"], a["key"], b["key"]))
+                    yield pd.DataFrame(out, columns=["a", "b", "key_a", "key_b"])
+
+        pairs = chunked(members, CHUNK, "xs").join(chunked(pivots, CHUNK // 4, "ys"), "bucket")
+        return common.cut(pairs.mapInPandas(near, LIKELY).dropDuplicates(["a", "b"]))
+
+    def links(self, likely: DataFrame) -> DataFrame:
+        """Those of likely pairs that are similar."""
+        side = lambda x: likely.select(F.col(x).alias("node"), f"key_{x}.doc_id", f"key_{x}.text_hash")
+        texts = self.of(common.cut(side("a").union(side("b")).distinct()))
         similarity = self.similarity
 
         def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,23 +265,38 @@ class Texts:
 
         left = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        return common.cut(likely.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInPandas(same, "a binary, b binary").distinct())
+        return common.cut(likely.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInPandas(same, "a binary, b binary"))
+
+    def own_weight(self, wanted: DataFrame) -> DataFrame:
+        """(node, own): the weight of a node's shingles that no other of these nodes has."""
+
+        def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = WordHashes()
+            for batch in batches:
+                for node, text in zip(batch["node"], batch["text"], strict=True):
+                    names, counts = np.unique(shingles(words_of(text), known), return_counts=True)
+                    yield pd.DataFrame({"node": node, "shingle": names.view(np.int64), "weight": counts})
+
+        rows = self.of(wanted.join(self.nodes.select("node", "doc_id", "text_hash"), "node")).mapInPandas(cut_up, "node binary, shingle long, weight long")
+        # with one row a node and shingle, the only row's weight and node are its sum and first
+        alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min("node").alias("node")).where("n = 1")
+        return alone.groupBy("node").agg(F.sum("weight").alias("own"))
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, class) for all nodes of ``links`` (a, b): the smallest node that links lead to. Rounds grow with the logarithm of
     the longest chain. ``known`` classes, if any, are joined with."""
-    edges = links.select("a", "b")
+    edges = links.select(F.col("a").alias("one"), F.col("b").alias("two"))
     if known is not None:
         edges = edges.union(known.where("node != class").select("node", "class"))
-    edges = common.cut(edges.union(edges.select("b", "a")).distinct())
-    labels = common.cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("class")))
+    edges = common.cut(edges.union(edges.select("two", "one")).distinct())
+    labels = common.cut(edges.groupBy(F.col("one").alias("node")).agg(F.min("two").alias("low")).select("node", F.least("node", "low").alias("class")))
     while True:
-        told = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("low"))
-        lower = common.cut(labels.join(told, "node").select("node", F.least("class", "low").alias("class"), F.col("class").alias("was")))
-        # a class's own class: halves the way to the smallest
-        top = lower.select(F.col("node").alias("class"), F.col("class").alias("top"))
-        jumped = common.cut(lower.join(top, "class").select("node", F.col("top").alias("class"), "was"))
+        told = edges.join(labels.withColumnRenamed("node", "two"), "two").groupBy(F.col("one").alias("node")).agg(F.min("class").alias("low"))
+        lower = labels.join(told, "node").select("node", F.least("class", "low").alias("class"), F.col("class").alias("was"))
+        # the class of one's class halves the way to the smallest
+        top = labels.select(F.col("node").alias("class"), F.col("class").alias("top"))
+        jumped = common.cut(lower.join(top, "class").select("node", F.least("class", "top").alias("class"), "was"))
         labels = jumped.select("node", "class")
         if not jumped.where("class != was").limit(1).count():
             return labels
@@ -236,46 +304,61 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def node_classes(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, class) of nodes that are linked, from the ``features`` of ``docs``."""
-    nodes = found.groupBy("node").agg(F.first("signature").alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("key")).where(F.col("node") != F.lit(bytes(16)))
-    nodes = common.cut(nodes.select("node", "signature", "key.doc_id", "key.text_hash"))
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * 2 * ROWS + 1, F.lit(2 * ROWS))))
-    member = nodes.select("node", F.explode(band).alias("bucket"))
-    buckets = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1")
-    buckets = common.cut(buckets)
+    nodes = found.groupBy("node").agg(F.first("signature").alias("signature"), F.first("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("key")).where(F.col("node") != F.lit(bytes(16)))
+    nodes = common.cut(nodes.select("node", "signature", "size", "key.doc_id", "key.text_hash"))
+    band = lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("signature"), i * 2 * ROWS + 1, F.lit(2 * ROWS))).alias("hash"))
+    member = nodes.select("node", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    buckets = common.cut(member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1"))
     large = buckets.where("n > 2").select("bucket", "first")
     members = common.cut(member.join(_small(large), "bucket"))
     pairs = buckets.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).union(members.where("node != first").select("first", "node")).distinct()
     texts = Texts(docs, nodes, similarity)
-    tested = common.cut(pairs)
-    links = texts.links(tested)
-    classes = components(links)
-    members, pivots, used = members.select("bucket", "node"), PIVOTS, None
-    while True:
-        ruled = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-        split = ruled.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-        members = common.cut(ruled.join(split, "bucket"))
-        # all but the largest class of a bucket are its smaller ones
-        sizes = members.groupBy("bucket", "class").count()
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "class")).alias("most")).select("bucket", F.col("most.class").alias("main"))
-        minor = members.join(largest, "bucket").where("class != main").select("bucket", "node", "class")
-        if used is not None:
-            minor = minor.join(used, ["bucket", "node"], "left_anti")
-        chosen = minor.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("salt")).agg(F.min(F.struct("node", "class")).alias("pivot"))
-        chosen = common.cut(chosen.select("bucket", F.col("pivot.node").alias("pivot"), F.col("pivot.class").alias("of")))
-        if not chosen.limit(1).count():
-            return classes
-        used_now = chosen.select("bucket", F.col("pivot").alias("node"))
-        used = common.cut(used_now if used is None else used.union(used_now))
-        pairs = members.join(chosen, "bucket").where("class != of").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = common.cut(pairs)
-        if pairs.limit(1).count():
-            tested = tested.union(pairs)
-            more = texts.links(pairs)
-            if more.limit(1).count():
-                classes = components(more, classes)
-        members, pivots = members.select("bucket", "node"), pivots * 4
+    classes = components(texts.links(texts.likely(pairs)))
+    members = linkable(unsettled(members.select("bucket", "node", "size"), classes), texts, similarity)
+    # an original stands between its copies: first those that share most of their weight are compared with all others
+    entry = F.struct((F.col("size") - F.col("shared")).alias("own"), *[c for c in members.columns if c != "bucket"])
+    central = members.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)).alias("salt")).agg(F.min(entry).alias("pivot"))
+    classes = joined(texts, members, common.cut(central.select("bucket", "pivot.*").drop("own").withColumn("n", F.lit(PIVOTS).cast("long"))), classes)
+    # then all that aren't of their bucket's largest class, so that each pair of two classes is compared
+    members = unsettled(members, classes)
+    return joined(texts, members, common.cut(members.where("class != main").withColumn("n", F.col("n") - F.col("n_main"))), classes)
+
+
+def unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes, with their class, and of their bucket: n rows, n_main of them of its largest
+    class ``main``, and its smallest size ``least``."""
+    ruled = members.drop("class", "n", "n_main", "main", "least").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    each = ruled.groupBy("bucket", "class").agg(F.count("*").alias("k"), F.min("size").alias("least"))
+    of = each.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("k").alias("n"), F.min("least").alias("least"), F.max(F.struct("k", "class")).alias("most"))
+    of = of.where("classes > 1").select("bucket", "n", "least", F.col("most.k").alias("n_main"), F.col("most.class").alias("main"))
+    return common.cut(ruled.join(of, "bucket"))
+
+
+def joined(texts: Texts, members: DataFrame, pivots: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes after members and pivots of the same buckets are compared."""
+    if not pivots.limit(1).count():
+        return classes
+    likely = texts.likely_across(members, pivots)
+    if not likely.limit(1).count():
+        return classes
+    links = texts.links(likely)
+    return components(links, classes) if links.limit(1).count() else classes
+
+
+def linkable(members: DataFrame, texts: Texts, similarity: float) -> DataFrame:
+    """Members of unsettled buckets that can have a link there at all, with ``shared``: the weight of what another may share.
+
+    The partners of a node are in its buckets, so shingles that no other node of unsettled buckets has can't be shared. With c the
+    weight of the others, and partners no smaller than the bucket's smallest member, no similarity is over c / (size + partner - c).
+    """
+    own = texts.own_weight(members.select("node").distinct())
+    signed = texts.nodes.select("node", "signature", F.struct("doc_id", "text_hash").alias("key"))
+    left = members.join(own, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+    most = F.col("shared") / (F.col("size") + F.greatest("least", "shared") - F.col("shared"))
+    return common.cut(left.where(most >= similarity - 1e-9).join(signed, "node"))
 
 
+@common.tidy
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, any more): doc_id, text_hash, class_id, class_size, kept.
 
@@ -285,9 +368,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     found = common.cut(features(docs))
     classes = node_classes(docs, found, similarity)
-    ruled = common.cut(found.select("doc_id", "text_hash", "node").join(classes, "node", "left").select("doc_id", "text_hash", F.coalesce("class", "node").alias("class")))
+    ruled = common.cut(found.select("doc_id", "text_hash", "node").join(classes, "node", "left").select("doc_id", "text_hash", F.coalesce("class", "node").alias("class")), keep=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c")))
-    heads = common.cut(ruled.groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size")))
+    heads = common.cut(ruled.groupBy("class").agg(first.alias("first"), F.count("*").alias("class_size")), keep=True)
     kept = F.col("doc_id").eqNullSafe(F.col("first.b")) & (F.col("text_hash") == F.col("first.c"))
     return ruled.join(heads, "class").select("doc_id", "text_hash", F.col("first.b").alias("class_id"), "class_size", kept.alias("kept"))
 
@@ -295,7 +378,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, with the columns of ``docs``."""
     gone = near_duplicates(docs, similarity)
-    gone = common.cut(gone)
+    gone = common.cut(gone, keep=True)
     dropped = _small(gone.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
     rows = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["gone_id"]) & (F.xxhash64(common.text_of()) == dropped["gone_hash"]), "left_anti")
     again = gone.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1")
