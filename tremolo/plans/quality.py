@@ -100,7 +100,7 @@ def gate_summary_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perturb.gate_summary(rows, ["g1", "g2", "g3"]).withColumn("fail_rate", r("fail_rate"))
 
 
-@query("perturb_syntactic", r"""with x as (select doc_id, trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '^([^\n]{0,120})', 1), '\s+', ' ', 'g'), '[.]+$', '')) as b from documents where lang = 'en'),
+@query("perturb_syntactic", r"""with x as (select doc_id, regexp_replace(trim(regexp_replace(regexp_extract(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '^([^\n]{0,120})', 1), '\s+', ' ', 'g')), '[.]+$', '') as b from documents where lang = 'en'),
 y as (select doc_id, b, regexp_extract(b, '^([^,]+),\s*(.+)$', 1) as c1, regexp_extract(b, '^([^,]+),\s*(.+)$', 2) as c2, regexp_extract(b, '^(.+?)\s+and\s+(.+)$', 1) as a1, regexp_extract(b, '^(.+?)\s+and\s+(.+)$', 2) as a2 from x),
 z as (select doc_id, list_distinct(list_filter([case when c2 <> '' then c2 || ', ' || c1 end, case when a2 <> '' then a2 || ' and ' || a1 end], lambda v: v is not null and v <> b)) as v from y)
 select doc_id, len(v) as n_variants, array_to_string(list_sort(v), '#') as variants from z""")
