@@ -42,6 +42,8 @@ BROADCAST_KEYS = 500_000
 PIVOTS = 4
 #: Members of a bucket that are compared at a time (about 550 bytes each).
 CHUNK = 256
+#: Pairs of chunks in an Arrow batch.
+CHUNK_ROWS = 16
 
 FEATURES = "doc_id long, text_hash long, node binary, size long, signature binary"
 LIKELY = "a binary, b binary, key_a struct<doc_id:long,text_hash:long>, key_b struct<doc_id:long,text_hash:long>"
@@ -245,7 +247,12 @@ class Texts:
                     yield pd.DataFrame(out, columns=["a", "b", "key_a", "key_b"])
 
         pairs = chunked(members, CHUNK, "xs").join(chunked(pivots, CHUNK // 4, "ys"), "bucket")
-        return common.cut(pairs.mapInPandas(near, LIKELY).dropDuplicates(["a", "b"]))
+        # a row holds hundreds of members: few rows are one batch
+        common.bounded_batches(self.docs.sparkSession, CHUNK_ROWS)
+        try:
+            return common.cut(pairs.mapInPandas(near, LIKELY).dropDuplicates(["a", "b"]))
+        finally:
+            common.bounded_batches(self.docs.sparkSession)
 
     def links(self, likely: DataFrame) -> DataFrame:
         """Those of likely pairs that are similar."""
