@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import textwrap
 from collections import Counter
 
 from tremolo.llm import licences
@@ -61,3 +62,50 @@ def test_root_licence_covers_all(spark):
 def test_odd_and_no_files(spark):
     assert licences.scan_licences(files(spark, [(f"p/{i}", t) for i, t in enumerate(ODD)])).count() == len(ODD)
     assert licences.scan_licences(files(spark, [])).count() == 0
+
+
+def test_full_licence_texts_are_files_and_inherited(spark):
+    texts = dict(licences.full_texts())
+    rows = [x for name, text in texts.items() for x in ((f"{name}/LICENSE", text), (f"{name}/x.txt", "nothing said"))]
+    got = {r.path: (r.licence, r.kind) for r in licences.scan_licences(files(spark, rows)).collect()}
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "BSD-3-Clause", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    for name in texts:
+        assert got[f"{name}/LICENSE"] == (name, "file") and got[f"{name}/x.txt"] == (name, "inherited")
+
+
+def test_wrapped_headers_in_comments():
+    made = licences.Matcher(licences.TEMPLATES, 1000, {})
+    code = "\n".join(f"value{i} = compute(thing{i}, other{i})" for i in range(60))
+    for name in ("MIT", "GPL-3.0-or-later", "LGPL-3.0-or-later", "ISC", "BSD-3-Clause"):
+        text = max((t for n, t in licences.TEMPLATES if n == name), key=len)
+        for mark in ("# ", "// ", " * ", "dnl "):
+            header = "\n".join(mark + line for line in textwrap.wrap(text, 50))
+            for whole in (f"{header}\n{code}", f"{mark}Copyright 2020 A. Body. All rights reserved.\n{header}\n{code}"):
+                got = made.scan(whole)
+                assert got[0] == name and got[2] == "header", (name, mark, got)
+
+
+def test_reserved_rights_alone_still_count():
+    made = licences.Matcher(licences.TEMPLATES, 1000, {})
+    prose = "some words that say nothing at all about anything. " * 20
+    assert made.scan(f"{prose}\nAll rights reserved.\n{prose}")[0] == licences.RESERVED
+    assert made.scan(f"{prose}\nAll rights reserved.\nLicensed under the Apache License, Version 2.0.\n{prose}")[0] == "Apache-2.0"
+
+
+def test_bounds_lose_no_run():
+    made = licences.Matcher(licences.NOTICES, 1000, {})
+    text = "\n".join(textwrap.wrap(" ".join(t for _, t in licences.NOTICES), 40))
+    lines = [licences.words_of(x) for x in text.split("\n")]
+    words, offsets = [w for x in lines for w in x], [0]
+    for x in lines:
+        offsets.append(offsets[-1] + len(x))
+    want = set()
+    for k, (_, vector) in enumerate(made.vectors):
+        for a in range(len(lines)):
+            above = next((b for b in range(a + 1, len(lines)) if offsets[b] - offsets[a] >= made.sizes[k]), len(lines))
+            for b in {above, above - 1} - {a}:
+                own = made.vector(words[offsets[a] : offsets[b]])
+                if sum(x * own.get(w, 0) for w, x in vector.items()) >= made.least:
+                    want.add((k, offsets[a], offsets[b]))
+    got = made.runs(words, licences.np.array(offsets), list(range(len(made.vectors))))
+    assert want and {(k, a, b) for _, k, a, b in got} == want

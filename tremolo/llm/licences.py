@@ -1,9 +1,11 @@
 """Operator 5: licence scans. Headers and licence files are held against templates by the cosine of sparse TF-IDF vectors; files
 without a licence of their own take that of the nearest ancestor directory that has a licence file, by joins on paths.
 
-Segments of a text (itself, its blocks, lines and sentences) are compared. Inverse document frequencies of the templates' words
-are of the whole corpus; other words weigh as much as these do on average. A text is looked into only if it has a word without
-which no template can come near enough, so nothing that could match is passed over.
+Segments of a text (itself, its blocks, lines, sentences, and runs of consecutive lines as long as a template) are compared,
+without comment marks. Templates are notices and whole licence texts (``licence_texts``). Inverse document frequencies of the
+templates' words are of the whole corpus; other words weigh as much as these do on average. A text is looked into only if it has
+a word without which no template can come near enough, and held only against templates that its words could come near to, so
+nothing that could match is passed over.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +30,17 @@ FILE_COSINE = 0.7
 #: Directories up to which their table is broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_DIRS = 200_000
 
+#: The identifier that any licence in the same text goes before.
+RESERVED = "LicenseRef-proprietary"
+#: Comment marks that are words; the others are no part of words.
+MARKS = re.compile(r"^[ \t]*(?:dnl|rem)\b", re.IGNORECASE | re.MULTILINE)
+#: Of matches one within the other, that of a template so many times as long counts.
+LONGER = 1.5
+#: Words of a text whose repetitions bound the lengths of its runs of lines.
+FREQUENT = 32
+
 #: Notices by which licences are granted, by SPDX identifier.
-TEMPLATES = (
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license. See the LICENSE file in the project root for full license information."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
@@ -49,9 +62,18 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("LicenseRef-proprietary", "All rights reserved."),
+    (RESERVED, "All rights reserved."),
 )
 
+
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Whole licences, by SPDX identifier."""
+    found = (f for f in (resources.files(__package__) / "licence_texts").iterdir() if f.name.endswith(".txt"))
+    return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(found, key=lambda f: f.name))
+
+
+TEMPLATES = (*NOTICES, *full_texts())
+
 FOUND = "doc_id long, path string, licence string, cosine double, kind string, n_notices long"
 
 
@@ -85,6 +107,12 @@ class Matcher:
         self.idf = {w: math.log((1 + n) / (1 + frequencies.get(w, 0))) + 1 for w in sorted(sources(templates))}
         self.other = sum(self.idf.values()) / max(1, len(self.idf))
         self.vectors = [(name, self.vector(words_of(text))) for name, text in templates]
+        self.sizes = [len(words_of(text)) for _, text in templates]
+        self.place = {w: i for i, w in enumerate(self.idf)}
+        self.weights = np.array(list(self.idf.values()))
+        self.table = np.zeros((len(self.vectors), len(self.place)))
+        for k, (_, v) in enumerate(self.vectors):
+            self.table[k, [self.place[w] for w in v]] = list(v.values())
         # words by weight, the commonest first, as long as they alone can't bring any template near enough
         held = [0.0] * len(self.vectors)
         self.telling = set(self.idf)
@@ -101,53 +129,126 @@ class Matcher:
         norm = math.sqrt(sum(x * x for x in weights.values())) or 1.0
         return {w: x / norm for w, x in weights.items()}
 
-    def nearest(self, words: list[bytes]) -> tuple[float, str | None]:
+    def nearest(self, words: list[bytes], among: list[int] | None = None) -> tuple[float, str | None]:
         """The largest cosine and its template; of equal ones the first template."""
+        cosine, k = self._nearest(words, range(len(self.vectors)) if among is None else among)
+        return cosine, None if k is None else self.vectors[k][0]
+
+    def _nearest(self, words: list[bytes], among) -> tuple[float, int | None]:
         own = self.vector(words)
         best = (0.0, None)
-        for name, vector in self.vectors:
-            cosine = sum(x * own[w] for w, x in vector.items() if w in own)
+        for k in among:
+            vector = self.vectors[k][1]
+            few, many = (own, vector) if len(own) < len(vector) else (vector, own)
+            cosine = sum(x * many[w] for w, x in few.items() if w in many)
             if cosine > best[0] + 1e-12:
-                best = (cosine, name)
+                best = (cosine, k)
         return best
 
-    def segments(self, text: str) -> Iterator[str]:
-        for block in re.split(r"\n[ \t\r]*\n", text):
-            lines = block.split("\n")
-            if len(lines) > 1:
-                yield block
-            for line in lines:
-                yield line
-                parts = re.split(r"(?<=[.!?;])\s+", line)
-                if len(parts) > 1:
-                    yield from parts
+    def near(self, words: set[bytes]) -> list[int]:
+        """The templates that a text of such words could come near to: no cosine is over the length of a template's part in them."""
+        places = [self.place[w] for w in words if w in self.place]
+        bound = (self.table[:, places] ** 2).sum(axis=1)
+        return np.flatnonzero(bound >= self.least * self.least - 1e-9).tolist()
+
+    def segments(self, lines: list[list[int]]) -> Iterator[tuple[int, int]]:
+        """(first word, end) of blocks, lines and sentences; ``lines`` has the numbers of words of each line's sentences."""
+        at = block = n_lines = 0
+        for sizes in [*lines, None]:
+            if sizes is None or not sizes:
+                if n_lines > 1 and at > block:
+                    yield block, at
+                block, n_lines = at, 0
+                continue
+            first = at
+            for n in sizes:
+                if len(sizes) > 1 and n:
+                    yield at, at + n
+                at += n
+            if at > first:
+                yield first, at
+            n_lines += 1
+
+    def runs(self, words: list[bytes], offsets: np.ndarray, near: list[int]) -> Iterator[tuple[float, int, int, int]]:
+        """(cosine, template, first word, end) of runs of lines that are as long as a template, to the line below and above, and near it."""
+        own: dict[bytes, int] = {}
+        ids = np.array([self.place[w] if w in self.place else len(self.place) + own.setdefault(w, len(own)) for w in words])
+        weight = np.append(self.weights, self.other)[np.minimum(ids, len(self.weights))]
+        square = np.concatenate(([0.0], np.cumsum(weight * weight)))
+        held, counts = np.unique(ids, return_counts=True)
+        often = [(np.concatenate(([0], np.cumsum(ids == i))), self.weights[i] if i < len(self.weights) else self.other) for i in held[np.argsort(-counts, kind="stable")[:FREQUENT]]]
+        starts = offsets[:-1]
+        for k in near:
+            part = np.append(self.table[k], 0.0)[np.minimum(ids, len(self.weights))] * weight
+            dots = np.concatenate(([0.0], np.cumsum(part)))
+            above = np.minimum(np.searchsorted(offsets, starts + self.sizes[k]), len(offsets) - 1)
+            first, end = np.concatenate((starts, starts)), np.concatenate((offsets[above], offsets[above - 1]))
+            keep = end > first
+            first, end = first[keep], end[keep]
+            dot, least = dots[end] - dots[first], square[end] - square[first]
+            # a word's repetitions lengthen the vector by more than their number
+            keep = dot >= self.least * np.sqrt(least) * (1 - 1e-9)
+            first, end, dot, least = first[keep], end[keep], dot[keep], least[keep]
+            if not first.size:
+                continue
+            for upto, w in often:
+                c = upto[end] - upto[first]
+                least = least + (c * c - c) * (w * w)
+            for i in np.flatnonzero(dot >= self.least * np.sqrt(least) * (1 - 1e-9)).tolist():
+                which, n = np.unique(ids[first[i] : end[i]], return_counts=True)
+                cosine = float(dot[i]) / float(np.linalg.norm(n * np.append(self.weights, self.other)[np.minimum(which, len(self.weights))]))
+                if cosine >= self.least:
+                    yield cosine, k, int(first[i]), int(end[i])
+
+    def matches(self, text: str, near: list[int]) -> list[tuple[float, int]]:
+        """(cosine, template) of the parts of a text that are near a template, none within another; longer templates go first."""
+        lines, words = [], []
+        for line in MARKS.sub("", text).split("\n"):
+            parts = [words_of(p) for p in re.split(r"(?<=[.!?;])\s+", line)]
+            lines.append([len(p) for p in parts] if line.strip(" \t\r") else [])
+            words += [w for p in parts for w in p]
+        found = set()
+        for first, end in self.segments(lines):
+            own = words[first:end]
+            if not self.telling.isdisjoint(own):
+                cosine, k = self._nearest(own, near)
+                if cosine >= self.least:
+                    found.add((cosine, k, first, end))
+        offsets = np.unique(np.concatenate(([0], np.cumsum([sum(x) for x in lines], dtype=np.int64))))
+        found.update(self.runs(words, offsets, near))
+        covered, out = np.zeros(len(words)), []
+        for _, k, first, end in sorted(found, key=lambda f: (self.sizes[f[1]], f)):
+            covered[first:end] = self.sizes[k]
+        taken = np.zeros(len(words), bool)
+        for cosine, k, first, end in sorted(found, key=lambda f: (-round(f[0], 9), self.vectors[f[1]][0], f[2], f[3], f[1])):
+            if not taken[first:end].any() and covered[first:end].min() < LONGER * self.sizes[k]:
+                taken[first:end] = True
+                out.append((cosine, k))
+        return out
 
     def scan(self, text: str) -> tuple[str | None, float, str | None, int]:
         """Licence, cosine, kind (file or header) and the number of notices."""
         words = words_of(text)
-        if self.telling.isdisjoint(words):
+        if self.telling.isdisjoint(words) or not (near := self.near(set(words))):
             return None, 0.0, None, 0
-        cosine, name = self.nearest(words)
+        cosine, name = self.nearest(words, near)
         if cosine >= FILE_COSINE:
             return name, cosine, "file", 1
-        best, notices = (0.0, None), set()
-        for segment in self.segments(text):
-            own = words_of(segment)
-            if not self.telling.isdisjoint(own):
-                got = self.nearest(own)
-                if got[0] >= self.least:
-                    notices.add(got[1])
-                    best = max(best, got, key=lambda x: (x[0], [] if x[1] is None else [-ord(c) for c in x[1]]))
-        return best[1], best[0], "header" if best[1] else None, len(notices)
+        found = [(cosine, self.vectors[k][0]) for cosine, k in self.matches(text, near)]
+        granted = [f for f in found if f[1] != RESERVED] or found
+        if not granted:
+            return None, 0.0, None, 0
+        cosine, name = min(granted, key=lambda f: (-f[0], f[1]))
+        return name, cosine, "header", len({n for _, n in found})
 
 
 @common.tidy
 def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Per row of ``files`` (doc_id, path, text, any more): doc_id, path, licence, cosine, kind, n_notices, licence_dir.
 
-    kind is file, header, inherited or null. A text with notices of several licences gets the nearest; n_notices counts them. Of
-    several licence files in a directory the nearest counts, then the smallest licence and path. Null texts count as empty, null
-    paths as files at the root. Repeated rows come out each.
+    kind is file, header, inherited or null. A text with notices of several licences gets the nearest, reserved rights after all
+    others; n_notices counts them. Of several licence files in a directory the nearest counts, then the smallest licence and path.
+    Null texts count as empty, null paths as files at the root. Repeated rows come out each.
     """
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), common.text_of().alias("text"))
     n, frequencies = document_frequencies(rows, sources(templates))
