@@ -89,3 +89,56 @@ def test_nothing_trusted_keeps_all(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.keep for r in quality.judge(make_docs(ODD), none).collect())
     assert quality.judge(make_docs([]), none).count() == 0
+
+
+def brute_words(texts, cost):
+    """Interpolated modified Kneser-Ney over words by the textbook, on the spelling; a function of (context, word)."""
+    counts = [Counter() for _ in range(4)]
+    for t in texts:
+        s = [None, None, *quality.TOKEN.findall(t)]
+        counts[3].update(tuple(s[i - 2 : i + 1]) for i in range(2, len(s)))
+    for k in (2, 1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+    off = {}
+    for k in (1, 2, 3):
+        t = [sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0
+        off[k] = [0] + [min(max(i - (i + 1) * y * t[i] / t[i - 1], 0), i) if t[i - 1] else 0 for i in (1, 2, 3)]
+
+    def p(context, w):
+        k = len(context) + 1
+        lower = p(context[1:], w) if context else float(np.exp(-quality.spelled([w], cost)[0]))
+        own = {g[-1]: c for g, c in counts[k].items() if g[:-1] == context}
+        if not own:
+            return lower
+        taken = {s: off[k][min(c, 3)] for s, c in own.items()}
+        return (max(own.get(w, 0) - taken.get(w, 0), 0) + sum(taken.values()) * lower) / sum(own.values())
+
+    return p
+
+
+@pytest.mark.parametrize("most", [0, 25, 10**6])
+def test_word_model_against_the_textbook(make_docs, most):
+    draw = random.Random(3)
+    words = ["der", "Hund", "die", "Katze", "hund", "слово", "волос", "中", ",", "."]
+    made = lambda n: " ".join(draw.choice(words[: draw.choice((4, 10))]) for _ in range(n))
+    # rare words, so that no discount is nought
+    texts = [f"{made(20)} rare{i} {made(9)} rare{i // 2} {made(9)} few{i // 4}" for i in range(10)]
+    cost = quality.train(make_docs(texts))
+    p = brute_words(texts, cost)
+    asked = [texts[0], texts[0], made(30), "zzz der Hund", "", "中中文", "Hund\ndie"]
+    rows = quality.scores(make_docs(asked), cost, *quality.train_words(make_docs(texts), cost), most=most).collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        s = [None, None, *quality.TOKEN.findall(asked[r.doc_id])]
+        assert r.nats == pytest.approx(-sum(np.log(p(tuple(s[i - 2 : i]), s[i])) for i in range(2, len(s))), rel=1e-6)
+
+
+def test_letters_of_a_class_and_word_order_tell(make_docs):
+    """The Cyrillic а and и are eight code points apart: of one class."""
+    texts = ["мама мыла раму и папа читал газету . " * 3] * 5
+    cost = quality.train(make_docs(texts))
+    assert quality.classes()[ord("а")] == quality.classes()[ord("и")]
+    asked = ["мама мыла раму", "мими мыли рими", "раму мама мыла"]
+    nats = {r.doc_id: r.nats for r in quality.scores(make_docs(asked), cost, *quality.train_words(make_docs(texts), cost)).collect()}
+    assert nats[0] < nats[2] < nats[1]

@@ -1,14 +1,18 @@
 """Operator 3: a quality classifier by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
-The model is of characters, folded to ``SYMBOLS`` classes, and of order ``ORDER``; it is trained on all trusted text. Counts of
-n-grams, counts of their continuations, and sums of their contexts are sharded DataFrames keyed by the n-gram, and are joined
-into discounted probabilities and context weights. The classes bound the number of n-grams (SYMBOLS ** ORDER = 5.3 million) at
-any corpus size, so the joined table is sent to the workers, which give each document's perplexity without moving its text.
-A document is rejected if its perplexity is beyond a quantile of its language's trusted documents that the model has not seen.
+The model is of whole words (``WORDS`` a gram), marks and line ends, as written; words that it doesn't know are spelled by a model of
+characters, folded to ``SYMBOLS`` classes, of order ``ORDER``, and by the size of each class. Both are trained on all trusted text.
+
+Grams are 64-bit hashes. Their counts, counts of continuations and sums of contexts are sharded tables that grow with the corpus,
+joined into one table of terms: as a gram's cost is that of its shorter ones plus a term of its own (or of its context, if it is
+unknown), a text's cost is a sum over its grams and contexts. The commonest terms, of a bounded number, are sent to the workers; all
+others are joined with the distinct grams of each text. A document is rejected if its perplexity is beyond a quantile of its
+language's trusted documents that the model has not seen.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +40,15 @@ BINS = 1000
 #: Trusted ids up to which they are broadcast (some 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BATCH_CHARS = 2_000_000
+#: Words of a gram.
+WORDS = 3
+#: Terms of the commonest grams and contexts that are sent to the workers (24 bytes each); all others are joined.
+HEAD = 400_000
+#: Words, each letter of scripts without blanks, marks and line ends; other white space is passed over.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(f"[^\\W{ALONE}]+|[^\\w\\s]|[\\w{ALONE}]|\n")
+#: Of a probability or a context's weight.
+TINY = 1e-12
 
 
 @lru_cache(maxsize=1)
@@ -101,20 +114,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 def discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gram, p): the discounted share of its context, and (context, weight): what the next lower order gets there."""
-    t = [F.sum(F.when(F.col("count") == k, 1).otherwise(0)).alias(f"t{k}") for k in (1, 2, 3, 4)]
-    one, two, three, four = (float(x or 0) for x in counts.agg(*t).first())
-    y = one / (one + 2 * two) if one else 0.0
-    more = lambda k, a, b: min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a else 0.0
-    d1, d2, d3 = more(1, one, two), more(2, two, three), more(3, three, four)
-    off = F.when(F.col("count") == 1, d1).when(F.col("count") == 2, d2).otherwise(d3)
-    keyed = counts.withColumns({"context": F.expr(f"gram div {SYMBOLS}"), "off": off})
+    keyed = counts.withColumns({"context": F.expr(f"gram div {SYMBOLS}"), "off": offs(counts)})
     sums = keyed.groupBy("context").agg(F.sum("count").alias("whole"), F.sum("off").alias("taken"))
     shares = keyed.join(sums, "context").select("gram", ((F.col("count") - F.col("off")) / F.col("whole")).alias("p"))
     return shares, sums.select("context", (F.col("taken") / F.col("whole")).alias("weight"))
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    """The negative log probability of each n-gram's last symbol after the others, of interpolated modified Kneser-Ney."""
+    """Of the model of characters: the negative log probability of each n-gram's last symbol after the others, of interpolated modified Kneser-Ney."""
     counts = {ORDER: common.cut(gram_counts(docs))}
     for k in range(ORDER - 1, 0, -1):
         # lower orders count the different symbols before an n-gram, not its occurrences
@@ -131,20 +138,177 @@ def train(docs: DataFrame) -> np.ndarray:
     return -np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
-def scores(docs: DataFrame, cost: np.ndarray) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, lang): doc_id, text_hash, lang, n_chars, nats (their sum)."""
+@lru_cache(maxsize=1)
+def class_costs() -> np.ndarray:
+    """The cost of one character of each class, all of them alike."""
+    return np.log(np.maximum(np.bincount(classes(), minlength=SYMBOLS), 1))
+
+
+def spelled(words: list[str], cost: np.ndarray) -> np.ndarray:
+    """The cost of each word's characters and its end."""
+    gram, lengths = grams([w + " " for w in words])
+    each = cost[gram] + np.where(gram % SYMBOLS > 0, class_costs()[gram % SYMBOLS], 0.0)
+    return np.add.reduceat(each, np.cumsum(lengths) - lengths) if words else np.zeros(0)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two."""
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_grams(texts: list[str], cost: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Per word of the texts: the text's number, grams of 1 to WORDS words that end there, contexts of 1 to WORDS - 1 words before, cost of spelling."""
+    found = [TOKEN.findall(t) for t in texts]
+    lengths = np.array([len(f) for f in found], np.int64)
+    n = int(lengths.sum())
+    code, words = pd.factorize(np.array([w for f in found for w in f], object)) if n else (np.zeros(0, np.int64), np.zeros(0, object))
+    own = pd.util.hash_array(words, categorize=False) if n else np.zeros(0, np.uint64)
+    # WORDS - 1 start marks before each text
+    marked = np.full(n + (WORDS - 1) * len(texts), START, np.uint64)
+    number = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(n) + (WORDS - 1) * (number + 1)
+    marked[place] = own[code]
+    made, keys = marked, [marked]
+    for k in range(1, WORDS):
+        made = np.concatenate((made[:1], paired(made[:-1], marked[1:])))
+        keys.append(made)
+    keys = [k.view(np.int64) for k in keys]
+    return number, [k[place] for k in keys], [k[place - 1] for k in keys[:-1]], spelled(list(words), cost)[code] if n else np.zeros(0)
+
+
+def word_counts(docs: DataFrame, cost: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(gram, context, shorter, count) of the texts' longest grams, and (gram, context, word, spelling) of the pairs in them."""
     common.bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(cost)
 
+    def longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batched(batches):
+            _, own, contexts, _ = word_grams(batch["text"].tolist(), sent.value)
+            gram, at, n = np.unique(own[2], return_index=True, return_counts=True)
+            yield pd.DataFrame({"gram": gram, "context": contexts[1][at], "shorter": own[1][at], "count": n})
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batched(batches):
+            _, own, contexts, spelling = word_grams(batch["text"].tolist(), sent.value)
+            gram, at = np.unique(own[1], return_index=True)
+            yield pd.DataFrame({"gram": gram, "context": contexts[0][at], "shorter": own[0][at], "spelling": spelling[at]})
+
+    texts = docs.select(common.text_of().alias("text"))
+    full = texts.mapInPandas(longest, "gram long, context long, shorter long, count long").groupBy("gram").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("count").alias("count"))
+    two = texts.mapInPandas(pairs, "gram long, context long, shorter long, spelling double").groupBy("gram").agg(*[F.first(c).alias(c) for c in ("context", "shorter", "spelling")])
+    return full, two
+
+
+def offs(counts: DataFrame) -> F.Column:
+    """The discount of each count, of modified Kneser-Ney."""
+    t = [F.sum(F.when(F.col("count") == k, 1).otherwise(0)).alias(f"t{k}") for k in (1, 2, 3, 4)]
+    one, two, three, four = (float(x or 0) for x in counts.agg(*t).first())
+    y = one / (one + 2 * two) if one else 0.0
+    more = lambda k, a, b: min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a else 0.0
+    return F.when(F.col("count") == 1, more(1, one, two)).when(F.col("count") == 2, more(2, two, three)).otherwise(more(3, three, four))
+
+
+def train_words(docs: DataFrame, cost: np.ndarray) -> tuple[DataFrame, float]:
+    """(key, gram_term, context_term, count) of all grams and contexts, and the cost of leaving the model for the spelling.
+
+    A text's cost is that of leaving and of the spelling of each word, and the terms of all grams and contexts that the table has.
+    """
+    full, two = word_counts(docs, cost)
+    full = common.cut(full)
+    # lower orders count the different words before a gram
+    two = common.cut(two.join(full.groupBy(F.col("shorter").alias("gram")).agg(F.count("*").alias("count")), "gram"))
+    one = common.cut(two.groupBy(F.col("shorter").alias("gram")).agg(F.count("*").alias("count"), F.min("spelling").alias("spelling")))
+    off = offs(one)
+    whole, taken = one.agg(F.sum("count"), F.sum(off)).first()
+    if not whole:
+        return docs.sparkSession.createDataFrame([], "key long, gram_term double, context_term double, count long"), 0.0
+    weight = max(taken / whole, TINY)
+    leave = -float(np.log(weight))
+    nats = lambda p: -F.log(F.greatest(p, F.lit(TINY * TINY)))
+    below = one.select("gram", "count", nats((F.col("count") - off) / F.lit(float(whole)) + F.lit(weight) * F.exp(-F.col("spelling"))).alias("cost"), "spelling")
+    terms = [below.select(F.col("gram").alias("key"), (F.col("cost") - F.col("spelling") - F.lit(leave)).alias("gram_term"), F.lit(0.0).alias("context_term"), "count")]
+    for table in (two, full):
+        kept = table.select("gram", "context", "shorter", "count", offs(table).alias("off"))
+        sums = common.cut(kept.groupBy("context").agg(F.sum("count").alias("whole"), F.greatest(F.sum("off") / F.sum("count"), F.lit(TINY)).alias("weight")))
+        shorter = below.select(F.col("gram").alias("shorter"), F.col("cost").alias("less"))
+        own = nats((F.col("count") - F.col("off")) / F.col("whole") + F.col("weight") * F.exp(-F.col("less")))
+        below = common.cut(kept.join(sums, "context").join(shorter, "shorter").select("gram", "count", own.alias("cost"), (own - F.col("less") + F.log("weight")).alias("term")))
+        terms.append(below.select(F.col("gram").alias("key"), F.col("term").alias("gram_term"), F.lit(0.0).alias("context_term"), "count"))
+        terms.append(sums.select(F.col("context").alias("key"), F.lit(0.0).alias("gram_term"), (-F.log("weight")).alias("context_term"), F.col("whole").alias("count")))
+    every = terms[0]
+    for term in terms[1:]:
+        every = every.unionByName(term)
+    return common.cut(every.groupBy("key").agg(F.sum("gram_term").alias("gram_term"), F.sum("context_term").alias("context_term"), F.max("count").alias("count"))), leave
+
+
+def split_terms(terms: DataFrame, most: int) -> tuple[pd.DataFrame, DataFrame | None]:
+    """The terms of the commonest keys, at most so many, sorted by key; and all others, if any."""
+    least, n = None, 0
+    sizes = sorted(((r["count"], r["n"]) for r in terms.groupBy(F.least("count", F.lit(100_000)).alias("count")).agg(F.count("*").alias("n")).toLocalIterator()), reverse=True)
+    for count, more in sizes:
+        if n + more > most:
+            break
+        least, n = count, n + more
+    near = F.col("count") >= F.lit(least) if least is not None else F.lit(False)
+    head = terms.where(near).select("key", "gram_term", "context_term").toPandas().sort_values("key", ignore_index=True)
+    return head, terms.where(~near) if n < sum(m for _, m in sizes) else None
+
+
+def scores(docs: DataFrame, cost: np.ndarray, terms: DataFrame, leave: float, most: int = HEAD) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, lang): doc_id, text_hash, lang, n_chars, nats (their sum)."""
+    common.bounded_batches(docs.sparkSession)
+    head, tail = split_terms(terms, most)
+    sent = docs.sparkSession.sparkContext.broadcast((cost, head["key"].to_numpy(np.int64), head["gram_term"].to_numpy(float), head["context_term"].to_numpy(float)))
+
+    def place(keys: np.ndarray) -> np.ndarray:
+        """Rows of the head, -1 for others."""
+        names = sent.value[1]
+        if not names.size:
+            return np.full(keys.size, -1)
+        some, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(names, some), names.size - 1)
+        return np.where(names[at] == some, at, -1)[back]
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cost, _, grams_of, contexts_of = (*sent.value,)
+        for batch in batched(batches):
+            texts = batch["text"].tolist()
+            number, own, contexts, each = word_grams(texts, cost)
+            each = each + leave
+            for keys, values in [*((k, grams_of) for k in own), *((k, contexts_of) for k in contexts)]:
+                at = place(keys)
+                each += np.where(at >= 0, np.append(values, 0.0)[at], 0.0)
+            nats = np.bincount(number, each, minlength=len(texts))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "lang": batch["lang"], "n_chars": [len(t) for t in texts], "nats": nats})
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batched(batches):
-            gram, lengths = grams(batch["text"].tolist())
-            sums = np.concatenate(([0.0], np.cumsum(sent.value[gram], dtype=np.float64)))
-            ends = np.cumsum(lengths)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "lang": batch["lang"], "n_chars": lengths, "nats": sums[ends] - sums[ends - lengths]})
+            number, own, contexts, _ = word_grams(batch["text"].tolist(), sent.value[0])
+            for k in range(WORDS):
+                sets = [own[k], *contexts[k : k + 1]]
+                key, which, n = np.concatenate(sets), np.tile(number, len(sets)), np.repeat([1, 1 << 32], number.size)[: number.size * len(sets)]
+                far = place(key) < 0
+                key, which, n = key[far], which[far], n[far]
+                if key.size:
+                    order = np.lexsort((key, which))
+                    key, which, n = key[order], which[order], n[order]
+                    first = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (key[1:] != key[:-1]))))
+                    yield pd.DataFrame({"text_hash": batch["text_hash"].to_numpy(np.int64)[which[first]], "key": key[first], "n": np.add.reduceat(n, first)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_of()).alias("text_hash"), F.col("lang").cast("string").alias("lang"), common.text_of().alias("text"))
-    return rows.mapInPandas(score, "doc_id long, text_hash long, lang string, n_chars long, nats double")
+    found = rows.mapInPandas(score, "doc_id long, text_hash long, lang string, n_chars long, nats double")
+    if tail is None:
+        return found
+    found = common.cut(found)
+    # n: times as a gram, and as a context in the upper half
+    asked = rows.select("text_hash", "text").mapInPandas(others, "text_hash long, key long, n long")
+    more = asked.join(tail, "key").groupBy("text_hash").agg(F.sum(F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)) * F.col("gram_term") + F.shiftright("n", 32) * F.col("context_term")).alias("more"))
+    # each copy of a text has asked
+    copies = found.groupBy("text_hash").agg(F.count("*").alias("copies"))
+    more = more.join(copies, "text_hash").select("text_hash", (F.col("more") / F.col("copies")).alias("more"))
+    return found.join(more, "text_hash", "left").select("doc_id", "text_hash", "lang", "n_chars", (F.col("nats") + F.coalesce("more", F.lit(0.0))).alias("nats"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -185,8 +349,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     ids = trusted_ids(labels)
     marked = docs.select("doc_id", "text", "lang").join(ids, docs["doc_id"].cast("long") == ids["trusted_id"], "left")
-    cost = train(marked.where(F.col("trusted_id").isNotNull() & ~unseen()))
-    scored = scores(docs, cost)
+    seen = marked.where(F.col("trusted_id").isNotNull() & ~unseen())
+    cost = train(seen)
+    scored = scores(docs, cost, *train_words(seen, cost))
     scored = common.cut(scored.join(ids, scored["doc_id"] == ids["trusted_id"], "left").select("doc_id", "text_hash", "lang", "n_chars", "nats", F.col("trusted_id").isNotNull().alias("trusted"), F.coalesce(unseen(), F.lit(False)).alias("unseen")), keep=True)
     found = {r["of"]: r for r in limits(scored).where(f"n >= {LEAST} or of = '*'").toLocalIterator()}
     spark = docs.sparkSession
