@@ -82,3 +82,9 @@ def test_no_documents(spark, make_docs):
     where = common.work_dir(spark, "test")
     wavelet.write_shards(make_docs([]), where, PATH)
     assert wavelet.read_shards(spark, where).count() == 0
+
+
+def test_special_strings_in_other_cases():
+    made = wavelet.encoder(PATH)
+    for text in ("a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|ENDOFTEXT|>y <|endoftext|>", *(f"A {s.upper()} b" for s in made.special)):
+        assert np.frombuffer(made.encode([text])[0], made.kind).tolist() == made.library.encode(text, add_special_tokens=False).ids

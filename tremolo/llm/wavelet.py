@@ -204,7 +204,7 @@ class WordEncoder:
     The tokenizer's normaliser and splitter never join what white space separates, so a text's ids are those of its chunks in
     order. A chunk of Latin letters and then punctuation is split between the two, and the letters, in lower case and in the
     byte alphabet, are given to the library's model; other chunks to the whole library. Texts that hold a special token's string,
-    or separators that Python and the tokenizer judge differently, are given to the library whole.
+    in any case, or separators that Python and the tokenizer judge differently, are given to the library whole.
     """
 
     ODD = re.compile("[\x1c-\x1f]")
@@ -225,6 +225,8 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.levels <= 16 else "<u4")
         self.code = "H" if self.levels <= 16 else "I"
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # a character of each that has no case
+        self.marks = {next((c for c in s if c.lower() == c.upper()), "") for s in self.special}
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
@@ -246,11 +248,18 @@ class WordEncoder:
         letters = plain[1].lower()
         return self.chunks[letters] + self.rest[plain[2]] if plain[2] else self._word(letters)
 
+    def _special(self, text: str) -> bool:
+        """Whether a special token's string is in the text in any case: lower case must not make one of what is none."""
+        if not any(m in text for m in self.marks):
+            return False
+        low = text.lower()
+        return any(s.lower() in low for s in self.special)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``kind``."""
         find, out = self.chunks.__getitem__, []
         for text in texts:
-            if self.ODD.search(text) or any(s in text for s in self.special):
+            if self.ODD.search(text) or self._special(text):
                 out.append(self._library([text])[0])
             else:
                 out.append(b"".join(map(find, (text if self.BEYOND.search(text) else text.lower()).split())))
