@@ -133,3 +133,11 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
 def test_bootstrap_of_clusters(spark):
     rows = spark.range(60).select(F.lit("p").alias("c"), F.col("id").cast("double").alias("d"), (F.col("id") % 6).alias("g"))
     assert bootstrap.replicates(rows, ["c"], ["d"], lambda g: g["d"].mean(), 10, cluster="g").count() == 10
+
+
+def test_queries_draw_the_studys_replicates(spark, sf):
+    from tremolo.plans import analysis
+
+    ci, aurc = analysis.bootstrap_ci(spark, sf).collect(), analysis.bootstrap_aurc(spark, sf).collect()
+    assert ci and {r.b for r in ci} == {2000}
+    assert aurc and {r.b for r in aurc} == {20_000} and all(r.p_boot >= 2 / 20_001 for r in aurc)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, entropy, regress, selective, stats
+from ..params import DEFAULT
 from . import standins as s
 from .concept_lane import CELL, PAIR_SQL, order_differences, r
 from .registry import query
@@ -218,11 +219,15 @@ def logit_hurdle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regress.logit(s.selection(spark, sf_dir), "correct", ["entropy", "margin"], "lang").table(spark)
 
 
+#: The study's replicates of an interval (STA-11); those of areas (STA-12) are DEFAULT.bootstrap.
+BOOTSTRAP_CI = 2000
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA-11: intervals of the rank-biserial of order pairs; draws are random, so SQL has no counterpart."""
     pairs = order_differences(spark, sf_dir)
-    values = bootstrap.replicates(pairs, ["pair"], ["d"], lambda g: bootstrap.rank_biserial(g["d"].to_numpy()), 200, chunk=50)
+    values = bootstrap.replicates(pairs, ["pair"], ["d"], lambda g: bootstrap.rank_biserial(g["d"].to_numpy()), BOOTSTRAP_CI)
     return bootstrap.interval(values, ["pair"])
 
 
@@ -231,7 +236,7 @@ def bootstrap_aurc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA-12: replicates of the difference of two areas on one set of rows."""
     rows = s.selection(spark, sf_dir)
     delta = lambda g: bootstrap.trapezoid_aurc(g["entropy"].to_numpy(), g["correct"].to_numpy()) - bootstrap.trapezoid_aurc(-g["margin"].to_numpy(), g["correct"].to_numpy())
-    values = bootstrap.replicates(rows, ["lang"], ["entropy", "margin", "correct"], delta, 200, chunk=50)
+    values = bootstrap.replicates(rows, ["lang"], ["entropy", "margin", "correct"], delta, DEFAULT.bootstrap)
     return stats.bootstrap_p(values, ["lang"], "value").join(bootstrap.interval(values, ["lang"]).drop("b"), "lang")
 
 
