@@ -77,3 +77,15 @@ def test_stand_in_providers():
     assert a == b and sum(x * x for x in a) == pytest.approx(1)
     assert LexicalNli().entailment(["a b"], ["a c"]) == [0.5] and LexicalNli().contradiction(["no a"], ["a"]) == [1.0]
     assert SuffixTagger().tag(["quickly", "7", "!"]) == ["ADV", "NUM", "PUNCT"] and RepeatChecker().errors(["the the cat"]) == [1]
+
+
+def test_queries_without_sql_read_whole_turns(spark, tmp_path):
+    from tremolo.plans import grid_lane, quality
+
+    head = "the same words over and over again " * 3
+    turns = [(1, k, "user", f"{head}{tail}") for k, tail in enumerate(["alpha", "omega", "alpha"])]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    changed = [r.changed_tokens for r in quality.changed_tokens(spark, str(tmp_path)).orderBy("turn").collect()]
+    assert ["omega" in changed[0], "alpha" in changed[1]] == [True, True]
+    gates = grid_lane.staged_gates(spark, str(tmp_path))
+    assert gates.count() == 2

@@ -134,7 +134,7 @@ def identity_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("changed_tokens")
 def changed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-13: an edit script has no SQL; the suite holds it against difflib by hand."""
-    return s.turns(spark, sf_dir).select("conv_id", "turn", F.array_join(perturb.changed_words("pred", "gold"), "|").alias("changed_tokens"))
+    return s.whole_turns(spark, sf_dir).select("conv_id", "turn", F.array_join(perturb.changed_words("pred", "gold"), "|").alias("changed_tokens"))
 
 
 @query("mention_context")
@@ -147,14 +147,14 @@ def mention_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("answer_clusters")
 def answer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CLU-01 by the lexical stand-in; cells of up to eight turns."""
-    rows = s.turns(spark, sf_dir).select("conv_id", F.col("turn").alias("_ord"), "pred")
+    rows = s.whole_turns(spark, sf_dir).select("conv_id", F.col("turn").alias("_ord"), "pred")
     return qa.answer_clusters(rows, ["conv_id"], "pred", LexicalNli(), least=0.4)
 
 
 @query("threshold_sweep")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA-28."""
-    rows = s.turns(spark, sf_dir).select("conv_id", F.col("turn").alias("_ord"), "pred")
+    rows = s.whole_turns(spark, sf_dir).select("conv_id", F.col("turn").alias("_ord"), "pred")
     return qa.threshold_sweep(rows, ["conv_id"], "pred", LexicalNli(), [0.2, 0.5, 0.8])
 
 

@@ -75,11 +75,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 VECTORS = """scores as (select q.vec_id as query_id, f.vec_id as form_id, 'C' || lpad(f.label::varchar, 7, '0') as cui, list_dot_product(q.embedding::double[], f.embedding::double[]) as score from embeddings q, embeddings f where q.vec_id < 100 and f.vec_id >= 100)"""
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as answers: each turn predicts the next."""
     c = table(spark, sf_dir, "conversations")
     gold = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.select("conv_id", "turn", F.left("text", F.lit(60)).alias("pred"), F.left(gold, F.lit(60)).alias("gold")).where("gold is not null")
+    return c.select("conv_id", "turn", F.col("text").alias("pred"), gold.alias("gold")).where("gold is not null")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 characters of both, as the SQL has them."""
+    return whole_turns(spark, sf_dir).withColumns({c: F.left(c, F.lit(60)) for c in ("pred", "gold")})
 
 
 TURNS = """qa as (select * from (select conv_id, turn, text[1:60] as pred, (lead(text) over (partition by conv_id order by turn))[1:60] as gold from conversations) where gold is not null)"""
