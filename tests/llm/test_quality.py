@@ -12,22 +12,29 @@ from .conftest import ODD
 
 
 def brute_kneser_ney(texts):
-    """Interpolated modified Kneser-Ney by the textbook, over class sequences; a function of (context, symbol)."""
+    """Interpolated modified Kneser-Ney by the textbook; a function of (context, symbol). None stands before a text."""
     n, counts = quality.ORDER, [Counter() for _ in range(quality.ORDER + 1)]
+    raw = Counter()
     for t in texts:
-        s = [quality.START] * (n - 1) + quality.classes()[[ord(c) for c in t]].tolist()
-        counts[n].update(tuple(s[i - n + 1 : i + 1]) for i in range(n - 1, len(s)))
+        s = [None] * (n - 1) + list(t)
+        for k in range(1, n + 1):
+            raw.update(tuple(s[i - k + 1 : i + 1]) for i in range(n - 1, len(s)))
+    counts[n].update({g: c for g, c in raw.items() if len(g) == n})
     for k in range(n - 1, 0, -1):
         counts[k].update(g[1:] for g in counts[k + 1])
+        # nothing stands before a beginning: its occurrences are counted
+        for g in counts[k]:
+            if g[0] is None:
+                counts[k][g] = raw[g]
     discounts = {}
     for k in range(1, n + 1):
         t = [sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]
         y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0
-        discounts[k] = [0] + [min(max(i - (i + 1) * y * t[i] / t[i - 1], 0), i) if t[i - 1] else 0 for i in (1, 2, 3)]
+        discounts[k] = [0] + ([min(max(i - (i + 1) * y * t[i] / t[i - 1], 0), i) for i in (1, 2, 3)] if all(t) else [0.5, 1, 1.5])
 
     def p(context, w):
         k = len(context) + 1
-        lower = p(context[1:], w) if context else 1 / quality.SYMBOLS
+        lower = p(context[1:], w) if context else 1 / quality.ALPHABET
         own = {g[-1]: c for g, c in counts[k].items() if g[:-1] == context}
         if not own:
             return lower
@@ -38,21 +45,44 @@ def brute_kneser_ney(texts):
     return p
 
 
-def test_model_against_the_textbook(make_docs):
+def brute_nats(p, text):
+    n = quality.ORDER - 1
+    s = [None] * n + list(text)
+    return -sum(np.log(p(tuple(s[i - n : i]), s[i])) for i in range(n, len(s)))
+
+
+@pytest.mark.parametrize("most", [0, 3, 60, 10**6])
+@pytest.mark.parametrize("part", [7, 10**6])
+def test_model_against_the_textbook(make_docs, monkeypatch, most, part):
+    monkeypatch.setattr(quality, "BATCH_CHARS", part)
     draw = random.Random(1)
-    texts = ["".join(draw.choice("abc. ") for _ in range(60)) for _ in range(8)]
-    cost = quality.train(make_docs(texts))
+    # repeated beginnings and rare letters, so that no discount is nought
+    texts = [("ab" if i % 2 else "ca") + "".join(draw.choice("abc. ") for _ in range(60)) + f"{chr(0x430 + i)}{chr(0x430 + i // 2)}{chr(0x4E00 + i // 4)}" for i in range(10)]
     p = brute_kneser_ney(texts)
-    for text in texts[:2] + ["abz!\n", "c"]:
-        gram, _ = quality.grams([text])
-        s = [quality.START] * 3 + quality.classes()[[ord(c) for c in text]].tolist()
-        want = [p(tuple(s[i : i + 3]), s[i + 3]) for i in range(len(text))]
-        assert np.exp(-cost[gram]) == pytest.approx(want, rel=1e-5)
+    asked = [texts[0], texts[0], "abz!\n", "c", "", "zzzzzz abc", "а中б\x00\U0010ffff", "bca. " * 9]
+    rows = quality.scores(make_docs(asked), *quality.train(make_docs(texts)), most=most).collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        assert r.nats == pytest.approx(brute_nats(p, asked[r.doc_id]), rel=1e-6, abs=1e-9)
 
 
-def test_distributions_sum_to_one(make_docs):
-    cost = quality.train(make_docs(["the cat sat on the mat. ", "a dog!"])).reshape(-1, quality.SYMBOLS)
-    assert np.exp(-cost.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(cost)), rel=1e-4)
+def test_probabilities_sum_to_one(make_docs):
+    terms, base = quality.train(make_docs(["the cat sat on the mat. ", "a dog!", "the cat."]))
+    known = sorted({bytes(r.gram) for r in terms.where("k = 1 and cost is not null").collect()})
+    letters = [chr(int.from_bytes(g, "big") - 1) for g in known]
+    for context in ("", "the ", "a ", "zzzz"):
+        rows = quality.scores(make_docs([context, *(context + c for c in letters), context + "\U0010ffff"]), terms, base).collect()
+        nats = {r.doc_id: r.nats for r in rows}
+        unknown = np.exp(nats[0] - nats[len(letters) + 1]) * (quality.ALPHABET - len(letters))
+        assert sum(np.exp(nats[0] - nats[i + 1]) for i in range(len(letters))) + unknown == pytest.approx(1.0, rel=1e-6)
+
+
+def test_lookup_finds_all_and_no_others():
+    draw = np.random.default_rng(3)
+    keys = np.unique(draw.integers(0, 1 << 64, 5000, np.uint64))
+    rows = quality.Lookup(keys).find(np.concatenate((keys, keys + np.uint64(1), np.zeros(1, np.uint64))))
+    assert rows[: keys.size].tolist() == list(range(keys.size)) and (rows[keys.size :] < 0).all()
+    assert (quality.Lookup(np.empty(0, np.uint64)).find(keys) < 0).all()
 
 
 def sample(make_docs, spark, n=400):
@@ -91,54 +121,15 @@ def test_nothing_trusted_keeps_all(spark, make_docs):
     assert quality.judge(make_docs([]), none).count() == 0
 
 
-def brute_words(texts, cost):
-    """Interpolated modified Kneser-Ney over words by the textbook, on the spelling; a function of (context, word)."""
-    counts = [Counter() for _ in range(4)]
-    for t in texts:
-        s = [None, None, *quality.TOKEN.findall(t)]
-        counts[3].update(tuple(s[i - 2 : i + 1]) for i in range(2, len(s)))
-    for k in (2, 1):
-        counts[k].update(g[1:] for g in counts[k + 1])
-    off = {}
-    for k in (1, 2, 3):
-        t = [sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]
-        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0
-        off[k] = [0] + [min(max(i - (i + 1) * y * t[i] / t[i - 1], 0), i) if t[i - 1] else 0 for i in (1, 2, 3)]
-
-    def p(context, w):
-        k = len(context) + 1
-        lower = p(context[1:], w) if context else float(np.exp(-quality.spelled([w], cost)[0]))
-        own = {g[-1]: c for g, c in counts[k].items() if g[:-1] == context}
-        if not own:
-            return lower
-        taken = {s: off[k][min(c, 3)] for s, c in own.items()}
-        return (max(own.get(w, 0) - taken.get(w, 0), 0) + sum(taken.values()) * lower) / sum(own.values())
-
-    return p
-
-
-@pytest.mark.parametrize("most", [0, 25, 10**6])
-def test_word_model_against_the_textbook(make_docs, most):
-    draw = random.Random(3)
-    words = ["der", "Hund", "die", "Katze", "hund", "слово", "волос", "中", ",", "."]
-    made = lambda n: " ".join(draw.choice(words[: draw.choice((4, 10))]) for _ in range(n))
-    # rare words, so that no discount is nought
-    texts = [f"{made(20)} rare{i} {made(9)} rare{i // 2} {made(9)} few{i // 4}" for i in range(10)]
-    cost = quality.train(make_docs(texts))
-    p = brute_words(texts, cost)
-    asked = [texts[0], texts[0], made(30), "zzz der Hund", "", "中中文", "Hund\ndie"]
-    rows = quality.scores(make_docs(asked), cost, *quality.train_words(make_docs(texts), cost), most=most).collect()
-    assert len(rows) == len(asked)
-    for r in rows:
-        s = [None, None, *quality.TOKEN.findall(asked[r.doc_id])]
-        assert r.nats == pytest.approx(-sum(np.log(p(tuple(s[i - 2 : i]), s[i])) for i in range(2, len(s))), rel=1e-6)
+def test_letters_and_their_order_tell(make_docs):
+    terms, base = quality.train(make_docs(["мама мыла раму и папа читал газету . " * 3] * 5))
+    nats = {r.doc_id: r.nats for r in quality.scores(make_docs(["мама мыла раму", "мими мыли рими", "раму мама мыла"]), terms, base).collect()}
+    assert nats[0] < nats[2] < nats[1]
 
 
-def test_letters_of_a_class_and_word_order_tell(make_docs):
-    """The Cyrillic а and и are eight code points apart: of one class."""
-    texts = ["мама мыла раму и папа читал газету . " * 3] * 5
-    cost = quality.train(make_docs(texts))
-    assert quality.classes()[ord("а")] == quality.classes()[ord("и")]
-    asked = ["мама мыла раму", "мими мыли рими", "раму мама мыла"]
-    nats = {r.doc_id: r.nats for r in quality.scores(make_docs(asked), cost, *quality.train_words(make_docs(texts), cost)).collect()}
-    assert nats[0] < nats[2] < nats[1]
+def test_a_small_languages_limits_are_drawn_to_all(spark, make_docs):
+    docs, labels = sample(make_docs, spark)
+    rows = {r.lang: r for r in quality.judge(docs, labels).collect()}
+    few = make_docs(["the house and of water under green small " * 5], langs=["xx"], ids=[9])
+    alone = quality.judge(docs.unionByName(few), labels).where("lang = 'xx'").first()
+    assert rows["de"].low < alone.high and alone.low < alone.high and alone.keep
