@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tremolo.llm import exact_dedup
 
@@ -41,16 +43,31 @@ def test_many_levels(make_docs, block):
     check(make_docs(texts), list(enumerate(texts)), block_bytes=block)
 
 
-def test_hot_blocks(make_docs, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
-    texts = ["same text of three blocks" + " " * (i % 4) for i in range(60)] + [f"own {i}" for i in range(20)] + ["same text of three blockS"]
+@pytest.mark.parametrize("most", [0, 1, 3, 40])
+def test_hot_blocks_and_shuffled_names(make_docs, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_NAMES", most)
+    texts = ["same text of three blocks" + " " * (i % 4) for i in range(60)] + [f"own {i}" for i in range(20)] + ["same text of three blockS", "", " ", None]
     check(make_docs(texts), list(enumerate(texts)), block_bytes=8)
 
 
-def test_repeated_rows_are_one_document(make_docs):
-    docs = make_docs(["x y", "x y", "xy", "other"], ids=[1, 1, 2, 1])
-    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs).collect())
-    assert got == [(1, 1, 1, True), (1, 1, 3, True), (2, 1, 3, False)]
+def test_colliding_hashes_are_taken_anew(make_docs, monkeypatch):
+    own = exact_dedup.hashes
+    bad = lambda seed: own(seed) if seed else [(F.octet_length("block") % 2).cast("long").alias(c) for c in exact_dedup.KEYS]
+    monkeypatch.setattr(exact_dedup, "hashes", bad)
+    texts = ["abc", "abd", "abcd", "a b c", "x"]
+    check(make_docs(texts), list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_repeated_rows_and_null_ids_against_the_sql(spark, make_docs, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_NAMES", most)
+    texts = ["x y", "x y", "xy", "other", "x y", None, "", None, "xy", "x y", "lone", "lone", "lone "]
+    ids = [1, 1, 2, 1, None, None, None, None, None, None, 7, 7, 7]
+    make_docs(texts, ids=ids).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.op2_exact_dedup(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(exact_dedup.ORACLE).fetchall(), key=str) and len(got) == 13
 
 
 def test_no_documents(make_docs):

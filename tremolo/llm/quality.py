@@ -112,7 +112,7 @@ class Lookup:
     """Rows of given 64-bit keys, by open addressing over whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(4 * keys.size - 1).bit_length()) if keys.size else 4
+        bits = max(4, int(2 * keys.size - 1).bit_length()) if keys.size else 4
         self.shift = np.uint64(64 - bits)
         slot = self._slot(keys)
         order = np.argsort(slot, kind="stable")

@@ -28,8 +28,8 @@ MAGIC = b"TWM1"
 BLOCK_BITS = 1 << 19
 #: Ids of a shard, but for a longer single document; a writer holds about 20 bytes an id.
 SHARD_TOKENS = 4_000_000
-#: Chunks of text whose ids a worker remembers at a time (some 200 bytes each).
-CACHE_WORDS = 750_000
+#: Chunks of text in each half of what a worker remembers (some 200 bytes each, 60 MB in all).
+CACHE_WORDS = 150_000
 LONG_WORD = 64
 #: Tasks that read shards, at most.
 READERS = 20_000
@@ -183,16 +183,19 @@ def open_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
 
 
 class Remembered(dict):
-    """The ids of pieces of text, made when first asked for; forgets all when it holds too many."""
+    """The ids of pieces of text, made when first asked for: the last ``most`` made or asked for again, and as many before them."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.make(piece)
         if len(piece) <= LONG_WORD:
             if len(self) >= self.most:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
