@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -88,3 +89,20 @@ def test_special_strings_in_other_cases():
     made = wavelet.encoder(PATH)
     for text in ("a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|ENDOFTEXT|>y <|endoftext|>", *(f"A {s.upper()} b" for s in made.special)):
         assert np.frombuffer(made.encode([text])[0], made.kind).tolist() == made.library.encode(text, add_special_tokens=False).ids
+
+
+def test_word_table_agrees_with_the_library_when_it_forgets(monkeypatch):
+    """Odd blanks, joined marks, words of 15 and 16 bytes, zero bytes and texts longer than a part."""
+    made = wavelet.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert made.known
+    draw = random.Random(8)
+    alphabet = "abcdeABC ÄäßéÉñ ,.;:!?'’-—\t\n \u0085 \x00\x1f123٣中文ﬁıİǅ<|>_ Ⅷ"
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 80))) for _ in range(3000)]
+    texts += ["abcdefghijklmno abcdefghijklmnop abcdefghijklmnopq " * 3, "a\x00 a a\x00\x00", "don't we'll I'M", "<|ENDOFTEXT|> a", "Many words of a long text. " * 400]
+    want = [np.array(e.ids, made.kind).tobytes() for e in made.library.encode_batch(texts, add_special_tokens=False)]
+    assert made.encode(texts) == want
+    made.table = wavelet.WordTable(made._chunk, made.chunks.__getitem__, made.kind, most=3000)
+    monkeypatch.setattr(wavelet, "BATCH_CHARS", 1500)
+    assert made.encode(texts) == want
+    made.known = False
+    assert made.encode(texts[-9:]) == want[-9:]

@@ -11,7 +11,9 @@ import json
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +30,24 @@ MAGIC = b"TWM1"
 BLOCK_BITS = 1 << 19
 #: Ids of a shard, but for a longer single document; a writer holds about 20 bytes an id.
 SHARD_TOKENS = 4_000_000
-#: Chunks of text in each half of what a worker remembers (some 200 bytes each, 60 MB in all).
-CACHE_WORDS = 150_000
+#: Chunks of text that a worker remembers at a time: long or odd ones (some 200 bytes each), and words (some 50 bytes each).
+CACHE_WORDS, TABLE_WORDS = 40_000, 1 << 20
+#: Characters that are looked up at once; no more words than TABLE_WORDS.
+BATCH_CHARS = 1 << 19
 LONG_WORD = 64
 #: Tasks that read shards, at most.
 READERS = 20_000
 
+#: The normaliser and splitter of the tokenizer whose words are remembered, as its file has them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 MANIFEST = "shard string, part int, seq int, n_docs long, n_tokens long, n_bytes long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 
@@ -183,24 +197,112 @@ def open_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
 
 
 class Remembered(dict):
-    """The ids of pieces of text, made when first asked for: the last ``most`` made or asked for again, and as many before them."""
+    """The ids of pieces of text, made when first asked for; forgets all when it holds too many."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most, self.before = make, most, {}
+        self.make, self.most = make, most
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece)
-        if ids is None:
-            ids = self.make(piece)
+        ids = self.make(piece)
         if len(piece) <= LONG_WORD:
             if len(self) >= self.most:
-                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+class WordTable:
+    """The ids of words of up to 15 bytes, looked up for a whole text at once: open addressing over arrays.
+
+    A word's key is its bytes and their number in two integers, so no two words share one. Forgets all when it holds too many.
+    """
+
+    BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+    #: The first k bytes of eight.
+    FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def __init__(self, make, make_long, kind: np.dtype, most: int = TABLE_WORDS):
+        self.make, self.make_long, self.kind, self.most = make, make_long, kind, most
+        self.bits = int(2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.low, self.high = np.zeros(self.most, np.uint64), np.zeros(self.most, np.uint64)
+        self.at, self.n = np.zeros(self.most, np.int64), np.zeros(self.most, np.int64)
+        self.ids, self.words, self.filled = np.empty(4 * self.most, self.kind), 0, 0
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 of those that aren't held."""
+        slot = self._slot(low, high)
+        out = self.slots[slot]
+        left = np.flatnonzero((out >= 0) & ((self.low[out] != low) | (self.high[out] != high)))
+        while left.size:
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            here = self.slots[slot[left]]
+            out[left] = here
+            left = left[(here >= 0) & ((self.low[here] != low[left]) | (self.high[here] != high[left]))]
+        return out
+
+    def _add(self, low: np.ndarray, high: np.ndarray, made: list[bytes]) -> None:
+        """Words that aren't held, each once."""
+        new = np.arange(self.words, self.words + low.size, dtype=np.int32)
+        n = np.array([len(m) // self.kind.itemsize for m in made], np.int64)
+        while self.filled + int(n.sum()) > self.ids.size:
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.low[new], self.high[new], self.n[new] = low, high, n
+        self.at[new] = self.filled + np.cumsum(n) - n
+        self.ids[self.filled : self.filled + int(n.sum())] = np.frombuffer(b"".join(made), self.kind)
+        self.words, self.filled = self.words + low.size, self.filled + int(n.sum())
+        slot = self._slot(low, high)
+        while new.size:
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]
+            # of words that want one slot, one has it; the others go on
+            on = self.slots[slot] != new
+            new, slot = new[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+
+    def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each word begins, its number of ids, all ids) of a text in UTF-8."""
+        text = np.frombuffer(data + b" " * 24, np.uint8)
+        blank = self.BLANK[text[: len(data) + 1]]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if data and not blank[0]:
+            edges = np.concatenate(([0], edges))
+        starts, size = edges[::2], edges[1::2] - edges[::2]
+        eight = np.ndarray((text.size - 7,), "<u8", text, strides=(1,))
+        low = eight[starts] & self.FIRST[np.minimum(size, 8)]
+        high = (eight[starts + 8] & self.FIRST[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+        short = size < 16
+        word = np.full(starts.size, -1, np.int64)
+        word[short] = self.find(low[short], high[short])
+        none = np.flatnonzero(short & (word < 0))
+        if none.size:
+            if self.words + none.size > self.most:
+                self.clear()
+                none = np.flatnonzero(short)
+            first = none[np.unique(np.stack((low[none], high[none]), axis=1).view("V16").ravel(), return_index=True)[1]]
+            self._add(low[first], high[first], [self.make(data[s : s + k].decode()) for s, k in zip(starts[first].tolist(), size[first].tolist(), strict=True)])
+            word[none] = self.find(low[none], high[none])
+        long = np.flatnonzero(~short)
+        own = [self.make_long(data[s : s + k].decode()) for s, k in zip(starts[long].tolist(), size[long].tolist(), strict=True)]
+        n = np.where(short, self.n[word], 0)
+        n[long] = [len(x) // self.kind.itemsize for x in own]
+        ends = np.cumsum(n)
+        ids = np.empty(int(ends[-1]) if n.size else 0, self.kind)
+        held = np.where(short, n, 0)
+        into = np.repeat(ends - n, held) + (np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held))
+        ids[into] = self.ids[np.repeat(self.at[word] - (ends - n), held) + into]
+        for k, x in zip(long.tolist(), own, strict=True):
+            ids[ends[k] - n[k] : ends[k]] = np.frombuffer(x, self.kind)
+        return starts, n, ids
+
+
 class WordEncoder:
     """The library's ids of whole texts, with the ids of frequent words remembered.
 
@@ -214,8 +316,8 @@ class WordEncoder:
     #: Letters that stand alone under NFC and have one lower case; then punctuation that begins no contraction.
     PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-_{-~]*)")
 
-    #: Beyond these characters, lower case may depend on what stands around.
-    BEYOND = re.compile("[^\x00-\u012F\u0131-\u024F]")
+    #: Beyond these characters, lower case may depend on what stands around; two of them are blanks of more than a byte.
+    BEYOND = re.compile("[^\x00-\x84\x86-\x9f\xa1-\u012F\u0131-\u024F]")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -227,24 +329,30 @@ class WordEncoder:
         self.levels = max(1, (size - 1).bit_length())
         self.kind = np.dtype("<u2" if self.levels <= 16 else "<u4")
         self.code = "H" if self.levels <= 16 else "I"
+        self.swapped = sys.byteorder == "big" or array(self.code).itemsize != self.kind.itemsize
+        # what this class rewrites is what the file says; any other tokenizer is asked for whole texts
+        parts = json.loads(self.library.to_str())
+        self.known = (parts["normalizer"], parts["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and parts["model"]["type"] == "BPE" and not any(parts["model"].get(k) for k in ("dropout", "byte_fallback", "fuse_unk"))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # a character of each that has no case
         self.marks = {next((c for c in s if c.lower() == c.upper()), "") for s in self.special}
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
-        self.rest = Remembered(lambda x: self._library([x])[0], CACHE_WORDS // 10)
+        self.rest = Remembered(lambda x: self._library([x])[0], CACHE_WORDS)
         self.chunks = Remembered(self._chunk, CACHE_WORDS)
+        self.table = WordTable(self._chunk, self.chunks.__getitem__, self.kind)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, letters: str) -> bytes:
         known = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(known)]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return np.array([t.id for t in self.model.tokenize(known)], self.kind).tobytes() if self.swapped else array(self.code, [t.id for t in self.model.tokenize(known)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._word(chunk.lower())
         plain = self.PLAIN.fullmatch(chunk)
         if plain is None:
             return self.rest[chunk]
@@ -260,15 +368,48 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``kind``."""
-        find, out = self.chunks.__getitem__, []
-        for text in texts:
-            if self.ODD.search(text) or self._special(text):
-                out.append(self._library([text])[0])
+        out: list[bytes] = [b""] * len(texts)
+        held: list[tuple[int, bytes]] = []
+        room = BATCH_CHARS
+
+        def flush() -> None:
+            starts, n, ids = self.table.encode(b" ".join(t for _, t in held))
+            begin = np.cumsum([0, *(len(t) + 1 for _, t in held)])
+            upto = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(starts, begin)]
+            for k, (i, _) in enumerate(held):
+                out[i] = ids[upto[k] : upto[k + 1]].tobytes()
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if not self.known or self.ODD.search(text) or self._special(text):
+                out[i] = self._library([text])[0]
+            elif self.BEYOND.search(text):
+                out[i] = b"".join(map(self.chunks.__getitem__, text.split()))
             else:
-                out.append(b"".join(map(find, (text if self.BEYOND.search(text) else text.lower()).split())))
+                held.append((i, text.lower().encode()))
+                room -= len(text)
+                # one text of any length is looked up part by part
+                if len(text) > BATCH_CHARS:
+                    i, whole = held.pop()
+                    out[i] = b"".join(self.table.encode(part)[2].tobytes() for part in parts(whole))
+                elif room <= 0:
+                    flush()
+                    room = BATCH_CHARS
+        if held:
+            flush()
         return out
 
 
+def parts(data: bytes) -> Iterator[bytes]:
+    """The same bytes in parts of about BATCH_CHARS that end at a blank, or where the text does."""
+    at = 0
+    while at < len(data):
+        end = at + BATCH_CHARS
+        end = len(data) if end >= len(data) else (data.find(b" ", end) + 1 or len(data))
+        yield data[at:end]
+        at = end
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One encoder a worker."""
