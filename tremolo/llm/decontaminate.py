@@ -7,22 +7,24 @@ once as `` word word ... ``, and matches are mapped back to word numbers and to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW = 10
-#: Characters of benchmark text in one automaton (some 5 million nodes); more items are taken in blocks of that size.
+#: Characters of benchmark text in one automaton (some 5 million nodes); more items are taken in blocks of about that size.
 BLOCK_CHARS = 500_000
 
 #: A-Z to a-z, other ASCII bytes that are no part of a word to a space, bytes of other characters as they are.
 TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20) for b in range(256))
 
-RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first_byte:long,end_byte:long>>"
-STEP = "doc_id long, text string, runs array<array<long>>, items array<string>"
+RESULT = "row long, doc_id long, n_words long, n_hit long, n_items long, items array<string>, runs array<array<long>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,15 +38,16 @@ def windows_of(words: list[bytes], width: int = WINDOW) -> list[bytes]:
 
 
 class Windows:
-    """The automaton of some items' windows."""
+    """The automaton of some items' windows. An item without an id is told by its text."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], width: int = WINDOW):
         import ahocorasick
 
-        owners: dict[bytes, set[str]] = {}
+        owners: dict[bytes, set[tuple[bool, str]]] = {}
         for item, text in items:
+            named = (True, item) if item is not None else (False, xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")))
             for window in windows_of(words_of(text), width):
-                owners.setdefault(window, set()).add(item)
+                owners.setdefault(window, set()).add(named)
         self.automaton = ahocorasick.Automaton()
         for window, who in owners.items():
             self.automaton.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, len(window), sorted(who)))
@@ -52,7 +55,7 @@ class Windows:
             self.automaton.make_automaton()
         self.empty = not owners
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[tuple[bool, str]]]:
         """Merged (first, end) runs of hit words, and the items whose windows occur."""
         if self.empty or not words:
             return [], set()
@@ -87,89 +90,109 @@ def byte_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(edges[a][0], edges[b - 1][1]) for a, b in runs]
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[str, str]]]:
-    """The items with their texts, in blocks of at most so many characters, or of one item."""
-    tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks: list[list[tuple[str, str]]] = [[]]
-    room = block_chars
-    for item in tests.orderBy("item_id", "text").toLocalIterator():
-        if blocks[-1] and len(item.text) > room:
-            blocks.append([])
-            room = block_chars
-        blocks[-1].append((item.item_id, item.text))
-        room -= len(item.text)
-    return blocks
+@lru_cache(maxsize=1)
+def automaton(where: str, block: int, width: int) -> Windows:
+    """The automaton of a block of items, read from the shared folder once a worker."""
+    fs, folder = common.file_system(f"{where}/block={block}")
+    rows = pq.read_table(folder, filesystem=fs, columns=["item_id", "text"]).to_pylist()
+    return Windows([(r["item_id"], r["text"]) for r in rows], width)
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[str, int]:
+    """The folder of the items with a text, in blocks of about so many characters, and the number of blocks.
+
+    All rows of an item are in one block. No item goes through the driver.
+    """
+    tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    chars = tests.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    n = -(-chars // block_chars)
+    where = common.work_dir(benchmark.sparkSession, "items")
+    if n:
+        key = F.xxhash64(F.coalesce(F.concat(F.lit("i"), "item_id"), F.concat(F.lit("t"), "text")))
+        tests = tests.withColumn("block", F.pmod(key, F.lit(n)).cast("int"))
+        tests.repartition(n, "block").write.partitionBy("block").parquet(where)
+    # a block can be empty: no key fell there
+    return where, n
+
+
+def _present(spark: SparkSession, where: str, n: int) -> list[int]:
+    return sorted(r["block"] for r in spark.read.parquet(where).select("block").distinct().toLocalIterator()) if n else []
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_words, n_hit, items (sorted ids), spans of hit passages (UTF-8 offsets).
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items (sorted ids), spans of hit passages (UTF-8 offsets).
 
-    Null texts, on either side, have no words. An empty benchmark hits nothing. Null item_ids are left out. Repeated documents
-    are scanned each; repeated items count once. A benchmark of more than ``block_chars`` characters is taken in blocks of that
-    size (one item at least), each with an automaton in workers of its own, which the documents pass one after the other.
+    Null texts, on either side, have no words. An empty benchmark hits nothing. Items without an id hit and count, each text as one,
+    but can't be listed. Repeated documents, and those of one doc_id, are scanned each; repeated items count once. Very long texts
+    are scanned whole. Windows that overlap or touch are one passage. A benchmark of more than about ``block_chars`` characters is
+    taken in blocks, each with an automaton of its own; blocks are scanned beside one another and joined by row.
     """
     common.bounded_batches(docs.sparkSession)
-    blocks = _blocks(benchmark, block_chars)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumns({"runs": F.lit(None).cast("array<array<long>>"), "items": F.lit(None).cast("array<string>")}) if len(blocks) > 1 else rows
-    for k, block in enumerate(blocks):
-        rows = _scan(rows, block, width, last=k == len(blocks) - 1)
-    return rows
-
-
-def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted runs with those that overlap or touch made one."""
-    out: list[list[int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(r) for r in out]
-
-
-def _scan(rows: DataFrame, items: list[tuple[str, str]], width: int, last: bool) -> DataFrame:
-    """One block's automaton over all rows; with what the blocks before have found, if any."""
-    sent = rows.sparkSession.sparkContext.broadcast((items, width))
-    resumed = "runs" in rows.columns
+    where, n = _blocks(benchmark, block_chars)
+    blocks = _present(docs.sparkSession, where, n)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if len(blocks) > 1:
+        # rows keep their numbers in all scans
+        rows = common.cut(rows, keep=True)
+    found = reduce(DataFrame.unionByName, [_scan(rows, where, block, width, k == 0) for k, block in enumerate(blocks or [-1])])
+    if len(blocks) > 1:
+        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+        # (first word, end, first byte, end) in order: those that overlap or touch become one
+        last = lambda done: F.element_at(done, -1)
+        grown = lambda done, r: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last(done)[0], F.greatest(last(done)[1], r[1]), last(done)[2], F.greatest(last(done)[3], r[3]))))
+        step = lambda done, r: F.when((F.size(done) > 0) & (r[0] <= F.try_element_at(done, F.lit(-1))[1]), grown(done, r)).otherwise(F.concat(done, F.array(r)))
+        found = found.withColumn("runs", F.aggregate("runs", F.array().cast("array<array<bigint>>"), step))
+        found = found.withColumn("n_hit", F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0]))
+    spans = F.transform("runs", lambda r: F.struct(r[2].alias("first_byte"), r[3].alias("end_byte")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items", spans.alias("spans"))
+
+
+def _scan(rows: DataFrame, where: str, block: int, width: int, every: bool) -> DataFrame:
+    """One block's hits: ``every`` row, or those that are hit. Block -1 has no items."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows = Windows(*sent.value)
+        windows = automaton(where, block, width) if block >= 0 else Windows([], width)
         for batch in batches:
             out = []
-            for i, text in enumerate(batch["text"]):
+            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
                 words = words_of(text)
                 runs, who = windows.scan(words)
-                if resumed and batch["runs"].iat[i] is not None:
-                    runs = _joined([*runs, *(tuple(map(int, r)) for r in batch["runs"].iat[i])])
-                    who |= set(batch["items"].iat[i])
-                if last:
-                    spans = [{"first_byte": a, "end_byte": b} for a, b in byte_spans(text, runs)] if runs else []
-                    out.append((len(words), sum(b - a for a, b in runs), sorted(who), spans))
-                else:
-                    out.append((text, [list(r) for r in runs], sorted(who)))
-            frame = pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"] if last else ["text", "runs", "items"])
-            frame["doc_id"] = batch["doc_id"].astype("Int64")
-            yield frame
+                if every or who:
+                    spans = byte_spans(text, runs) if runs else []
+                    doc_id = None if pd.isna(doc_id) else int(doc_id)
+                    out.append((row, doc_id, len(words), sum(b - a for a, b in runs), len(who), sorted(i for known, i in who if known), [[*r, *s] for r, s in zip(runs, spans, strict=True)]))
+            frame = pd.DataFrame(out, columns=["row", "doc_id", "n_words", "n_hit", "n_items", "items", "runs"])
+            yield frame.astype({"doc_id": "Int64"})
 
-    return rows.mapInPandas(scan, RESULT if last else STEP)
+    return rows.mapInPandas(scan, RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with its columns, in one scan; rows of any doc_ids."""
-    common.bounded_batches(docs.sparkSession)
-    rows, columns = docs, docs.columns
-    for block in _blocks(benchmark, block_chars):
-        rows = rows.where(~_hits(docs.sparkSession, block, width)(F.col("text").cast("string")))
-    return rows.select(*columns)
-
+    """The rows of ``docs`` in which no window of the benchmark occurs, with its columns, whatever their names.
 
-def _hits(spark: SparkSession, block: list[tuple[str, str]], width: int):
+    Null and empty texts stay, repeated rows stay or go each; an empty benchmark keeps all, an empty table gives none. Nulls, very
+    long texts and blocks are taken as by find_overlaps().
+    """
+    common.bounded_batches(docs.sparkSession)
+    where, n = _blocks(benchmark, block_chars)
+    blocks = _present(docs.sparkSession, where, n)
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        return docs.where(~_hits(where, blocks[0], width)(F.col("text").cast("string")))
+    row = "row"
+    while row in docs.columns:
+        row = f"_{row}"
+    rows = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), keep=True)
+    gone = reduce(DataFrame.union, [rows.where(_hits(where, block, width)(F.col("text").cast("string"))).select(row) for block in blocks])
+    return rows.join(gone.distinct(), row, "left_anti").select(*docs.columns)
+
+
+def _hits(where: str, block: int, width: int):
     """Whether any window of the block's items occurs in a text."""
-    sent = spark.sparkContext.broadcast((block, width))
 
     def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        windows = Windows(*sent.value)
+        windows = automaton(where, block, width)
         for batch in batches:
             yield pd.Series([bool(windows.scan(words_of(text))[1]) for text in batch], dtype=bool)
 
@@ -178,7 +201,7 @@ def _hits(spark: SparkSession, block: list[tuple[str, str]], width: int):
 
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns from find_overlaps()'s."""
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
