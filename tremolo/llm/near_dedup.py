@@ -31,7 +31,8 @@ SIMILARITY = 0.8
 #: With 40 bands of 6 slots, two texts of similarity 0.8 share no band with a probability of 5e-6.
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
-#: Estimates so many standard deviations below the similarity asked for are not verified.
+#: Estimates so many standard deviations below the similarity asked for are not verified: of pairs of similarity 0.8, of which 5 in a
+#: million share no band, 2 in 100 million more are lost so (a binomial share of 240 slots).
 DEVIATIONS = 6
 #: Shingles that a worker takes at a time (but for one longer document), and words whose hashes it remembers.
 BATCH_SHINGLES = 150_000
@@ -44,6 +45,8 @@ PIVOTS = 4
 CHUNK = 256
 #: Pairs of chunks in an Arrow batch.
 CHUNK_ROWS = 16
+#: Chunks of either side whose pairs go to one task.
+SQUARE = 16
 
 FEATURES = "doc_id long, text_hash long, node binary, size long, signature binary"
 LIKELY = "a binary, b binary, key_a struct<doc_id:long,text_hash:long>, key_b struct<doc_id:long,text_hash:long>"
@@ -216,17 +219,20 @@ class Texts:
         return common.cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "key_a", "key_b", "sign_a", "sign_b").mapInPandas(near, LIKELY))
 
     def likely_across(self, members: DataFrame, pivots: DataFrame) -> DataFrame:
-        """The same for pairs of a bucket's members and pivots (bucket, n rows, node, size, shared, class, signature, key) of two classes.
+        """The same for pairs of a bucket's members and pivots (bucket, n rows, others, node, size, shared, class, signature, key) of
+        two classes; ``others``: rows of the other side in the bucket.
 
         Members and pivots come in chunks of bounded size, which are compared as matrices: a row is a pair of chunks, and only
-        likely pairs become rows. A pair is taken in the first band that it shares.
+        likely pairs become rows. A pair is taken in the first band that it shares. Pairs of chunks are dealt by bucket and by
+        squares of SQUARE x SQUARE, so that a hot bucket is work for many tasks.
         """
         similarity, least = self.similarity, least_estimate(self.similarity)
         entry = F.struct("node", "size", "shared", "class", "signature", "key")
 
-        def chunked(rows: DataFrame, most: int, name: str) -> DataFrame:
+        def chunked(rows: DataFrame, most: int, other: int, name: str, own_side: str, other_side: str) -> DataFrame:
             chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most).cast("long"))
-            return rows.groupBy("bucket", chunk.alias("_c")).agg(F.collect_list(entry).alias(name)).drop("_c")
+            made = rows.groupBy("bucket", chunk.alias("_c")).agg(F.collect_list(entry).alias(name), F.max(F.ceil(F.col("others") / (other * SQUARE))).alias("_m"))
+            return made.select("bucket", F.floor(F.col("_c") / SQUARE).alias(own_side), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_m").cast("long"), F.lit(1)) - 1)).alias(other_side), name)
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -246,7 +252,8 @@ class Texts:
                             out.append((a["node"], b["node"], a["key"], b["key"]))
                     yield pd.DataFrame(out, columns=["a", "b", "key_a", "key_b"])
 
-        pairs = chunked(members, CHUNK, "xs").join(chunked(pivots, CHUNK // 4, "ys"), "bucket")
+        few = CHUNK // 4
+        pairs = chunked(members, CHUNK, few, "xs", "_i", "_j").join(chunked(pivots, few, CHUNK, "ys", "_j", "_i"), ["bucket", "_i", "_j"])
         # a row holds hundreds of members: few rows are one batch
         common.bounded_batches(self.docs.sparkSession, CHUNK_ROWS)
         try:
@@ -325,10 +332,12 @@ def node_classes(docs: DataFrame, found: DataFrame, similarity: float = SIMILARI
     # an original stands between its copies: first those that share most of their weight are compared with all others
     entry = F.struct((F.col("size") - F.col("shared")).alias("own"), *[c for c in members.columns if c != "bucket"])
     central = members.groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)).alias("salt")).agg(F.min(entry).alias("pivot"))
-    classes = joined(texts, members, common.cut(central.select("bucket", "pivot.*").drop("own").withColumn("n", F.lit(PIVOTS).cast("long"))), classes)
+    pivots = central.select("bucket", "pivot.*").drop("own").withColumns({"others": F.col("n"), "n": F.lit(PIVOTS).cast("long")})
+    classes = joined(texts, members.withColumn("others", F.lit(PIVOTS)), common.cut(pivots), classes)
     # then all that aren't of their bucket's largest class, so that each pair of two classes is compared
     members = unsettled(members, classes)
-    return joined(texts, members, common.cut(members.where("class != main").withColumn("n", F.col("n") - F.col("n_main"))), classes)
+    smaller = F.col("n") - F.col("n_main")
+    return joined(texts, members.withColumn("others", smaller), common.cut(members.where("class != main").withColumns({"others": F.col("n"), "n": smaller})), classes)
 
 
 def unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -338,7 +347,7 @@ def unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
     each = ruled.groupBy("bucket", "class").agg(F.count("*").alias("k"), F.min("size").alias("least"))
     of = each.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("k").alias("n"), F.min("least").alias("least"), F.max(F.struct("k", "class")).alias("most"))
     of = of.where("classes > 1").select("bucket", "n", "least", F.col("most.k").alias("n_main"), F.col("most.class").alias("main"))
-    return common.cut(ruled.join(of, "bucket"))
+    return common.cut(ruled.join(_small(common.cut(of)), "bucket"))
 
 
 def joined(texts: Texts, members: DataFrame, pivots: DataFrame, classes: DataFrame) -> DataFrame:
@@ -371,7 +380,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     A class is what links of a weighted Jaccard similarity of ``similarity`` or more join; class_id is its smallest doc_id, whose
     row stays (``kept``). Null texts count as empty; texts without words are copies of one another. Null doc_ids are larger than
-    others. Rows repeated with the same doc_id and text come out each; they are all kept or all dropped.
+    others. Rows repeated with the same doc_id and text come out each; they are all kept or all dropped. Very long texts are taken
+    whole; similarities that equal ``similarity`` are links. An empty table gives none; other columns aren't read.
     """
     found = common.cut(features(docs))
     classes = node_classes(docs, found, similarity)
@@ -383,7 +393,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with the columns of ``docs``."""
+    """One row of each class, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts are one class, of which one row stays; so does one of rows repeated with the same doc_id and text. Ties,
+    very long texts and empty tables are taken as by near_duplicates().
+    """
     gone = near_duplicates(docs, similarity)
     gone = common.cut(gone, keep=True)
     dropped = _small(gone.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
@@ -394,7 +408,10 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # repeated rows of one doc_id and text: one of them stays
     again = _small(again.select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")))
     same = rows["doc_id"].cast("long").eqNullSafe(again["again_id"]) & (F.xxhash64(common.text_of()) == again["again_hash"])
-    once = rows.join(again, same, "left_semi").withColumn("_hash", F.xxhash64(common.text_of())).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    of = "hash"
+    while of in rows.columns:
+        of = f"_{of}"
+    once = rows.join(again, same, "left_semi").withColumn(of, F.xxhash64(common.text_of())).dropDuplicates(["doc_id", of]).drop(of)
     return rows.join(again, same, "left_anti").unionByName(once)
 
 
