@@ -204,7 +204,9 @@ def write_archives(pages: DataFrame, out_dir: str, revisit_bytes: int = REVISIT_
     groups = rows.select("page_id", same.alias("same")).where("same is not null").groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
     groups = common.cut(groups)
     groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
-    rows = rows.withColumn("same", same).join(groups, "same", "left").drop("same").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).drop("first").withColumn("digest", F.sha1("html"))
+    # short payloads have no group: where groups are shuffled, these rows go by a number of their own instead of one null key
+    key = F.coalesce(same, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    rows = rows.withColumn("same", key).join(groups, "same", "left").drop("same").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).drop("first").withColumn("digest", F.sha1("html"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
