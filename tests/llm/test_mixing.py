@@ -43,12 +43,23 @@ def test_mix_comes_near_its_targets(make_docs):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
 
 
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_sources_come_as_near_their_targets_as_the_draw_allows(spark, table):
+    rows = mixing.mix(spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text", "source")).collect()
+    off, variance = Counter(), Counter()
+    for r in rows:
+        rate = r.target / r.source_size if r.source_size else 0.0
+        off[r.source] += r.taken - r["size"] * rate
+        variance[r.source] += r["size"] ** 2 * (rate % 1) * (1 - rate % 1)
+    assert all(abs(off[s]) <= 4.5 * variance[s] ** 0.5 + 1e-6 for s in off)
+
+
 def test_odd_texts_and_clashing_names(spark, make_docs):
     docs = make_docs(ODD, sources=[None, "a", "a", "b", "b", "b", "a", None, "a", "b"], ids=[0, 1, 2, None, 4, 5, 6, 7, 8, 8]).withColumnRenamed("n_chars", "target")
     got = mixing.mix(docs).collect()
     assert len(got) == len(ODD) and {r["size"] for r in got if not (r.text or "").strip()} == {0}
     out = mixing.emit(docs)
-    assert out.columns == ["doc_id", "text", "lang", "source"]
+    assert out.columns == docs.columns
     assert mixing.emit(make_docs(ODD)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 

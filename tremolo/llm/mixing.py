@@ -55,7 +55,11 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, c
     """``docs`` (doc_id, text, source, any more) with size, source_size, target, copies and taken.
 
     Null texts have size 0, as have empty ones; a source of size 0 gets target 0 and no copies. A null source is one source, the
-    last. Repeated rows of a doc_id draw the same number. Columns of these names in ``docs`` are replaced.
+    last. Repeated rows of a doc_id draw the same number. Columns of these names in ``docs`` are replaced (emit() keeps them).
+    Sources whose targets tie go by code point. Very long texts are taken whole. An empty table gives none.
+
+    Each document is drawn alone, so a source's taken words have the variance of sum(size^2 * f * (1 - f)), f the fraction of its
+    rate: near its target where a source has many documents, further off where few long ones make it up.
     """
     docs = docs.drop(*MADE).withColumn("size", word_count())
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -68,9 +72,14 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, c
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs`` but those that mix() replaces."""
-    columns = [c for c in docs.columns if c not in MADE]
-    return mix(docs, **how).where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns, whatever their names.
+
+    Null and empty texts have size 0 and are taken as often as others of their source, repeated rows alike; a source of size 0, and
+    an empty table, give none. Ties, null sources and very long texts are taken as by mix().
+    """
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return mix(rows, **how).where("copies > 0").select("row", copies.alias("copy")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
