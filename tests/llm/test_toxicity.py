@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pandas as pd
+import pytest
 
 from tremolo.llm import toxicity
 
@@ -63,3 +65,46 @@ def test_labels_of_one_kind_or_none(spark, make_docs):
         assert len({r.score for r in rows}) == 1
     assert toxicity.classify(make_docs([]), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
     assert not toxicity.fit(pd.DataFrame({"toxic": [], "words": [], "swapped": []})).weights
+
+
+def test_swaps_by_hand():
+    other = toxicity.swaps((("men", "women"), ("black", "white")))
+    swap = lambda *w: toxicity.swapped({x.encode() for x in w}, other)
+    assert swap("the", "men") == {b"the", b"women"} and swap("a", "b") is None
+    assert swap("men", "white", "x") == {b"women", b"black", b"x"}
+    assert swap("men", "women", "x") == {b"men", b"x"} and swap("men", "women", "black") == {b"men", b"women", b"white"}
+
+
+def test_fit_meets_the_conditions_of_the_minimum():
+    """Of the objective written out over all words, texts and pairs, dense: no word is left out that could weigh."""
+    draw = random.Random(2)
+    words = [f"w{i}".encode() for i in range(900)] + [b"men", b"women", b"vile", b"scum"]
+    texts, label = [], []
+    for i in range(120):
+        bad = i % 3 == 0
+        own = set(draw.sample(words[:900], 12)) | ({draw.choice([b"vile", b"scum"])} if bad and i % 6 else set()) | ({b"women"} if bad and i % 4 == 0 else {b"men"} if i % 5 == 0 else set())
+        texts.append(own)
+        label.append(float(bad))
+    turned = [toxicity.swapped(t, toxicity.swaps()) for t in texts]
+    rows = pd.DataFrame({"toxic": label, "words": [toxicity.keys(t).tobytes() for t in texts], "swapped": [None if t is None else toxicity.keys(t).tobytes() for t in turned]})
+    model = toxicity.fit(rows, steps=6000)
+    every = sorted(words)
+    weight = {w: model.weights.get(int(toxicity.keys({w})[0]), 0.0) for w in every}
+    sets = [np.frombuffer(b, np.uint64) for b in rows["words"]]
+    name, column = np.unique(np.concatenate(sets), return_inverse=True)
+    share = 1.0 / toxicity.copies(np.repeat(np.arange(len(sets)), [s.size for s in sets]), column, name, len(sets))
+    y = np.array(label)
+    rate = (share * y).sum() / share.sum()
+    balance = share * np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate)) / share.sum()
+    odds = lambda t: model.bias + sum(weight[w] for w in t)
+    off = [b * (1 / (1 + np.exp(-odds(t))) - v) for b, t, v in zip(balance, texts, y, strict=True)]
+    pairs = [(t, u) for t, u in zip(texts, turned, strict=True) if u is not None]
+    assert sum(off) == pytest.approx(0, abs=2e-3)
+    for w in every:
+        n, x = sum(s for s, t in zip(share, texts, strict=True) if w in t), sum(s * v for s, t, v in zip(share, texts, y, strict=True) if w in t)
+        told = sum(a * np.log(a / (n * r)) for a, r in ((x, rate), (n - x, 1 - rate)) if a > 1e-12)
+        penalty = toxicity.PENALTY * (1 + (toxicity.EVIDENCE / max(told, 1e-9)) ** 4)
+        slope = sum(o for o, t in zip(off, texts, strict=True) if w in t)
+        slope += 2 * toxicity.COUNTERFACTUAL / len(pairs) * sum((odds(t) - odds(u)) * ((w in t) - (w in u)) for t, u in pairs)
+        assert abs(slope + penalty * np.sign(weight[w])) < 2e-3 if weight[w] else abs(slope) <= penalty + 2e-3, w
+    assert weight[b"vile"] > 1 and weight[b"scum"] > 1

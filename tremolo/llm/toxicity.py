@@ -1,8 +1,9 @@
 """Operator 4: a toxicity classifier with counterfactual regularisation.
 
-A text is the set of its words. A logistic model with an L1 penalty is fitted on a bounded sample of labelled rows; of each
-labelled text that names a group, the copy with the identity terms swapped is taken too, and the squared change of the score's
-log odds is penalised, so that naming a group weighs nothing by itself. All texts are then scored whole.
+A text is the set of its words. A logistic model of all words of a bounded sample of labelled rows is fitted, with an L1 penalty that
+is the larger the less a word tells of the labels; of each labelled text that names a group, the copy with the identity terms swapped
+is taken too, and the squared change of the score's log odds is penalised, so that naming a group weighs nothing by itself. All texts
+are then scored whole.
 """
 
 from __future__ import annotations
@@ -20,11 +21,9 @@ from .decontaminate import words_of
 
 #: Labelled rows of either kind that the model is fitted on, at most: those with the smallest hashes of their doc_ids.
 TOXIC_ROWS, OTHER_ROWS = 6_000, 10_000
-#: Words that the model can weigh: those that tell most, of those in at least LEAST_DOCS sampled texts that aren't
-#: copies of one another, and whose log likelihood ratio is at least TELLING (beyond chance among a million words).
-WORDS, LEAST_DOCS, TELLING = 3_000, 3, 5.0
-PENALTY, COUNTERFACTUAL = 1e-4, 1.0
-STEPS, RATE = 800, 0.5
+#: A word's L1 penalty is PENALTY * (1 + (EVIDENCE / its log likelihood ratio) ** 4); EVIDENCE is beyond chance among a million words.
+PENALTY, EVIDENCE, COUNTERFACTUAL = 1e-4, 8.0, 1.0
+STEPS, RATE = 400, 0.5
 #: Words in more sampled texts than this tell no copies.
 RARE_DOCS = 40
 THRESHOLD = 0.3
@@ -65,6 +64,15 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
+def swapped(words: set[bytes], other: dict[bytes, bytes]) -> set[bytes] | None:
+    """The words with identity terms swapped; None without such terms. Where both of a pair are named, so that a swap is no change,
+    one of them is left out instead: naming two groups must weigh what naming one does."""
+    if words.isdisjoint(other):
+        return None
+    turned = {other.get(w, w) for w in words}
+    return turned if turned != words else {w for w in words if not (w in other and other[w] in words and other[w] < w)}
+
+
 def keys(words: set[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -83,7 +91,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, oth
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = [set(words_of(t)) for t in batch["text"]]
-            turned = [{other.get(w, w) for w in ws} if not ws.isdisjoint(other) else None for ws in words]
+            turned = [swapped(ws, other) for ws in words]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [keys(w).tobytes() for w in words], "swapped": [None if w is None else keys(w).tobytes() for w in turned]})
 
     return rows.mapInPandas(read, "doc_id long, toxic int, words binary, swapped binary")
@@ -143,8 +151,13 @@ def copies(row: np.ndarray, column: np.ndarray, names: np.ndarray, n: int) -> np
     return np.bincount(of, minlength=n)[of]
 
 
-def fit(rows: pd.DataFrame, words: int = WORDS, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """The model of sampled rows (toxic, words, swapped). Rows of one kind only give their share as every score."""
+def fit(rows: pd.DataFrame, counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> Model:
+    """The model of sampled rows (toxic, words, swapped). Rows of one kind only give their share as every score.
+
+    Minimised are the balanced log loss, the mean squared change of log odds under swaps and the words' L1 penalties, by proximal
+    steps from nought. A word whose texts together can't outweigh its penalty stays at nought whatever the others are, so it is left
+    out beforehand: no word is passed over that could weigh anything.
+    """
     label = rows["toxic"].to_numpy(np.float64)
     mean = (label.sum() + 0.5) / (label.size + 1.0)
     base = float(np.log(mean / (1 - mean)))
@@ -160,11 +173,14 @@ def fit(rows: pd.DataFrame, words: int = WORDS, counterfactual: float = COUNTERF
     rate, y = float((share * label).sum() / share.sum()), n - x
     # how much a word tells: the log likelihood ratio of its share among toxic texts
     with np.errstate(divide="ignore", invalid="ignore"):
-        told = np.where(x > 0, x * np.log(x / (n * rate)), 0) + np.where(y > 0, y * np.log(y / (n * (1 - rate))), 0)
-    best = np.argsort(-told, kind="stable")
-    names = np.sort(name[best[(told[best] >= TELLING) & (n[best] >= LEAST_DOCS)][:words]])
-    if not names.size:
-        return Model(base, names, np.empty(0))
+        told = np.where(x > 1e-12, x * np.log(x / (n * rate)), 0) + np.where(y > 1e-12, y * np.log(y / (n * (1 - rate))), 0)
+    penalty = PENALTY * (1 + (EVIDENCE / np.maximum(told, 1e-9)) ** 4)
+    balance = share * np.where(label == 1, 0.5 / rate, 0.5 / (1 - rate)) / share.sum()
+    most = [np.bincount(column, weights=(balance * kind)[row], minlength=name.size) for kind in (label, 1 - label)]
+    able = np.maximum(*most) > penalty
+    if not able.any():
+        return Model(base, np.empty(0, np.uint64), np.empty(0))
+    names, penalty = name[able], penalty[able]
     turned = [np.frombuffer(b, np.uint64) if b is not None else None for b in rows["swapped"]]
 
     def matrix(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +195,9 @@ def fit(rows: pd.DataFrame, words: int = WORDS, counterfactual: float = COUNTERF
     rb, cb = matrix([turned[k] for k in pairs])
     w, b = np.zeros(names.size), base
     speed, speed_b = np.full(names.size, 1e-8), 1e-8
-    balance = share * np.where(label == 1, 0.5 / rate, 0.5 / (1 - rate)) / share.sum()
-    for _ in range(STEPS):
+    for _ in range(steps):
         z = b + np.bincount(r, weights=w[c], minlength=label.size)
-        off = balance * (1 / (1 + np.exp(-z)) - label)
+        off = balance * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label)
         slope = np.bincount(c, weights=off[r], minlength=names.size)
         if pairs:
             change = np.bincount(ra, weights=w[ca], minlength=len(pairs)) - np.bincount(rb, weights=w[cb], minlength=len(pairs))
@@ -191,7 +206,7 @@ def fit(rows: pd.DataFrame, words: int = WORDS, counterfactual: float = COUNTERF
         speed_b += off.sum() ** 2
         step = RATE / np.sqrt(speed)
         w -= step * slope
-        w = np.sign(w) * np.maximum(np.abs(w) - step * PENALTY, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         b -= RATE / np.sqrt(speed_b) * off.sum()
     keep = w != 0
     return Model(float(b), names[keep], w[keep])
@@ -221,7 +236,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts count as empty and get the score of a text without words. Null doc_ids are not held out, and never learnt from.
     A doc_id that is labelled more than once is toxic if any of its labels says so. Repeated rows come out each. Without labels,
-    or with labels of one kind, all rows get the same score.
+    or with labels of one kind, all rows get the same score. Very long texts are read whole; equal texts get equal scores. An empty
+    table gives none; other columns, whatever their names, aren't read.
     """
     return score_texts(docs, fit(sample(docs, labels).toPandas().sort_values("doc_id", ignore_index=True)))
 
