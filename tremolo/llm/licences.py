@@ -25,8 +25,9 @@ from . import common
 from .decontaminate import words_of
 
 COSINE = 0.7
-#: A file is a licence file if its whole text is this near a template.
+#: A file is a licence file if its whole text is this near a whole licence, or if its name says so and a licence is found in it.
 FILE_COSINE = 0.7
+FILE_NAME = re.compile(r"(?i)(un)?licen[cs]e|copying|copyright|notice")
 #: Directories up to which their table is broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_DIRS = 200_000
 
@@ -72,7 +73,8 @@ def full_texts() -> tuple[tuple[str, str], ...]:
     return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(found, key=lambda f: f.name))
 
 
-TEMPLATES = (*NOTICES, *full_texts())
+WHOLE = full_texts()
+TEMPLATES = (*NOTICES, *WHOLE)
 
 FOUND = "doc_id long, path string, licence string, cosine double, kind string, n_notices long"
 
@@ -108,6 +110,7 @@ class Matcher:
         self.other = sum(self.idf.values()) / max(1, len(self.idf))
         self.vectors = [(name, self.vector(words_of(text))) for name, text in templates]
         self.sizes = [len(words_of(text)) for _, text in templates]
+        self.whole = [t in WHOLE for t in templates]
         self.place = {w: i for i, w in enumerate(self.idf)}
         self.weights = np.array(list(self.idf.values()))
         self.table = np.zeros((len(self.vectors), len(self.place)))
@@ -226,20 +229,25 @@ class Matcher:
                 out.append((cosine, k))
         return out
 
-    def scan(self, text: str) -> tuple[str | None, float, str | None, int]:
-        """Licence, cosine, kind (file or header) and the number of notices."""
+    def scan(self, text: str, named: bool = False) -> tuple[str | None, float, str | None, int]:
+        """Licence, cosine, kind (file or header) and the number of notices. ``named``: the file's name is that of a licence file."""
         words = words_of(text)
         if self.telling.isdisjoint(words) or not (near := self.near(set(words))):
             return None, 0.0, None, 0
-        cosine, name = self.nearest(words, near)
+        cosine, k = self._nearest(words, near)
         if cosine >= FILE_COSINE:
-            return name, cosine, "file", 1
+            return self.vectors[k][0], cosine, "file" if named or self.whole[k] else "header", 1
         found = [(cosine, self.vectors[k][0]) for cosine, k in self.matches(text, near)]
         granted = [f for f in found if f[1] != RESERVED] or found
         if not granted:
             return None, 0.0, None, 0
         cosine, name = min(granted, key=lambda f: (-f[0], f[1]))
-        return name, cosine, "header", len({n for _, n in found})
+        return name, cosine, "file" if named and name != RESERVED else "header", len({n for _, n in found})
+
+
+def names_a_licence(path: str) -> bool:
+    """Whether a path's last part is a name of licence files, by its stem or its ending (LICENSE, COPYING.lesser, MIT-LICENSE.txt)."""
+    return any(FILE_NAME.fullmatch(part) for part in re.split(r"[._\-\s]", path.rsplit("/", 1)[-1]))
 
 
 @common.tidy
@@ -248,7 +256,9 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
 
     kind is file, header, inherited or null. A text with notices of several licences gets the nearest, reserved rights after all
     others; n_notices counts them. Of several licence files in a directory the nearest counts, then the smallest licence and path.
-    Null texts count as empty, null paths as files at the root. Repeated rows come out each.
+    A notice, however alone in its text, makes no licence file: that takes a whole licence, or a licence file's name. Null texts
+    count as empty, null paths as files at the root. Repeated rows come out each. Very long texts are compared whole and in all
+    their parts. An empty table gives none; other columns, whatever their names, aren't read.
     """
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), common.text_of().alias("text"))
     n, frequencies = document_frequencies(rows, sources(templates))
@@ -256,7 +266,7 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            frame = pd.DataFrame([sent.value.scan(t) for t in batch["text"]], columns=["licence", "cosine", "kind", "n_notices"])
+            frame = pd.DataFrame([sent.value.scan(t, names_a_licence(p)) for t, p in zip(batch["text"], batch["path"], strict=True)], columns=["licence", "cosine", "kind", "n_notices"])
             frame["doc_id"], frame["path"] = batch["doc_id"].astype("Int64"), batch["path"]
             yield frame
 
