@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from contextvars import ContextVar
 from functools import wraps
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +114,16 @@ def put_file(where: str, name: str, parts: list[bytes]) -> int:
     return size
 
 
+def release() -> None:
+    """Give back what this worker has freed: it will be idle, or serve another operator, and its executor counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # another C library than glibc
+        pass
+
+
 def text_of(column: str = "text") -> F.Column:
     """A text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -35,8 +35,8 @@ SLOTS = BANDS * ROWS
 #: million share no band, 2 in 100 million more are lost so (a binomial share of 240 slots).
 DEVIATIONS = 6
 #: Shingles that a worker takes at a time (but for one longer document), and words whose hashes it remembers.
-BATCH_SHINGLES = 150_000
-CACHE_WORDS = 250_000
+BATCH_SHINGLES = 100_000
+CACHE_WORDS = 120_000
 #: Keys up to which a table of them (some 50 bytes a key) is broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Members of a bucket that are compared with all others after its first member.
@@ -158,6 +158,8 @@ def features(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             yield flush()
+        known.clear(), held.clear()
+        common.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_of()).alias("text_hash"), common.text_of().alias("text"))
     return rows.mapInPandas(sign, FEATURES)

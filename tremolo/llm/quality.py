@@ -40,9 +40,9 @@ BINS = 1000
 #: Ids or grams up to which a table of them is broadcast (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Characters that a worker takes at a time; longer texts are taken in parts, each after the characters before it.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 200_000
 #: Grams of the full order, and shorter ones with their terms, that are sent to the workers (16 and 24 bytes each).
-HEAD = 300_000
+HEAD = 200_000
 #: Discounts of counts of one, two and more, where the counts of counts give none.
 FALLBACK = (0.5, 1.0, 1.5)
 #: A discounted share or a weight is no less.
@@ -216,6 +216,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 _, first, n = np.unique(symbols.hashes()[-1][symbols.place], return_index=True, return_counts=True)
                 if n.size:
                     yield pd.DataFrame({"gram": symbols.packed(symbols.place[first], ORDER), "count": n})
+        common.release()
 
     return docs.select(common.text_of().alias("text")).mapInPandas(count, "gram binary, count long").groupBy("gram").agg(F.sum("count").alias("count"))
 
@@ -333,6 +334,7 @@ def scores(docs: DataFrame, terms: DataFrame, base: float, most: int = HEAD) ->
                 if asked:
                     yield questions(symbols, number, rows, asked)
             yield pd.DataFrame({"row": rows, "doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"].astype("Int64"), "lang": batch["lang"], "n_chars": pd.array([len(t) for t in texts], "Int64"), "nats": nats, "gram": None, "as_gram": pd.array([None] * len(texts), "Int64"), "as_context": pd.array([None] * len(texts), "Int64")})
+        common.release()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(common.text_of()).alias("text_hash"), F.col("lang").cast("string").alias("lang"), common.text_of().alias("text"))
     made = rows.mapInPandas(score, SCORED)

@@ -452,6 +452,8 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
                 total += n
         if doc_ids:
             yield flush()
+        held.clear()
+        common.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -476,6 +478,7 @@ def read_shards(spark: SparkSession, out_dir: str) -> DataFrame:
                 ids, ends = matrix.decode(), np.cumsum(lengths)
                 crc = [zlib.crc32(ids[e - n : e].astype("<u4")) for e, n in zip(ends, lengths, strict=True)]
                 yield pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "start": base + ends - lengths, "n_tokens": lengths, "ids_crc32": crc, "shard": name})
+        common.release()
 
     return starts.mapInPandas(read, RESULT)
 
