@@ -29,8 +29,9 @@ def test_hand_computed(spark, parts):
     assert (m.n_variants, m.n_assigned, m.n_unassigned, m.n_clusters, m.dominant) == (4, 3, 1, 2, "A")
     assert m.semantic_entropy == pytest.approx(0.9182958340544896) and m.normalised_entropy == pytest.approx(0.4591479170272448)
     n = got["none"]
-    assert (n.semantic_entropy, n.normalised_entropy, n.dominant, n.is_zero, n.all_unassigned) == (None, None, None, False, True)
-    assert got["same"].semantic_entropy == 0 and got["same"].is_zero and got["one"].normalised_entropy == 0
+    assert (n.semantic_entropy, n.normalised_entropy, n.dominant, n.is_zero, n.all_unassigned) == (None, None, "UNASSIGNED", False, True)
+    assert got["same"].semantic_entropy == 0 and got["same"].is_zero
+    assert (got["one"].semantic_entropy, got["one"].normalised_entropy, got["one"].is_zero) == (0.0, None, False)
     assert got["ties"].dominant == "b" and got["na"].n_assigned == 1
 
 
@@ -70,7 +71,7 @@ def test_conditional_adds_the_original(spark):
 
 @pytest.mark.parametrize(
     "answers,n",
-    [(["heart attack", "myocardial infarction", "Heart  attack"], 1), (["aspirin", "diabetes", "the femur"], 3), (["yes", "affirmative", "no"], 2), (["", " ", "x"], 2)],
+    [(["heart attack", "myocardial infarction", " Heart attack"], 1), (["aspirin", "diabetes", "the femur"], 3), (["yes", "affirmative", "no"], 2), (["", " ", "x"], 2)],
 )
 def test_answer_clusters(answers, n):
     nli = LexicalNli((frozenset({"heart attack", "myocardial infarction"}), frozenset({"yes", "affirmative"})))
@@ -78,6 +79,17 @@ def test_answer_clusters(answers, n):
     assert len(set(got)) == n and got[0] == 0
 
 
+def test_inner_blanks_part_answers_and_raw_answers_are_compared():
+    class Never:
+        asked = []
+
+        def entailment(self, a, b):
+            self.asked += a
+            return [0.0] * len(a)
+
+    assert qa.cluster_answers(["A  b", "a b", " a B", None, " "], Never()) == [0, 1, 1, 2, 2] and "A  b" in Never.asked
+
+
 def test_clusters_are_transitive():
     class Chain:
         def entailment(self, a, b):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -55,12 +58,15 @@ def test_contract(spark):
     assert found.columns == ["pair", "n_used", "rank_biserial", "z", "large"] and found.count() == 2
 
 
-def test_entry_without_the_training_data_operators(monkeypatch):
-    import importlib.util
-
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("tremolo.llm", "corpus_pipeline") else find(name, *a))
-    assert set(entry.queries()) == set(registry.QUERIES) and entry.oracle_sql() == registry.ORACLES
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_training_data_operators(tmp_path, pipeline):
+    """In a copy without their folders, with corpus_pipeline.py and without it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"])))
+    code = "import __spark_entry__ as e; from tremolo.plans import registry; print(set(e.queries()) == set(registry.QUERIES) and e.oracle_sql() == registry.ORACLES and len(registry.QUERIES) > 100)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.stdout.strip() == "True", out.stderr
 
 
 def test_nothing_else_imports_the_training_data_operators():

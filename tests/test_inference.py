@@ -20,6 +20,8 @@ def test_surrounding_sentence(spark):
     text = "First. The drug hurt me a lot! Then more.\nOther line"
     cut = lambda a, b: spark.range(1).select(inference.surrounding_sentence(F.lit(text), F.lit(a), F.lit(b)).alias("v")).first().v
     at = text.index("drug")
+    assert cut(at, at + 4) == "The drug hurt me a lot!" and cut(at, 99) == "The drug hurt me a lot! Then more. Other line"
+    assert cut(0, 6) == "First." and cut(7, 7) == "The drug hurt me a lot!"
     assert cut(at, at + 4) == "The drug hurt me a lot!" and cut(text.index("Other"), text.index("Other") + 5) == "Other line"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,10 +12,15 @@ from pyspark.sql.types import StringType
 from ..params import DEFAULT, UNASSIGNED
 
 #: Tokens by which the concept lane and the QA lane recognise negation.
-NEGATIONS = ("no", "not", "never", "without", "denies", "negative", "absence")
-QA_NEGATIONS = ("no", "not", "never", "none", "nobody", "nothing", "neither", "nor", "cannot", "without", "n't")
+NEGATIONS = ("no", "not", "never", "without", "absent", "denies", "denied")
+QA_NEGATIONS = ("not", "no", "never", "none", "neither", "nor", "without", "cannot", "can't", "won't", "don't")
 #: Answers that stand for no answer.
-EMPTY_ANSWERS = ("", "unanswerable", "no answer", "none", "unknown", "n a", "not answerable", "cannot be determined")
+EMPTY_ANSWERS = ("", "unanswerable", "no answer", "none", "n/a", "unknown", "cannot answer")
+#: Marks that a chat model leaves in its output, and what it says before a concept.
+CHAT_MARKS = ("[/INST]", "</s>", "<s>", "<|eot_id|>")
+CONCEPT_CHAT_MARKS = ("[/INST]", "</s>", "<s>")
+CONCEPT_LEADS = ("Answer:", "Concept:", "The primary medical concept is")
+CONCEPT_SENTENCE = r"(?is)^.*?the primary medical concepts?\b.*?\b(?:is|are)\b\s*:?\s*"
 #: Tokens that stand for a missing value in label columns.
 NA_LABELS = ("nan", "na", "none", "")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -80,7 +87,7 @@ def edit_distance(a: Column, b: Column) -> Column:
 def squad_normalise(x: Column) -> Column:
     """Lower case, no punctuation, no articles, single blanks (STR-02)."""
     bare = F.translate(F.lower(F.coalesce(x, F.lit(""))), PUNCTUATION, "")
-    return squeeze(F.regexp_replace(bare, r"\b(a|an|the)\b", " "))
+    return squeeze(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "))
 
 
 def is_empty_answer(x: Column) -> Column:
@@ -128,21 +135,47 @@ def contains_gold(pred: Column, gold: Column) -> Column:
     return (g != "") & F.contains(squad_normalise(pred), g)
 
 
+def _without(x: Column, marks: tuple[str, ...]) -> Column:
+    for mark in marks:
+        x = F.replace(x, F.lit(mark), F.lit(" "))
+    return x
+
+
+def _after(x: Column, mark: str) -> Column:
+    """What stands after the last such mark, or all."""
+    return F.element_at(F.split(x, re.escape(mark)), -1)
+
+
+def _trimmed(x: Column, marks: str) -> Column:
+    """Without any of these characters at either end."""
+    return F.trim(x, F.lit(marks))
+
+
 def clean_answer(x: Column, most: int = 300) -> Column:
-    """The text after the last answer marker, up to a blank line, on one line, cut to ``most`` characters (STR-07)."""
-    tail = F.element_at(F.split(F.coalesce(x, F.lit("")), r"(?i)answer\s*:"), -1)
-    return F.left(squeeze(F.element_at(F.split(tail, r"\n\s*\n"), 1)), F.lit(most))
+    """Without chat marks, what stands after the last ``Answer:``, on one line, without quotes around, cut to ``most`` characters (STR-07)."""
+    text = _after(_without(strip(F.coalesce(x, F.lit(""))), CHAT_MARKS), "Answer:")
+    return F.left(_trimmed(squeeze(text), " \"'`"), F.lit(most))
 
 
 def clean_concept(x: Column, most: int = 200) -> Column:
-    """The first line of a model's output without list marks and quotes, cut to ``most`` characters (STR-08)."""
-    line = F.element_at(F.split(strip(F.coalesce(x, F.lit(""))), r"\n"), 1)
-    return F.left(strip(F.regexp_replace(line, r"""^[\-\*\d\.\)\s]+|["'`]""", "")), F.lit(most))
+    """A model's concept: without chat marks, leads, quotes and full stops around, on one line, cut to ``most`` characters (STR-08)."""
+    text = _without(strip(F.coalesce(x, F.lit(""))), CONCEPT_CHAT_MARKS)
+    for lead in CONCEPT_LEADS:
+        text = _after(text, lead)
+    text = _trimmed(F.regexp_replace(text, CONCEPT_SENTENCE, ""), " \"'`.")
+    return F.left(squeeze(text), F.lit(most))
 
 
 def unreadable_share(x: Column) -> Column:
-    """Share of characters outside ASCII (FLT-01, STR-15)."""
-    return F.when(F.char_length(x) == 0, F.lit(0.0)).otherwise(F.regexp_count(x, F.lit(r"[^\x00-\x7F]")) / F.char_length(x))
+    """Share of control characters, but tabs and line ends, and of characters beyond ``~``; 1 of an empty text (FLT-01, STR-15)."""
+    text = F.coalesce(x, F.lit(""))
+    return F.when(text == "", F.lit(1.0)).otherwise(F.regexp_count(text, F.lit(r"[^\t\n\r\x20-\x7E]")) / F.char_length(text))
+
+
+def readable(x: Column, most: float = 0.20) -> Column:
+    """Two characters or more, a letter of a-z among them, and hardly any that are unreadable (FLT-01)."""
+    text = F.coalesce(x, F.lit(""))
+    return (F.char_length(strip(text)) >= 2) & text.rlike("[A-Za-z]") & (unreadable_share(text) <= most)
 
 
 def has_negation(x: Column) -> Column:
@@ -171,16 +204,19 @@ def grammar_score(errors: Column, n_tokens: Column) -> Column:
 
 
 def is_malformed(x: Column) -> Column:
-    """No letter, or three equal words or five equal marks in a row (GAT-4)."""
-    return ~x.rlike(r"\p{L}") | F.lower(x).rlike(r"\b(\w+)(\s+\1){2,}\b") | x.rlike(r"([^\w\s])\1{4,}")
+    """Fewer than two words, under a fifth letters, or more than 0.55 marks (GAT-4)."""
+    n = F.greatest(F.char_length(x), F.lit(1))
+    return ~x.rlike(r"(?U)\S\s+\S") | (F.regexp_count(x, F.lit(r"\p{L}")) / n < 0.20) | (F.regexp_count(x, F.lit(r"[.,;:!?()\[\]{}\-]")) / n > 0.55)
 
 
 def entity_mode(text: Column, mention: Column, similarity: Column | None = None, least: float = DEFAULT.entity_gate) -> Column:
-    """How the mention is kept: exact, tokens, similar, or null (GAT-6)."""
-    low = F.lower(text)
-    long = F.filter(words(F.lower(mention)), lambda t: F.char_length(t) > 2)
-    mode = F.when(F.contains(low, F.lower(mention)), "exact").when((F.size(long) > 0) & F.forall(long, lambda t: F.contains(low, t)), "tokens")
-    return mode if similarity is None else mode.when(similarity >= least, "similar")
+    """How the mention is kept: mention_exact, mention_token_cover, high_similarity_proxy, or unverified (GAT-6)."""
+    low, own = F.lower(text), F.coalesce(strip(F.lower(mention)), F.lit(""))
+    long = F.filter(words(own), lambda t: F.char_length(t) > 2)
+    mode = F.when((own != "") & F.contains(low, own), "mention_exact").when((F.size(long) > 0) & F.forall(long, lambda t: F.contains(low, t)), "mention_token_cover")
+    if similarity is not None:
+        mode = mode.when((own != "") & (similarity >= least), "high_similarity_proxy")
+    return mode.otherwise("unverified")
 
 
 def concept_gate(entail_ab: Column, contra_ab: Column, entail_ba: Column, contra_ba: Column, cosine: Column) -> Column:

@@ -20,10 +20,10 @@ def generator(seed: int, cell: str, replicate: int) -> np.random.Generator:
 
 
 def rank_biserial(d: np.ndarray) -> float:
-    """(T+ - T-) / (T+ + T-) of differences without zeros."""
+    """(T+ - T-) / (T+ + T-) of differences without zeros; 0 of none."""
     d = d[d != 0]
     if not d.size:
-        return float("nan")
+        return 0.0
     _, inverse, n = np.unique(np.abs(d), return_inverse=True, return_counts=True)
     rank = (np.cumsum(n) - (n - 1) / 2)[inverse]
     return float((rank[d > 0].sum() - rank[d < 0].sum()) / rank.sum())

@@ -22,7 +22,8 @@ def known_label(label: Column) -> Column:
 def label_entropy(rows: DataFrame, cell: list[str], label: str = "label", order: str = "_ord") -> DataFrame:
     """Per cell the entropy of its assigned labels; the scale is log2 of all its rows (AGG-01, AGG-02, AGG-03).
 
-    A cell without an assigned label has null entropy and is not zero. Of labels that are as frequent, the first seen dominates.
+    A cell without an assigned label has null entropy, is not zero, and UNASSIGNED dominates it. A cell of one row has no scale: its
+    normalised entropy is null and it is not zero. Of labels that are as frequent, the first seen dominates.
     """
     counted = rows.groupBy(*cell, known_label(F.col(label)).alias("_label")).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
     n, there = F.col("_n"), F.col("_label").isNotNull()
@@ -35,10 +36,10 @@ def label_entropy(rows: DataFrame, cell: list[str], label: str = "label", order:
     )
     h = F.when(F.col("n_assigned") > 0, bits(n, F.col("n_assigned"), F.col("_nlogn"), F.col("n_clusters")))
     made = made.withColumn("semantic_entropy", h)
-    scaled = F.when(F.col("semantic_entropy") == 0, F.lit(0.0)).otherwise(F.try_divide("semantic_entropy", F.log2("n_variants")))
+    scaled = F.when(F.col("n_variants") > 1, F.col("semantic_entropy") / F.log2("n_variants"))
     return made.select(
         *cell, "n_variants", "n_assigned", (F.col("n_variants") - F.col("n_assigned")).alias("n_unassigned"), "n_clusters", "semantic_entropy", scaled.alias("normalised_entropy"),
-        "dominant", F.coalesce(F.col("semantic_entropy") == 0, F.lit(False)).alias("is_zero"), (F.col("n_assigned") == 0).alias("all_unassigned"),
+        F.coalesce("dominant", F.lit(UNASSIGNED)).alias("dominant"), F.coalesce(scaled <= 1e-12, F.lit(False)).alias("is_zero"), (F.col("n_assigned") == 0).alias("all_unassigned"),
     )
 
 
@@ -105,8 +106,8 @@ def accepted_rows(rows: DataFrame, accepted: DataFrame, key: list[str], original
 
 def identity_excluded(rows: DataFrame, instance: list[str], text: str, original_text: str, m: str = "m", min_m: int = DEFAULT.min_m) -> DataFrame:
     """Per instance, its variants that equal the original but for case and outer space, and whether enough others are left (FLT-13)."""
-    from ..functions.scalar import strip
+    from ..functions.scalar import casefold, strip
 
-    same = F.lower(strip(F.col(text))) == F.lower(strip(F.col(original_text)))
+    same = casefold(strip(F.col(text))) == casefold(strip(F.col(original_text)))
     made = rows.groupBy(*instance).agg(F.count("*").alias(m), F.count_if(same).alias("n_identical"))
     return made.withColumn("kept", F.col(m) - F.col("n_identical") >= min_m)

@@ -3,39 +3,106 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions import scalar
 
 
+def n_words(x: Column) -> Column:
+    return F.when(scalar.is_blank(x), 0).otherwise(F.size(F.split(scalar.squeeze(x), " ")))
+
+
 def reordered(x: Column) -> Column:
-    """Syntactic variants, distinct and other than the text: around a comma, around 'and', with the reason first (PRT-02)."""
-    bare = F.regexp_replace(scalar.squeeze(x), r"[.]+$", "")
-    first, rest = F.regexp_extract(bare, r"^([^,]+),\s*(.+)$", 1), F.regexp_extract(bare, r"^([^,]+),\s*(.+)$", 2)
-    left, right = F.regexp_extract(bare, r"^(.+?)\s+and\s+(.+)$", 1), F.regexp_extract(bare, r"^(.+?)\s+and\s+(.+)$", 2)
-    claim, reason = F.regexp_extract(bare, r"^(.+?)\s+because\s+(.+)$", 1), F.regexp_extract(bare, r"^(.+?)\s+because\s+(.+)$", 2)
+    """Syntactic variants, distinct, in this order: the second part before a first one of up to 12 words, at commas; two halves of 3
+    to 18 words changed around ``and``; the reason first; and the text on one line (PRT-02)."""
+    text = scalar.strip(F.coalesce(x, F.lit("")))
+    parts = F.filter(F.transform(F.split(text, ","), scalar.strip), lambda p: p != "")
+    part = lambda ps, i: F.coalesce(F.try_element_at(ps, F.lit(i)), F.lit(""))
+    stop = F.when(F.endswith(text, F.lit(".")), "").otherwise(".")
+    comma = F.when(F.contains(text, F.lit(",")) & (F.size(parts) >= 2) & (n_words(part(parts, 1)) <= 12), F.concat(part(parts, 2), F.lit(", "), part(parts, 1), stop))
+    halves, why = F.split(text, " and "), F.split(text, " because ")
+    and_ = F.when((F.size(halves) == 2) & F.forall(halves, lambda p: n_words(p).between(3, 18)), F.concat(scalar.strip(part(halves, 2)), F.lit(" and "), scalar.strip(part(halves, 1))))
+    because = F.when(F.size(why) == 2, F.concat(F.lit("Because "), scalar.strip(part(why, 2)), F.lit(", "), scalar.strip(part(why, 1))))
+    line = F.regexp_replace(text, r"(?U)\s+", " ")
+    return F.array_distinct(F.filter(F.array_compact(F.array(comma, and_, because, line)), lambda v: v != ""))
+
+
+#: Words that are too telling to be replaced.
+KEPT_WORDS = ("patient", "patients", "clinical", "medical", "disease", "disorder", "syndrome", "cancer", "tumor", "tumour", "diabetes", "hypertension", "infection")
+
+
+def synonym_variants(rows: DataFrame, key: list[str], text: str, mention: str, lexicon: DataFrame, most: int = 4) -> DataFrame:
+    """(key, variant): the text's tokens with one replaced by each of its first ``most`` synonyms (PRT-01).
+
+    lexicon: (word, synonym), in lower case on the left; of a word's synonyms those of more than two letters, without others, are
+    taken by length and letters. Negations, words of KEPT_WORDS and words of the mention stay.
+    """
+    known = lexicon.where(F.lower("synonym") != F.lower("word")).where(F.col("synonym").rlike(r"^\p{L}{3,}$") & ~F.lower("synonym").isin(*scalar.NEGATIONS))
+    known = known.groupBy(F.lower("word").alias("_w")).agg(F.slice(F.array_sort(F.collect_set(F.struct(F.char_length("synonym").alias("n"), F.col("synonym").alias("s")))), 1, most).alias("_s"))
+    tokens = rows.select(*key, F.col(text).alias("_text"), scalar.words(F.lower(F.col(mention))).alias("_m"), scalar.tokens(F.col(text)).alias("_t"))
+    each = tokens.select(*key, "_text", "_m", "_t", F.posexplode("_t").alias("_i", "_token")).withColumn("_w", F.lower("_token"))
+    each = each.where(F.col("_token").rlike(r"^\p{L}+$") & ~F.col("_w").isin(*KEPT_WORDS, *scalar.NEGATIONS) & ~F.array_contains("_m", F.col("_w")))
+    made = each.join(known, "_w").select(*key, "_text", "_t", "_i", F.explode("_s.s").alias("_syn"))
+    variant = F.concat_ws(" ", F.transform("_t", lambda t, i: F.when(i == F.col("_i"), F.col("_syn")).otherwise(t)))
+    return made.select(*key, "_text", variant.alias("variant")).where("variant != _text").select(*key, "variant").distinct()
+
+
+def template_paraphrase(x: Column) -> Column:
+    """The variants without a model: up to three by fixed substitutions, or the text itself (PRT-03)."""
+    text = scalar.strip(F.coalesce(x, F.lit("")))
     made = F.array(
-        F.when(rest != "", F.concat(rest, F.lit(", "), first)),
-        F.when(right != "", F.concat(right, F.lit(" and "), left)),
-        F.when(reason != "", F.concat(F.lit("Because "), reason, F.lit(", "), claim)),
+        F.replace(text, F.lit(" is "), F.lit(" remains ")), F.replace(text, F.lit(" was "), F.lit(" remained ")),
+        F.regexp_replace(text, r"(?U)\bshows\b", "demonstrates"), F.regexp_replace(text, r"(?U)\bwith\b", "accompanied by"),
     )
-    return F.array_distinct(F.filter(F.array_compact(made), lambda v: v != bare))
+    other = F.slice(F.filter(F.array_distinct(made), lambda v: (v != "") & (v != text)), 1, 3)
+    return F.when(F.size(other) > 0, other).otherwise(F.array(text))
 
 
-def substituted(x: Column, synonyms: dict[str, str]) -> Column:
-    """Variants with one known word replaced each (PRT-01). Synonyms are a small fixed map."""
-    made = [F.when(F.lower(x).rlike(rf"\b{re.escape(a)}\b"), F.regexp_replace(x, rf"(?i)\b{re.escape(a)}\b", b)) for a, b in sorted(synonyms.items())]
-    return F.array_distinct(F.filter(F.array_compact(F.array(*made)), lambda v: v != x))
+def back_translated(x: Column, translated: Column | None = None) -> Column:
+    """(variants, fallback): a translation there and back where a model gives one; else small changes, marked as fallback (PRT-04)."""
+    text = scalar.strip(F.coalesce(x, F.lit("")))
+    small = F.array(F.regexp_replace(text, r"(?U)\s+", " "), F.replace(text, F.lit(";"), F.lit(".")), F.regexp_replace(text, r"(?U)\bwhich\b", "that"))
+    back = F.coalesce(scalar.strip(translated), F.lit("")) if translated is not None else F.lit("")
+    variants = F.when(back != "", F.array(back)).otherwise(F.array_distinct(F.filter(small, lambda v: v != "")))
+    return F.struct(variants.alias("variants"), (back == "").alias("fallback"))
 
 
-def template_paraphrase(x: Column) -> Column:
-    """The fallback without a model (PRT-03)."""
-    return F.concat(F.lit("In other words, "), F.lower(F.left(x, F.lit(1))), F.substring(x, 2, 1_000_000))
+def no_op(text: Column, variant: Column, fallback: Column) -> Column:
+    """A fallback that changed nothing: it is rejected whatever the gates say (GAT-7)."""
+    return F.coalesce(fallback, F.lit(False)) & (scalar.strip(variant) == scalar.strip(text))
+
+
+def accepted_final(gates: list[Column], noop: Column) -> Column:
+    """All gates pass, an unknown one doesn't, and it is no no-op (GAT-7)."""
+    out = ~F.coalesce(noop, F.lit(True))
+    for gate in gates:
+        out = out & F.coalesce(gate, F.lit(False))
+    return out
+
+
+def tfidf_cosine_of(a: str | None, b: str | None) -> float:
+    """Cosine of two texts' words and pairs of words, TF-IDF over the two alone, smoothed."""
+    counts = []
+    for text in (a, b):
+        own = re.findall(r"\b\w\w+\b", (text or "").lower())
+        counts.append(Counter(own) + Counter(zip(own, own[1:], strict=False)))
+    weight = lambda t: math.log(3 / (1 + sum(t in c for c in counts))) + 1
+    x, y = ({t: n * weight(t) for t, n in c.items()} for c in counts)
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y[t] for t, v in x.items() if t in y) / norm if norm else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def tfidf_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """tfidf_cosine_of() of columns: the similarity gate without an embedder (GAT-1c)."""
+    return pd.Series([tfidf_cosine_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def chosen(variants: Column, key: Column, attempt: Column, seed: int) -> Column:
@@ -72,9 +139,9 @@ def sparse_removed(rows: DataFrame, by: list[str], instance: str, least: int = 3
 
 
 def changed_of(a: str | None, b: str | None) -> list[str]:
-    """Words of b that an edit from a to b replaced or put in."""
+    """The different words of b that an edit from a to b replaced or put in, as they come."""
     x, y = (re.findall(r"\b\w+\b", (t or "").lower()) for t in (a, b))
-    return [w for tag, _, _, i, j in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if tag in ("replace", "insert") for w in y[i:j]]
+    return list(dict.fromkeys(w for tag, _, _, i, j in difflib.SequenceMatcher(None, x, y).get_opcodes() if tag != "equal" for w in y[i:j]))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -83,25 +150,35 @@ def changed_words(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([changed_of(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def context_of(text: str | None, mention: str | None, start: int | None, width: int = 40) -> str:
-    """The sentence that holds the mention: at its offset, else where it first stands, else ``width`` words around, else the text's first."""
-    text, mention = text or "", mention or ""
-    at = start if start is not None and mention and text[start : start + len(mention)] == mention else text.lower().find(mention.lower()) if mention else -1
-    if at < 0:
-        return " ".join(text.split()[:width])
-    begin = 0
-    for part in re.split(r"(?<=[.!?])\s+", text):
-        begin = text.index(part, begin)
-        if begin <= at < begin + len(part):
-            return part if at + len(mention) <= begin + len(part) else " ".join([*text[:at].split()[-width:], mention, *text[at + len(mention) :].split()[:width]])
-        begin += len(part)
-    return " ".join(text.split()[:width])
+def context_of(text: str | None, mention: str | None, start: int | None = None, end: int | None = None, width: int = 40) -> str:
+    """The sentence at the span, else the first that holds the mention, else ``width`` tokens either side of its tokens, else of the middle."""
+    text, mention = text or "", (mention or "").strip()
+    sentences = [p.strip() for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p.strip()]
+    if start is not None and end is not None and 0 <= start < len(text):
+        at = 0
+        for sentence in sentences:
+            first = text.find(sentence, at)
+            if first <= start < first + len(sentence):
+                return sentence
+            at = max(at, first + len(sentence))
+    if mention:
+        for sentence in sentences:
+            if mention.lower() in sentence.lower():
+                return sentence
+    tokens, own = text.split(), mention.lower().split()
+    if not tokens:
+        return text
+    low = [t.lower() for t in tokens]
+    places = [i for i in range(len(tokens) - len(own) + 1) if low[i : i + len(own)] == own] if own else []
+    first, last = (places[0], places[0] + len(own)) if places else (len(tokens) // 2,) * 2
+    return " ".join(tokens[max(0, first - width) : last + width])
 
 
 @F.pandas_udf(StringType())
-def mention_context(text: pd.Series, mention: pd.Series, start: pd.Series) -> pd.Series:
+def mention_context(text: pd.Series, mention: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
     """context_of() of columns (STR-11)."""
-    return pd.Series([context_of(t, m, None if pd.isna(s) else int(s)) for t, m, s in zip(text, mention, start, strict=True)])
+    whole = lambda x: None if pd.isna(x) else int(x)
+    return pd.Series([context_of(t, m, whole(a), whole(b)) for t, m, a, b in zip(text, mention, start, end, strict=True)])
 
 
 def collisions(rows: DataFrame, changed: DataFrame, cell: list[str], variant: str, label: str) -> DataFrame:

@@ -12,7 +12,8 @@ from ..providers import Nli
 
 
 def cluster_answers(answers: list[str], nli: Nli, least: float = DEFAULT.entailment) -> list[int]:
-    """Cluster of each answer: equal, or entailed both ways, and so on from there; blank with blank alone. Numbered as first seen."""
+    """Cluster of each answer: equal but for case and outer blanks, or entailed both ways, and so on from there; blank with blank alone.
+    Numbered as first seen."""
     top = list(range(len(answers)))
 
     def find(i: int) -> int:
@@ -21,12 +22,13 @@ def cluster_answers(answers: list[str], nli: Nli, least: float = DEFAULT.entailm
             i = top[i]
         return i
 
-    texts = [" ".join((a or "").lower().split()) for a in answers]
+    answers = [a or "" for a in answers]
+    texts = [a.strip().lower() for a in answers]
     for i in range(len(texts)):
         for j in range(i):
             if find(i) == find(j):
                 continue
-            same = texts[i] == texts[j] or (texts[i] and texts[j] and min(nli.entailment([texts[i], texts[j]], [texts[j], texts[i]])) >= least)
+            same = texts[i] == texts[j] or (texts[i] and texts[j] and min(nli.entailment([answers[i], answers[j]], [answers[j], answers[i]])) >= least)
             if same:
                 a, b = find(i), find(j)
                 top[max(a, b)] = min(a, b)
@@ -61,15 +63,23 @@ def threshold_sweep(rows: DataFrame, cell: list[str], answer: str, nli: Nli, thr
     return rows.select(*cell, order, answer).groupBy(*cell).applyInPandas(one, schema)
 
 
-def scored(rows: DataFrame, key: list[str], pred: str, golds: str, unanswerable: str | None = None) -> DataFrame:
-    """Exact match, F1 and containment: the best over gold answers; of a question without one, whether the answer is empty (STR-05, STR-06)."""
-    each = rows.select(*key, pred, *([unanswerable] if unanswerable else []), F.explode_outer(golds).alias("_g"))
-    p, g = F.col(pred), F.coalesce(F.col("_g"), F.lit(""))
-    made = each.groupBy(*key).agg(
-        F.max(exact_match(p, g).cast("int")).alias("em"), F.max(token_f1(p, g)).alias("f1"), F.max(contains_gold(p, g).cast("int")).alias("contained"),
-        F.max(is_empty_answer(p).cast("int")).alias("_empty"), *([F.max(F.col(unanswerable).cast("int")).alias("_un")] if unanswerable else []),
-    )
-    if not unanswerable:
-        return made.withColumn("correct", F.greatest("em", "contained")).drop("_empty")
-    un = F.col("_un") == 1
-    return made.withColumns({"em": F.when(un, F.col("_empty")).otherwise(F.col("em")), "f1": F.when(un, F.col("_empty").cast("double")).otherwise(F.col("f1")), "correct": F.when(un, F.col("_empty")).otherwise(F.greatest("em", "contained"))}).drop("_empty", "_un")
+def scored(rows: DataFrame, key: list[str], pred: str, golds: str, unanswerable: str | None = None, contained: bool = False) -> DataFrame:
+    """(key, em, f1, contained, correct): the best over the gold answers of a row (STR-05, STR-06).
+
+    Of an unanswerable question all tell whether the answer is empty; an empty answer to another that has golds is wrong. Correct is
+    an exact match, or with ``contained`` (the other corpus' rule, which knows no empty answers) that a gold equals the answer or
+    stands in it. Stays within the row: no shuffle.
+    """
+    p, gs = F.col(pred), F.coalesce(F.col(golds), F.array().cast("array<string>"))
+    one = lambda hit: F.coalesce(hit, F.lit(False))
+    equal, inside = one(F.exists(gs, lambda g: exact_match(p, g))), one(F.exists(gs, lambda g: contains_gold(p, g)))
+    best = F.coalesce(F.array_max(F.transform(gs, lambda g: token_f1(p, g))), F.lit(0.0))
+    if contained:
+        ok = equal | inside
+        return rows.select(*key, ok.cast("int").alias("em"), ok.cast("double").alias("f1"), inside.cast("int").alias("contained"), ok.cast("int").alias("correct"))
+    empty = one(is_empty_answer(p))
+    un = F.coalesce(F.col(unanswerable), F.lit(False)) if unanswerable else F.lit(False)
+    wrong = empty & (F.size(gs) > 0)
+    em = F.when(un, empty).otherwise(~wrong & equal).cast("int")
+    f1 = F.when(un, empty.cast("double")).when(wrong, F.lit(0.0)).otherwise(best)
+    return rows.select(*key, em.alias("em"), f1.alias("f1"), (~wrong & inside).cast("int").alias("contained"), em.alias("correct"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..params import DEFAULT, UNASSIGNED
 
 #: Texts that some readers take for a missing value.
-NA_TOKENS = ("NA", "N/A", "NULL", "null", "None", "nan", "NaN", "n/a", "#N/A", "<NA>")
+NA_TOKENS = ("NA", "N/A", "n/a", "NULL", "null", "None", "NaN", "nan", "-nan", "<NA>", "#N/A", "#N/A N/A", "#NA", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN", "NAN", "None.")
 
 
 class ReceiptError(AssertionError):
@@ -110,7 +110,7 @@ def block_completeness(rows: DataFrame, instances: DataFrame, n_models: int, blo
 def na_sweep(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Cells per column that hold a token which some reader would take for missing (RCP-07)."""
     long = rows.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    return long.groupBy("column").agg(F.count_if(F.trim("value").isin(*NA_TOKENS)).alias("n_na_tokens"), F.count_if(F.col("value").isNull()).alias("n_null"), F.count("*").alias("n"))
+    return long.groupBy("column").agg(F.count_if(F.col("value").isin(*NA_TOKENS)).alias("n_na_tokens"), F.count_if(F.col("value").isNull()).alias("n_null"), F.count("*").alias("n"))
 
 
 def stale(artefacts: DataFrame, edges: DataFrame, slack_s: float = 1.0) -> DataFrame:

@@ -223,11 +223,11 @@ def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("pair", "n_used", r("rank_biserial").alias("rank_biserial"), r("z").alias("z"), (F.abs("rank_biserial") >= 0.1).alias("large"))
 
 
-@query("vector_topk", f"with {s.VECTORS} select query_id, form_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, form_id)::int as rank from scores) where rank <= 10")
+@query("vector_topk", f"with {s.VECTORS} select query_id, form_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, form_id)::int as rank from scores) where rank <= 1000")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC-03 by block products."""
     q, f = s.vectors(spark, sf_dir)
-    return retrieval.topk(q, f, 10).withColumn("score", r("score", 6))
+    return retrieval.topk(q, f).withColumn("score", r("score", 6))
 
 
 @query("vector_argmax", f"with {s.VECTORS} select query_id, form_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, form_id) as k from scores) where k = 1")
@@ -236,13 +236,13 @@ def vector_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(*s.vectors(spark, sf_dir)).withColumn("score", r("score", 6))
 
 
-TOP = f"{s.VECTORS}, top as (select query_id as qid, form_id as form, cui, score from scores qualify row_number() over (partition by query_id order by score desc, form_id) <= 10), pred as (select qid, arg_max(cui, {{'s': score, 'f': -form}}) as pred, max(score) as s1 from top group by 1)"
+TOP = f"{s.VECTORS}, top as (select query_id as qid, form_id as form, cui, score from scores qualify row_number() over (partition by query_id order by score desc, form_id) <= 1000), pred as (select qid, arg_max(cui, {{'s': score, 'f': -form}}) as pred, max(score) as s1 from top group by 1)"
 
 
 def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Retrieved (qid, form, score), (form, cui), and the best concept of each query (qid, pred, s1)."""
     q, f = s.vectors(spark, sf_dir)
-    top = retrieval.topk(q, f, 10).select(F.col("query_id").alias("qid"), F.col("form_id").alias("form"), "score")
+    top = retrieval.topk(q, f).select(F.col("query_id").alias("qid"), F.col("form_id").alias("form"), "score")
     forms = f.select(F.col("form_id").alias("form"), "cui")
     pred = top.join(forms, "form").groupBy("qid").agg(F.max_by("cui", F.struct("score", -F.col("form"))).alias("pred"), F.max("score").alias("s1"))
     return top, forms, pred
@@ -263,17 +263,17 @@ def top_two_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASSIGN_SQL = f"""with {s.VECTORS.replace("list_dot_product(q.embedding::double[], f.embedding::double[])", "0.5 + round(list_dot_product(q.embedding::double[], f.embedding::double[]), 6) / 2")},
-top as (select query_id as qid, form_id as form, cui, score from scores qualify row_number() over (partition by query_id order by score desc, form_id) <= 10),
-nf as (select 'C' || lpad(label::varchar, 7, '0') as cui, count(*) as n_forms, label % 3 <> 0 as in_type from embeddings where vec_id >= 100 group by label),
-c0 as (select qid, cui, max(score) as score from top where qid % 10 <> 9 group by all), ex as (select vec_id as qid, 'C' || lpad(((label + vec_id) % 10)::varchar, 7, '0') as cui from embeddings where vec_id < 100 and vec_id % 4 = 0),
+top as (select query_id as qid, form_id as form, cui, score from scores qualify row_number() over (partition by query_id order by score desc, form_id) <= 1000),
+nf as (select 'C' || lpad(label::varchar, 7, '0') as cui, count(*) as n_forms, label % 3 <> 0 as in_type from embeddings group by label),
+c0 as (select qid, cui, max(score) as score from top where (qid // 100) % 5 <> 4 group by all), ex as (select vec_id as qid, 'C' || lpad(((label + vec_id // 100) % 10)::varchar, 7, '0') as cui from embeddings where vec_id % 100 = 0 and (vec_id // 100) % 2 = 0),
 b as (select coalesce(c0.qid, ex.qid) as qid, coalesce(c0.cui, ex.cui) as cui, c0.score, ex.cui is not null as is_exact, c0.score is not null as was_found from c0 full join ex on c0.qid = ex.qid and c0.cui = ex.cui),
 w as (select b.*, n_forms, in_type, bool_or(was_found) over (partition by qid) as any_found, bool_or(is_exact and was_found) over (partition by qid) as hit, bool_or(is_exact) over (partition by qid) as has_exact from b join nf using (cui)),
-w1 as (select *, coalesce(score, 1.0) as sc, case when hit then 'exact_match' when has_exact then 'exact_match_inject' end as rule1 from w where any_found and case when hit then is_exact and was_found else true end),
+w1 as (select *, coalesce(score, 1.0) as sc, case when hit then 'exact_match' when has_exact then 'exact_match_inject' else 'no_exact_match' end as rule1 from w where any_found and case when hit then is_exact and was_found else true end),
 w2 as (select *, bool_or(in_type) over (partition by qid) as any_type from w1), w3 as (select *, max(sc) over (partition by qid) as best from w2 where in_type or not any_type),
-w4 as (select *, count(*) over (partition by qid) as near, count(*) over (partition by qid, n_forms, sc) as ties, row_number() over (partition by qid order by n_forms desc, sc desc, cui) as k from w3 where best - sc <= 0.02),
-won as (select * from w4 where k = 1), q as (select vec_id as qid, case when vec_id % 10 = 8 then 'C' || lpad(label::varchar, 7, '0') end as direct from embeddings where vec_id < 100)
+w4 as (select *, count(*) over (partition by qid, n_forms, sc) as ties, row_number() over (partition by qid order by n_forms desc, sc desc, cui) as k from w3 where best - sc <= 0.02),
+won as (select * from w4 where k = 1), q as (select vec_id as qid, case when (vec_id // 100) % 5 = 3 then 'C' || lpad(label::varchar, 7, '0') end as direct from embeddings where vec_id % 100 = 0)
 select q.qid, case when direct is not null then direct when won.qid is null or best < 0.7 then 'UNASSIGNED' else cui end as predicted_cui, round(case when direct is not null then 1.0 when won.qid is null then 0.0 when best < 0.7 then best else sc end, 7) as confidence,
-  case when direct is not null then 'direct_cui' when won.qid is null then 'faiss_empty' else concat_ws('+', rule1, case when any_type then 'st21pv' else 'st21pv_skip' end, 'encoder_cosine', case when best < 0.7 then 'below_thresh_0.7' when near > 1 then 'freq_tiebreak' end) end as assign_rule_path,
+  case when direct is not null then 'direct_cui' when won.qid is null then 'faiss_empty' else concat_ws('+', rule1, case when any_type then 'st21pv' else 'st21pv_skip' end, 'encoder_cosine', case when best < 0.7 then 'below_thresh_0.7' else 'freq_tiebreak' end) end as assign_rule_path,
   case when direct is not null or won.qid is null or best < 0.7 then 1 else ties end::bigint as ties from q left join won using (qid)"""
 
 
@@ -283,12 +283,12 @@ def five_rule_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, f = s.vectors(spark, sf_dir)
     e = s.table(spark, sf_dir, "embeddings")
     name = lambda x: F.concat(F.lit("C"), F.lpad(x.cast("string"), 7, "0"))
-    kinds = e.where("vec_id >= 100").groupBy(name(F.col("label")).alias("cui")).agg(F.count("*").alias("n_forms"), (F.max("label") % 3 != 0).alias("in_type"))
-    top = retrieval.topk(q, f.select("form_id", "vector"), 10).join(f.select("form_id", "cui"), "form_id").where("query_id % 10 != 9")
+    kinds = e.groupBy(name(F.col("label")).alias("cui")).agg(F.count("*").alias("n_forms"), (F.max("label") % 3 != 0).alias("in_type"))
+    top = retrieval.topk(q, f.select("form_id", "vector")).join(f.select("form_id", "cui"), "form_id").where("query_id div 100 % 5 != 4")
     candidates = top.select(F.col("query_id").alias("qid"), "cui", (F.lit(0.5) + F.round("score", 6) / 2).alias("score")).join(kinds, "cui")
-    own = e.where("vec_id < 100")
-    exact = own.where("vec_id % 4 = 0").select(F.col("vec_id").alias("qid"), name((F.col("label") + F.col("vec_id")) % 10).alias("cui")).join(kinds, "cui")
-    queries = own.select(F.col("vec_id").alias("qid"), F.when(F.col("vec_id") % 10 == 8, name(F.col("label"))).alias("direct"))
+    own = e.where("vec_id % 100 = 0").withColumn("no", F.expr("vec_id div 100"))
+    exact = own.where("no % 2 = 0").select(F.col("vec_id").alias("qid"), name((F.col("label") + F.col("no")) % 10).alias("cui")).join(kinds, "cui")
+    queries = own.select(F.col("vec_id").alias("qid"), F.when(F.col("no") % 5 == 3, name(F.col("label"))).alias("direct"))
     return concepts.assign(queries, candidates, exact).withColumn("confidence", r("confidence", 7))
 
 

@@ -31,9 +31,9 @@ def entropy_sql(source: str, cell: str, name: str, label: str = "label") -> str:
     """SQL of label_entropy() over a CTE, as a CTE of that name."""
     keys = ", ".join(cell.split())
     return f"""{name}_c as (select {keys}, case when {label} = 'UNASSIGNED' or lower(coalesce({label}, '')) in ('nan', 'na', 'none', '') then null else {label} end as l, count(*) as n, min(_ord) as f from {source} group by all),
-{name}_s as (select {keys}, sum(n)::bigint as n_variants, coalesce(sum(n) filter (where l is not null), 0)::bigint as n_assigned, count(l) as n_clusters, sum(n * log2(n)) filter (where l is not null) as s, arg_max(l, {{'n': n, 'f': -f}}) filter (where l is not null) as dominant from {name}_c group by {keys}),
+{name}_s as (select {keys}, sum(n)::bigint as n_variants, coalesce(sum(n) filter (where l is not null), 0)::bigint as n_assigned, count(l) as n_clusters, sum(n * log2(n)) filter (where l is not null) as s, coalesce(arg_max(l, {{'n': n, 'f': -f}}) filter (where l is not null), 'UNASSIGNED') as dominant from {name}_c group by {keys}),
 {name} as (select *, n_variants - n_assigned as n_unassigned, case when n_assigned = 0 then null when n_clusters = 1 then 0.0 else log2(n_assigned) - s / n_assigned end as semantic_entropy,
-  case when n_assigned = 0 then null when n_clusters = 1 then 0.0 else (log2(n_assigned) - s / n_assigned) / log2(n_variants) end as normalised_entropy, coalesce(n_assigned > 0 and n_clusters = 1, false) as is_zero, n_assigned = 0 as all_unassigned from {name}_s)"""
+  case when n_assigned = 0 or n_variants = 1 then null when n_clusters = 1 then 0.0 else (log2(n_assigned) - s / n_assigned) / log2(n_variants) end as normalised_entropy, n_variants > 1 and n_clusters = 1 as is_zero, n_assigned = 0 as all_unassigned from {name}_s)"""
 
 
 #: Both arms of the grid, with the flags of retained cells.
@@ -66,28 +66,23 @@ SELECTION = r"""sel as (select lang, doc_id as _ord, quality as correct, toxic,
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(query_id, vector) and (form_id, vector, cui): the first hundred embeddings ask for the others."""
+    """(query_id, vector) and (form_id, vector, cui): embeddings whose ids divide by 100 ask for all."""
     e = table(spark, sf_dir, "embeddings")
     cui = F.concat(F.lit("C"), F.lpad(F.col("label").cast("string"), 7, "0"))
-    return e.where("vec_id < 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.where("vec_id >= 100").select(F.col("vec_id").alias("form_id"), F.col("embedding").alias("vector"), cui.alias("cui"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("form_id"), F.col("embedding").alias("vector"), cui.alias("cui"))
 
 
-VECTORS = """scores as (select q.vec_id as query_id, f.vec_id as form_id, 'C' || lpad(f.label::varchar, 7, '0') as cui, list_dot_product(q.embedding::double[], f.embedding::double[]) as score from embeddings q, embeddings f where q.vec_id < 100 and f.vec_id >= 100)"""
+VECTORS = """scores as (select q.vec_id as query_id, f.vec_id as form_id, 'C' || lpad(f.label::varchar, 7, '0') as cui, list_dot_product(q.embedding::double[], f.embedding::double[]) as score from embeddings q, embeddings f where q.vec_id % 100 = 0)"""
 
 
-def whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as answers: each turn predicts the next."""
     c = table(spark, sf_dir, "conversations")
     gold = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return c.select("conv_id", "turn", F.col("text").alias("pred"), gold.alias("gold")).where("gold is not null")
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 characters of both, as the SQL has them."""
-    return whole_turns(spark, sf_dir).withColumns({c: F.left(c, F.lit(60)) for c in ("pred", "gold")})
-
-
-TURNS = """qa as (select * from (select conv_id, turn, text[1:60] as pred, (lead(text) over (partition by conv_id order by turn))[1:60] as gold from conversations) where gold is not null)"""
+TURNS = """qa as (select * from (select conv_id, turn, text as pred, lead(text) over (partition by conv_id order by turn) as gold from conversations) where gold is not null)"""
 
 
 def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,11 +73,21 @@ class LexicalNli:
 class SuffixTagger:
     """Parts of speech by ending (STR-14)."""
 
-    #: Endings and their tags, the first that fits counts.
-    ENDINGS = (("ly", "ADV"), ("ing", "VERB"), ("ed", "VERB"), ("ous", "ADJ"), ("ful", "ADJ"), ("ive", "ADJ"), ("al", "ADJ"), ("ion", "NOUN"), ("ness", "NOUN"), ("ment", "NOUN"), ("ity", "NOUN"))
+    #: Endings and their tags, the first that fits counts; other words are nouns.
+    ENDINGS = ((("ing", "ed"), "VERB"), (("ly",), "ADV"), (("al", "ive", "ous", "ic", "ary"), "ADJ"))
 
     def tag(self, tokens: list[str]) -> list[str]:
-        return [next((tag for end, tag in self.ENDINGS if t.lower().endswith(end)), "NUM" if t.isdigit() else "NOUN" if t.isalpha() else "PUNCT") for t in tokens]
+        return [next((tag for ends, tag in self.ENDINGS if t.lower().endswith(ends)), "NOUN") for t in tokens]
+
+
+#: The category of each part of speech.
+CATEGORIES = {"NOUN": "noun", "PROPN": "noun", "VERB": "verb", "AUX": "verb", "ADJ": "modifier", "ADV": "modifier", "DET": "function_word", "ADP": "function_word", "CCONJ": "function_word", "SCONJ": "function_word", "PART": "function_word", "PRON": "function_word"}
+
+
+def linguistic_category(tags: list[str]) -> str:
+    """The one category that the tags have, mixed of several, unknown of none (STR-14)."""
+    found = {CATEGORIES[t] for t in tags if t in CATEGORIES}
+    return found.pop() if len(found) == 1 else "mixed" if found else "unknown"
 
 
 class RepeatChecker:
