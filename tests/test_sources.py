@@ -62,8 +62,14 @@ def test_sinks(spark, tmp_path):
     sinks.write_new(spark.range(3), where)
     with pytest.raises(AnalysisException):
         sinks.write_new(spark.range(3), where)
+    where = str(tmp_path / "versions")
     sinks.replace(spark.range(5), where)
-    assert spark.read.parquet(where).count() == 5 and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+    held = sinks.current(spark, where)
+    sinks.replace(spark.range(6), where)
+    # who reads the old version still can
+    assert held.count() == 5 and sinks.current(spark, where).count() == 6
+    sinks.replace(held, where)
+    assert sinks.current(spark, where).count() == 5 and len(list((tmp_path / "versions").glob("v-*"))) == 2
     sinks.write_receipt(spark, str(tmp_path / "r.json"), {"b": 1})
     sinks.write_receipt(spark, str(tmp_path / "r.json"), {"b": 2})
     assert json.loads((tmp_path / "r.json").read_text()) == {"b": 2}

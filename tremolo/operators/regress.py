@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cuts import written
 from .stats import normal_tail
 
 
@@ -82,35 +83,40 @@ def _linear(columns: list[str], coef: np.ndarray) -> Column:
     return out
 
 
+def _used(rows: DataFrame, y: str, columns: list[str], cluster: str) -> DataFrame:
+    """The columns of a fit, without rows null in any."""
+    return rows.select(F.col(y).cast("double").alias(y), *[F.col(c).cast("double").alias(c) for c in columns if c != y], *([cluster] if cluster not in (y, *columns) else [])).dropna()
+
+
 def ols(rows: DataFrame, y: str, columns: list[str], cluster: str) -> Fit:
     """Least squares with cluster-robust errors (STA-19). Rows null in any of its columns are left out."""
-    used = rows.dropna(subset=[y, *columns, cluster])
-    xx, xy, yy, sy, n = gram(used, F.col(y).cast("double"), columns)
-    bread = np.linalg.pinv(xx)
-    coef = bread @ xy
-    se, g = _sandwich(used, columns, F.col(y) - _linear(columns, coef), cluster, bread, n)
+    with written(_used(rows, y, columns, cluster)) as used:
+        xx, xy, yy, sy, n = gram(used, F.col(y), columns)
+        bread = np.linalg.pinv(xx)
+        coef = bread @ xy
+        se, g = _sandwich(used, columns, F.col(y) - _linear(columns, coef), cluster, bread, n)
     whole = yy - sy * sy / n
     return Fit(["const", *columns], coef, se, n, g, 1 - (yy - float(coef @ xy)) / whole if whole > 0 else None)
 
 
 def logit(rows: DataFrame, y: str, columns: list[str], cluster: str, steps: int = 25) -> Fit:
-    """Logistic regression by reweighted least squares, an aggregation a step, with cluster-robust errors (STA-18)."""
-    used = rows.dropna(subset=[y, *columns, cluster])
-    coef = np.zeros(len(columns) + 1)
-    target = F.col(y).cast("double")
-    for _ in range(steps):
-        eta = _linear(columns, coef)
-        p = 1 / (1 + F.exp(-eta))
-        w = F.greatest(p * (1 - p), F.lit(1e-10))
-        xx, xz, _, _, n = gram(used, eta + (target - p) / w, columns, w)
-        new = np.linalg.pinv(xx) @ xz
-        moved, coef = float(np.abs(new - coef).max()), new
-        if moved < 1e-10:
-            break
-    p = 1 / (1 + F.exp(-_linear(columns, coef)))
-    xx = gram(used, target, columns, p * (1 - p))[0]
-    bread = np.linalg.pinv(xx)
-    se, g = _sandwich(used, columns, target - p, cluster, bread, n)
+    """Logistic regression by reweighted least squares, with cluster-robust errors (STA-18). Its few columns are written once; a step
+    is one aggregation over them."""
+    with written(_used(rows, y, columns, cluster)) as used:
+        coef, target = np.zeros(len(columns) + 1), F.col(y)
+        for _ in range(steps):
+            eta = _linear(columns, coef)
+            p = 1 / (1 + F.exp(-eta))
+            w = F.greatest(p * (1 - p), F.lit(1e-10))
+            xx, xz, _, _, n = gram(used, eta + (target - p) / w, columns, w)
+            new = np.linalg.pinv(xx) @ xz
+            moved, coef = float(np.abs(new - coef).max()), new
+            if moved < 1e-10:
+                break
+        p = 1 / (1 + F.exp(-_linear(columns, coef)))
+        xx = gram(used, target, columns, p * (1 - p))[0]
+        bread = np.linalg.pinv(xx)
+        se, g = _sandwich(used, columns, target - p, cluster, bread, n)
     return Fit(["const", *columns], coef, se, n, g)
 
 

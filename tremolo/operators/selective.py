@@ -65,6 +65,18 @@ def average_rank(value: Column, cell: list[str], descending: bool = False) -> Co
     return F.rank().over(Window.partitionBy(*cell).orderBy(key)) + (F.count("*").over(Window.partitionBy(*cell, value)) - 1) / F.lit(2.0)
 
 
+def distinct_ranks(rows: DataFrame, cell: list[str], value: str, counts: dict[str, Column]) -> DataFrame:
+    """(cell, value, counts, _n, _rank): a row a different value, with the average rank of its _n rows.
+
+    ``counts`` are aggregates of a value's rows; _n, if they don't give it, is their number. Rows are added up before the shuffle, so
+    that a cell's ordered pass is over its different values.
+    """
+    counts = counts if "_n" in counts else {**counts, "_n": F.count("*")}
+    each = rows.groupBy(*cell, value).agg(*[c.alias(n) for n, c in counts.items()])
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*cell).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumn("_rank", before + (F.col("_n") + 1) / F.lit(2.0))
+
+
 def rank_share(value: Column, cell: list[str], inverted: bool = False) -> Column:
     """Average rank over the cell's size; inverted, one less that (WIN-02)."""
     share = average_rank(value, cell) / F.count("*").over(Window.partitionBy(*cell))
@@ -93,6 +105,7 @@ def expected_random_aurc(rows: DataFrame, cell: list[str], correct: str = "corre
 def auroc(rows: DataFrame, cell: list[str], score: str, positive: str) -> DataFrame:
     """Chance that a positive row has the larger score, ties counting half: from rank sums (SEL-08). Null without both kinds."""
     yes = F.col(positive).cast("boolean")
-    made = rows.withColumn("_r", average_rank(F.col(score), cell)).groupBy(*cell).agg(F.sum(F.when(yes, F.col("_r"))).alias("_sum"), F.count_if(yes).alias("n1"), F.count_if(~yes).alias("n0"))
+    at = distinct_ranks(rows.where(F.col(score).isNotNull()), cell, score, {"_yes": F.count_if(yes), "_no": F.count_if(~yes), "_n": F.count("*")})
+    made = at.groupBy(*cell).agg(F.sum(F.col("_yes") * F.col("_rank")).alias("_sum"), F.sum("_yes").alias("n1"), F.sum("_no").alias("n0"))
     n1, n0 = F.col("n1"), F.col("n0")
     return made.select(*cell, "n1", "n0", F.when((n1 > 0) & (n0 > 0), (F.col("_sum") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auroc"))

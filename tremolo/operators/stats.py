@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
-from .selective import average_rank
+from .selective import average_rank, distinct_ranks
 
 
 def log10_normal_tail(z: float) -> float:
@@ -68,9 +68,9 @@ def paired(rows: DataFrame, by: list[str], key: list[str], group: str, first: st
 def signed_ranks(pairs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
     """Wilcoxon's sums of paired differences without zeros: T+, T-, rank-biserial r, z with tie correction (STA-01, STA-02)."""
     used = pairs.where(F.col(d) != 0).withColumn("_a", F.abs(d))
-    used = used.withColumns({"_r": average_rank(F.col("_a"), by), "_t": F.count("*").over(Window.partitionBy(*by, "_a"))})
-    r, t = F.col("_r"), F.col("_t").cast("double")
-    made = used.groupBy(*by).agg(F.count("*").alias("n_used"), F.sum(F.when(F.col(d) > 0, r).otherwise(0.0)).alias("t_plus"), F.sum(F.when(F.col(d) < 0, r).otherwise(0.0)).alias("t_minus"), F.sum(t * t - 1).alias("_ties"))
+    at = distinct_ranks(used, by, "_a", {"_up": F.count_if(F.col(d) > 0), "_down": F.count_if(F.col(d) < 0)})
+    r, t = F.col("_rank"), F.col("_n").cast("double")
+    made = at.groupBy(*by).agg(F.sum("_n").alias("n_used"), F.sum(F.col("_up") * r).alias("t_plus"), F.sum(F.col("_down") * r).alias("t_minus"), F.sum(t * (t * t - 1)).alias("_ties"))
     n = F.col("n_used").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     return made.select(*by, "n_used", "t_plus", "t_minus", ((F.col("t_plus") - F.col("t_minus")) / (F.col("t_plus") + F.col("t_minus"))).alias("rank_biserial"), F.try_divide(F.col("t_plus") - n * (n + 1) / 4, F.sqrt(variance)).alias("z"))
@@ -79,9 +79,9 @@ def signed_ranks(pairs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
 def mann_whitney(rows: DataFrame, by: list[str], value: str, is_first: str) -> DataFrame:
     """U of the first sample, z with tie and continuity correction, and 1 - 2U/(n1 n2) (STA-03, STA-29)."""
     first = F.col(is_first).cast("boolean")
-    used = rows.where(F.col(value).isNotNull()).withColumns({"_r": average_rank(F.col(value), by), "_t": F.count("*").over(Window.partitionBy(*by, value))})
-    t = F.col("_t").cast("double")
-    made = used.groupBy(*by).agg(F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"), F.sum(F.when(first, F.col("_r"))).alias("_sum"), F.sum(t * t - 1).alias("_ties"))
+    at = distinct_ranks(rows.where(F.col(value).isNotNull()), by, value, {"_n1": F.count_if(first), "_n2": F.count_if(~first)})
+    t = F.col("_n").cast("double")
+    made = at.groupBy(*by).agg(F.sum("_n1").alias("n1"), F.sum("_n2").alias("n2"), F.sum(F.col("_n1") * F.col("_rank")).alias("_sum"), F.sum(t * (t * t - 1)).alias("_ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     made = made.withColumn("u", F.col("_sum") - n1 * (n1 + 1) / 2)
@@ -91,21 +91,25 @@ def mann_whitney(rows: DataFrame, by: list[str], value: str, is_first: str) -> D
 
 def kruskal(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """H with tie correction, and its degrees of freedom (STA-16)."""
-    used = rows.where(F.col(value).isNotNull()).withColumns({"_r": average_rank(F.col(value), by), "_t": F.count("*").over(Window.partitionBy(*by, value))})
-    t = F.col("_t").cast("double")
-    sums = used.groupBy(*by, group).agg(F.sum("_r").alias("_s"), F.count("*").alias("_n"), F.sum(t * t - 1).alias("_ties"))
-    made = sums.groupBy(*by).agg(F.sum("_n").alias("n"), F.count("*").alias("k"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_q"), F.sum("_ties").alias("_ties"))
+    each = rows.where(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count("*").alias("_k"))
+    ranks = distinct_ranks(each, by, value, {"_n": F.sum("_k")}).withColumnRenamed(value, "_value")
+    joined = each.alias("e").join(ranks.alias("r"), [F.col(f"e.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col(f"e.{value}") == F.col("r._value")])
+    sums = joined.groupBy(*[F.col(f"e.{c}").alias(c) for c in by], F.col(f"e.{group}").alias(group)).agg(F.sum(F.col("_k") * F.col("_rank")).alias("_s"), F.sum("_k").alias("_m"))
+    t = F.col("_n").cast("double")
+    ties = ranks.groupBy(*by).agg(F.sum(t * (t * t - 1)).alias("_ties"))
+    made = sums.groupBy(*by).agg(F.sum("_m").alias("n"), F.count("*").alias("k"), F.sum(F.col("_s") * F.col("_s") / F.col("_m")).alias("_q"))
+    made = made.join(ties, by) if by else made.crossJoin(F.broadcast(ties))
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))
     return made.select(*by, "n", "k", h.alias("h"), (F.col("k") - 1).alias("df"))
 
 
 def pearson_of(x: Column, y: Column) -> Column:
-    """Pearson's r from sums; null where either is constant (STA-06, trap 10)."""
-    n = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).cast("double")
-    sx, sy, sxx, syy, sxy = (F.sum(v) for v in (x, y, x * x, y * y, x * y))
-    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    return F.when((vx > 1e-12 * n * sxx) & (vy > 1e-12 * n * syy), (n * sxy - sx * sy) / F.sqrt(vx * vy))
+    """Pearson's r, centred as it is summed; null where either is constant to a part in 10^12 (STA-06, trap 10)."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = (F.when(both, v.cast("double")) for v in (x, y))
+    varies = lambda v: F.var_pop(v) > F.lit(1e-24) * F.avg(v) * F.avg(v)
+    return F.when(varies(x) & varies(y), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

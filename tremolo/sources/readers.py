@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,20 +18,22 @@ def strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _piped(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.split("value", r"\|").alias("f"))
+    """(f, _ord): a line's fields, and its place: file, block of the file, line."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.split("value", r"\|").alias("f"), place.alias("_ord"))
 
 
 def rrf_names(spark: SparkSession, path: str, language: str = "ENG") -> DataFrame:
     """(cui, sab, tty, code, form, _ord): names in a language that aren't suppressed; short rows drop (SRC-01)."""
     f = F.col("f")
     rows = _piped(spark, path).where((F.size(f) > 16) & (f[1] == language) & (f[16] == "N"))
-    return rows.select(f[0].alias("cui"), f[11].alias("sab"), f[12].alias("tty"), f[13].alias("code"), f[14].alias("form"), F.monotonically_increasing_id().alias("_ord"))
+    return rows.select(f[0].alias("cui"), f[11].alias("sab"), f[12].alias("tty"), f[13].alias("code"), f[14].alias("form"), "_ord")
 
 
 def rrf_types(spark: SparkSession, path: str) -> DataFrame:
     """(cui, tui, stn, sty, _ord) (SRC-02)."""
     f = F.col("f")
-    return _piped(spark, path).where(F.size(f) > 3).select(f[0].alias("cui"), f[1].alias("tui"), f[2].alias("stn"), f[3].alias("sty"), F.monotonically_increasing_id().alias("_ord"))
+    return _piped(spark, path).where(F.size(f) > 3).select(f[0].alias("cui"), f[1].alias("tui"), f[2].alias("stn"), f[3].alias("sty"), "_ord")
 
 
 def code_map(names: DataFrame, sab: str = "SNOMEDCT_US") -> DataFrame:
@@ -98,3 +102,32 @@ def candidate_labels(rows: DataFrame, column: str) -> DataFrame:
 def quoted_answers(column: str) -> Column:
     """The quoted texts of a cell that holds a printed dict or array (SRC-15)."""
     return F.filter(F.transform(F.regexp_extract_all(column, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), 0), lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), lambda x: ~x.isin("text", "answer_start"))
+
+
+def header(spark: SparkSession, path: str) -> list[str]:
+    """The columns of a CSV, from its first line alone (SRC-12)."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+
+
+#: Parts of a path, and what each adds to its score.
+CORPUS_HINTS = (("pubtator", 4), ("medmentions", 3), ("corpus", 2), ("st21pv", 2))
+CORPUS_PATTERNS = ("*corpus_pubtator.txt.gz", "*pubtator*", "*corpus*", "*st21pv*", "*.txt", "*.gz")
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """(path, score) of files below a folder that may hold the corpus, likely ones first (SRC-06). Names alone are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    name, low = F.element_at(F.split("path", "/"), -1), F.lower("path")
+    like = [name.rlike("^" + re.escape(p).replace(r"\*", ".*") + "$") for p in CORPUS_PATTERNS]
+    score = F.when(F.endswith(low, F.lit(".txt")), 1).otherwise(0)
+    for hint, more in CORPUS_HINTS:
+        score = score + F.when(F.contains(low, F.lit(hint)), more).otherwise(0)
+    return files.where(reduce(lambda a, b: a | b, like)).select("path", score.alias("score")).orderBy(F.col("score").desc(), "path")
+
+
+def cached(spark: SparkSession, where: str, make) -> DataFrame:
+    """A table that is made once and read after that (SRC-17). Half a table is none: it is whole when its _SUCCESS is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        make().write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)

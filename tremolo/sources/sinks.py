@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,17 +19,65 @@ def write_new(rows: DataFrame, where: str) -> None:
     rows.write.mode("errorifexists").parquet(where)
 
 
+def _put(spark: SparkSession, where: str, data: bytes) -> None:
+    """A file in place of another in one step: readers see the old one or the new."""
+    fs, target = _path(spark, where)
+    jvm = spark.sparkContext._jvm
+    temp = jvm.org.apache.hadoop.fs.Path(f"{where}.{uuid.uuid4().hex}")
+    out = fs.create(temp, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(temp, target, how)
+
+
 def replace(rows: DataFrame, where: str) -> None:
-    """Write beside, then swap: readers see the old folder or the new one (SNK-02)."""
+    """A new version below ``where``, then a pointer to it in place of the old: readers (``current``) see one or the other, and a
+    failure leaves the old (SNK-02). The version before the last is kept for those who read it; older ones go."""
     spark = rows.sparkSession
-    fs, target = _path(spark, where)
-    rows.write.mode("overwrite").parquet(f"{where}.new")
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs.delete(jvm_path(f"{where}.old"), True)
-    if fs.exists(target):
-        fs.rename(target, jvm_path(f"{where}.old"))
-    fs.rename(jvm_path(f"{where}.new"), target)
-    fs.delete(jvm_path(f"{where}.old"), True)
+    version = f"v-{uuid.uuid4().hex}"
+    fs, path = _path(spark, f"{where}/CURRENT")
+    before = _version(spark, where) if fs.exists(path) else None
+    rows.write.parquet(f"{where}/{version}")
+    _put(spark, f"{where}/CURRENT", version.encode())
+    for status in fs.listStatus(path.getParent()):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _version(spark: SparkSession, where: str) -> str:
+    return spark.read.text(f"{where}/CURRENT", wholetext=True).first()["value"].strip()
+
+
+def current(spark: SparkSession, where: str) -> DataFrame:
+    """The last version that replace() put there."""
+    return spark.read.parquet(f"{where}/{_version(spark, where)}")
+
+
+def write_csv(rows: DataFrame, where: str) -> None:
+    """CSV with a header, quoted where it must be, with a backslash before what would end a cell (SNK-01)."""
+    rows.write.mode("errorifexists").option("header", True).option("escape", "\\").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(where)
+
+
+def read_csv(spark: SparkSession, where: str, schema: str) -> DataFrame:
+    """What write_csv() wrote, line ends and blanks in cells too; doubles to the last bit (SRC-18). An empty text comes back as null."""
+    return spark.read.schema(schema).option("header", True).option("escape", "\\").option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(where)
+
+
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A report's table as Markdown, cells padded (SNK-06); refuses more than ``most`` rows."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    cells = [rows.columns, *([("" if v is None else str(v)) for v in r] for r in found)]
+    wide = [max(len(line[i]) for line in cells) for i in range(len(rows.columns))]
+    line = lambda parts: "| " + " | ".join(p.ljust(w) for p, w in zip(parts, wide, strict=True)) + " |"
+    return "\n".join([line(cells[0]), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, cells[1:])])
 
 
 def append_last(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -40,14 +89,7 @@ def append_last(old: DataFrame, new: DataFrame, key: list[str], order: str) -> D
 
 def write_receipt(spark: SparkSession, where: str, content: dict) -> None:
     """A JSON file, put in place by a rename (SNK-05, SNK-09)."""
-    fs, target = _path(spark, where)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    temp = jvm_path(f"{where}.tmp")
-    out = fs.create(temp, True)
-    out.write(bytearray(json.dumps(content, sort_keys=True, indent=1).encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(temp, target)
+    _put(spark, where, json.dumps(content, sort_keys=True, indent=1).encode())
 
 
 def redacted(rows: DataFrame, columns: list[str]) -> DataFrame:
