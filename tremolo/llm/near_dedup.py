@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
 #: Estimates so many standard deviations below the similarity asked for are not verified: of pairs of similarity 0.8, of which 5 in a
-#: million share no band, 2 in 100 million more are lost so (a binomial share of 240 slots).
+#: million share no band, 1 in 100 million more are lost so (a binomial share of 240 slots).
 DEVIATIONS = 6
 #: Shingles that a worker takes at a time (but for one longer document), and words whose hashes it remembers.
 BATCH_SHINGLES = 100_000
