@@ -119,9 +119,14 @@ def token_overlap(a: Column, b: Column) -> Column:
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of the normalised texts' tokens; two empty texts agree (STR-04)."""
     cut = lambda x: F.filter(F.split(squad_normalise(x), " "), lambda t: t != "")
-    p, g = cut(pred), cut(gold)
-    both = token_overlap(p, g)
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(both == 0, F.lit(0.0)).otherwise(2.0 * both / (F.size(p) + F.size(g)))
+
+    def score(both: Column) -> Column:
+        p, g = both["p"], both["g"]
+        shared = token_overlap(p, g)
+        return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).otherwise(2.0 * shared / (F.size(p) + F.size(g)))
+
+    # bound by a lambda, so that texts are normalised once and not for each token
+    return F.element_at(F.transform(F.array(F.struct(cut(pred).alias("p"), cut(gold).alias("g"))), score), 1)
 
 
 def exact_match(pred: Column, gold: Column) -> Column:
