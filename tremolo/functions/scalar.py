@@ -199,8 +199,11 @@ def negation_set_gate(a: Column, b: Column) -> Column:
 
 
 def edit_gate(a: Column, b: Column, low: float = DEFAULT.edit_low, high: float = DEFAULT.edit_high) -> Column:
-    """The texts differ enough, and not too much (GAT-5)."""
-    return edit_distance(a, b).between(low, high)
+    """The texts differ enough, and not too much (GAT-5). Lengths that lie too far apart decide it without a distance."""
+    longest, apart = F.greatest(F.char_length(a), F.char_length(b)), F.abs(F.char_length(a) - F.char_length(b))
+    # bound by a lambda, so that the distance is taken once for both limits
+    inside = F.exists(F.array(edit_distance(a, b)), lambda d: d.between(low, high))
+    return F.when(F.try_divide(apart, longest) > high, F.lit(False)).otherwise(inside)
 
 
 def grammar_score(errors: Column, n_tokens: Column) -> Column:
