@@ -141,3 +141,27 @@ def test_queries_draw_the_studys_replicates(spark, sf):
     ci, aurc = analysis.bootstrap_ci(spark, sf).collect(), analysis.bootstrap_aurc(spark, sf).collect()
     assert ci and {r.b for r in ci} == {2000}
     assert aurc and {r.b for r in aurc} == {20_000} and all(r.p_boot >= 2 / 20_001 for r in aurc)
+
+
+def test_ranges_give_what_windows_give(spark):
+    """One cell with most rows, a null cell, tied scores: ranked, risk and rank operators agree whether cells are windows or ranges."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "cold").alias("g"),
+        F.col("id").alias("_ord"), F.round(F.rand(5), 2).alias("s"), F.when(F.col("id") % 3 > 0, F.round(F.rand(6), 1)).alias("t"), (F.rand(7) < 0.7).cast("int").alias("correct"),
+    )
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    each = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    for made in (
+        lambda n: selective.ranked(rows, ["g"], "s", window_rows=n),
+        lambda n: selective.ranked(rows, ["g"], [F.col("t").desc(), F.col("s").asc()], window_rows=n),
+        lambda n: selective.ranked(rows, [], "s", window_rows=n),
+        lambda n: selective.risk_coverage(rows, ["g"], "s", window_rows=n).where("g is not null"),
+        lambda n: selective.distinct_ranks(rows, ["g"], "t", {}, n),
+        lambda n: selective.combined_ranks(rows, ["g"], "s", "t", "correct", n),
+    ):
+        assert each(made(0)) == each(made(10**6))
+    assert selective.combined_ranks(rows, ["g"], "s", "t", "correct").count() == 4000
+    assert selective.ranked(rows.limit(0), ["g"], "s", window_rows=-1).count() == 0
+    own = rows.withColumn("share", selective.rank_share(F.col("t"), ["g"])).select("_ord", "share")
+    got = selective.combined_ranks(rows, ["g"], "t", "s", "correct").select("_ord", F.col("r_entropy").alias("share"))
+    assert each(own) == each(got)

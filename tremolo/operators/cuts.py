@@ -27,6 +27,13 @@ def delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table of files and its folder, for a result that reads it: it stays for whoever owns the shared folder."""
+    where = folder(rows.sparkSession, "kept")
+    rows.write.parquet(where)
+    return rows.sparkSession.read.schema(rows.schema).parquet(where), where
+
+
 @contextmanager
 def written(rows: DataFrame) -> Iterator[DataFrame]:
     """The rows as a table of files, which goes when the block ends."""

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from .cuts import kept
+from .running import WINDOW_ROWS, running
 
 
 def grid(spark, params: Params = DEFAULT) -> DataFrame:
@@ -17,21 +19,21 @@ def grid(spark, params: Params = DEFAULT) -> DataFrame:
     return spark.range(params.grid_steps).select(F.bround(F.lit(1.0).cast("double") - step * F.col("id"), 2).alias("coverage"))
 
 
-def ranked(rows: DataFrame, cell: list[str], score: str | list[Column], order: str = "_ord") -> DataFrame:
-    """Rows numbered from the best; ``score`` is a column to sort up, or sort expressions (WIN-03, WIN-04)."""
-    keys = [F.col(score).asc()] if isinstance(score, str) else score
-    window = Window.partitionBy(*cell)
-    return rows.withColumns({"rn": F.row_number().over(window.orderBy(*keys, F.col(order).asc())), "n_total": F.count("*").over(window)})
+def ranked(rows: DataFrame, cell: list[str], score: str | list[Column], correct: str = "correct", order: str = "_ord", window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Rows numbered from the best (rn of n_total), with the right ones so far (hits); ``score`` is a column to sort up, or sort
+    expressions (WIN-03, WIN-04). Cells may be of any size."""
+    if isinstance(score, str):
+        rows, score = rows.select(*dict.fromkeys([*cell, score, order, correct])), [F.col(score).asc()]
+    made = running(rows, cell, [*score, F.col(order).asc()], {"rn": F.lit(1), "hits": F.col(correct).cast("double")}, window_rows)
+    return made.withColumnRenamed("_all_rn", "n_total").drop("_all_hits")
 
 
-def risk_coverage(rows: DataFrame, cell: list[str], score: str | list[Column], correct: str = "correct", order: str = "_ord", params: Params = DEFAULT) -> DataFrame:
+def risk_coverage(rows: DataFrame, cell: list[str], score: str | list[Column], correct: str = "correct", order: str = "_ord", params: Params = DEFAULT, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Per cell and coverage the accuracy of the best share (SEL-01, WIN-06). k = max(1, ceil(coverage * n)) in double arithmetic.
 
     Prefix sums are joined with the grid's few depths by equality, so a row meets at most the depths it stands at.
     """
-    at = ranked(rows, cell, score, order)
-    hits = F.sum(F.col(correct).cast("double")).over(Window.partitionBy(*cell).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))
-    at = at.withColumn("hits", hits).select(*cell, "rn", "n_total", "hits")
+    at = ranked(rows, cell, score, correct, order, window_rows).select(*cell, "rn", "n_total", "hits")
     depth = F.greatest(F.lit(1), F.ceil(F.col("coverage") * F.col("n_total")).cast("int"))
     depths = at.where("rn = 1").select(*cell, "n_total").crossJoin(F.broadcast(grid(rows.sparkSession, params))).withColumn("n_keep", depth)
     joined = depths.join(at.drop("n_total").withColumnRenamed("rn", "n_keep"), [*cell, "n_keep"])
@@ -47,10 +49,10 @@ def aurc(curve: DataFrame, cell: list[str]) -> DataFrame:
     return curve.withColumn("_part", part).groupBy(*cell).agg(F.sum("_part").alias("aurc"))
 
 
-def aurc_prefix_mean(rows: DataFrame, cell: list[str], score: str | list[Column], correct: str = "correct", order: str = "_ord") -> DataFrame:
+def aurc_prefix_mean(rows: DataFrame, cell: list[str], score: str | list[Column], correct: str = "correct", order: str = "_ord", window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Mean of the risks of all prefixes: another area, kept apart (SEL-03, WIN-05)."""
-    window = Window.partitionBy(*cell).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked(rows, cell, score, order).withColumn("_risk", 1 - F.avg(F.col(correct).cast("double")).over(window)).groupBy(*cell).agg(F.avg("_risk").alias("aurc_prefix_mean"))
+    made = ranked(rows, cell, score, correct, order, window_rows)
+    return made.groupBy(*cell).agg(F.avg(1 - F.col("hits") / F.col("rn")).alias("aurc_prefix_mean"))
 
 
 def operating_points(curve: DataFrame, cell: list[str], points: tuple[float, ...] = (0.90, 0.75, 0.50)) -> DataFrame:
@@ -65,28 +67,47 @@ def average_rank(value: Column, cell: list[str], descending: bool = False) -> Co
     return F.rank().over(Window.partitionBy(*cell).orderBy(key)) + (F.count("*").over(Window.partitionBy(*cell, value)) - 1) / F.lit(2.0)
 
 
-def distinct_ranks(rows: DataFrame, cell: list[str], value: str, counts: dict[str, Column]) -> DataFrame:
+def distinct_ranks(rows: DataFrame, cell: list[str], value: str, counts: dict[str, Column], window_rows: int = WINDOW_ROWS) -> DataFrame:
     """(cell, value, counts, _n, _rank): a row a different value, with the average rank of its _n rows.
 
     ``counts`` are aggregates of a value's rows; _n, if they don't give it, is their number. Rows are added up before the shuffle, so
-    that a cell's ordered pass is over its different values.
+    that the ordered pass is over different values, of which a cell may have any number.
     """
     counts = counts if "_n" in counts else {**counts, "_n": F.count("*")}
     each = rows.groupBy(*cell, value).agg(*[c.alias(n) for n, c in counts.items()])
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*cell).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return each.withColumn("_rank", before + (F.col("_n") + 1) / F.lit(2.0))
+    made = running(each, cell, [F.col(value).asc()], {"_upto": F.col("_n")}, window_rows)
+    return made.withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).drop("_upto", "_all__upto")
+
+
+def with_ranks(rows: DataFrame, cell: list[str], ranks: dict[str, str], window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Rows with the average ranks of some columns (new name: column) and, as ``_size``, the rows of their cell. ``rows`` is read more
+    than once, so it should be a table; of one with more than ``window_rows``, each value's rank is taken once and joined back."""
+    if rows.count() <= window_rows:
+        return rows.withColumns({**{name: average_rank(F.col(c), cell) for name, c in ranks.items()}, "_size": F.count("*").over(Window.partitionBy(*cell))})
+    out = rows.join(rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in cell]).agg(F.count("*").alias("_size")), _same(cell)).drop(*[f"_of_{c}" for c in cell])
+    for name, column in ranks.items():
+        at = distinct_ranks(rows, cell, column, {}, window_rows).select(*[F.col(c).alias(f"_of_{c}") for c in [*cell, column]], F.col("_rank").alias(name))
+        out = out.join(at, _same([*cell, column])).drop(*[f"_of_{c}" for c in [*cell, column]])
+    return out
+
+
+def _same(columns: list[str]) -> Column | list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns] or F.lit(True)
 
 
 def rank_share(value: Column, cell: list[str], inverted: bool = False) -> Column:
-    """Average rank over the cell's size; inverted, one less that (WIN-02)."""
+    """Average rank over the cell's size; inverted, one less that (WIN-02). As one expression: a cell must fit a task; ``with_ranks`` asks no such thing."""
     share = average_rank(value, cell) / F.count("*").over(Window.partitionBy(*cell))
     return 1 - share if inverted else share
 
 
-def combined_ranks(rows: DataFrame, cell: list[str], entropy: str, confidence: str, margin: str) -> DataFrame:
-    """Mean of three rank shares, small for predictions to keep (SEL-05)."""
-    parts = {"r_entropy": rank_share(F.col(entropy), cell), "r_confidence": rank_share(F.col(confidence), cell, True), "r_margin": rank_share(F.col(margin), cell, True)}
-    return rows.withColumns(parts).withColumn("combined_3", (F.col("r_entropy") + F.col("r_confidence") + F.col("r_margin")) / 3)
+def combined_ranks(rows: DataFrame, cell: list[str], entropy: str, confidence: str, margin: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Mean of three rank shares, small for predictions to keep (SEL-05). The rows are written once, as they are read for each."""
+    held, _ = kept(rows)
+    made = with_ranks(held, cell, {"_re": entropy, "_rc": confidence, "_rm": margin}, window_rows)
+    share = lambda c: F.col(c) / F.col("_size")
+    made = made.withColumns({"r_entropy": share("_re"), "r_confidence": 1 - share("_rc"), "r_margin": 1 - share("_rm")}).drop("_re", "_rc", "_rm", "_size")
+    return made.withColumn("combined_3", (F.col("r_entropy") + F.col("r_confidence") + F.col("r_margin")) / 3)
 
 
 def best_single(areas: DataFrame, cell: list[str], signals: list[str], combined: str, slack: float = 1e-15) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
-from .selective import average_rank, distinct_ranks
+from .cuts import kept
+from .selective import distinct_ranks, with_ranks
 
 
 def log10_normal_tail(z: float) -> float:
@@ -119,8 +120,8 @@ def pearson(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Pearson's r of average ranks (STA-04)."""
-    used = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return used.withColumns({"_x": average_rank(F.col(x), by), "_y": average_rank(F.col(y), by)}).groupBy(*by).agg(F.count("*").alias("n"), pearson_of(F.col("_x"), F.col("_y")).alias("rho"))
+    used, _ = kept(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([*by, x, y])))
+    return with_ranks(used, by, {"_x": x, "_y": y}).groupBy(*by).agg(F.count("*").alias("n"), pearson_of(F.col("_x"), F.col("_y")).alias("rho"))
 
 
 def fisher_interval(r: Column, n: Column, least: int = 10) -> tuple[Column, Column]:
