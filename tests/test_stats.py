@@ -155,11 +155,12 @@ def test_ranges_give_what_windows_give(spark):
         lambda n: selective.ranked(rows, ["g"], "s", window_rows=n),
         lambda n: selective.ranked(rows, ["g"], [F.col("t").desc(), F.col("s").asc()], window_rows=n),
         lambda n: selective.ranked(rows, [], "s", window_rows=n),
-        lambda n: selective.risk_coverage(rows, ["g"], "s", window_rows=n).where("g is not null"),
+        lambda n: selective.risk_coverage(rows, ["g"], "s", window_rows=n),
         lambda n: selective.distinct_ranks(rows, ["g"], "t", {}, n),
         lambda n: selective.combined_ranks(rows, ["g"], "s", "t", "correct", n),
     ):
         assert each(made(0)) == each(made(10**6))
+    assert selective.risk_coverage(rows, ["g"], "s").count() == 3 * 19
     assert selective.combined_ranks(rows, ["g"], "s", "t", "correct").count() == 4000
     assert selective.ranked(rows.limit(0), ["g"], "s", window_rows=-1).count() == 0
     own = rows.withColumn("share", selective.rank_share(F.col("t"), ["g"])).select("_ord", "share")

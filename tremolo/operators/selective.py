@@ -35,8 +35,9 @@ def risk_coverage(rows: DataFrame, cell: list[str], score: str | list[Column], c
     """
     at = ranked(rows, cell, score, correct, order, window_rows).select(*cell, "rn", "n_total", "hits")
     depth = F.greatest(F.lit(1), F.ceil(F.col("coverage") * F.col("n_total")).cast("int"))
-    depths = at.where("rn = 1").select(*cell, "n_total").crossJoin(F.broadcast(grid(rows.sparkSession, params))).withColumn("n_keep", depth)
-    joined = depths.join(at.drop("n_total").withColumnRenamed("rn", "n_keep"), [*cell, "n_keep"])
+    ends = at.where("rn = 1").select(*[F.col(c).alias(f"_of_{c}") for c in cell], "n_total").crossJoin(F.broadcast(grid(rows.sparkSession, params)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cell]
+    joined = ends.withColumn("n_keep", depth).join(at.drop("n_total"), [*same, F.col("n_keep") == F.col("rn")])
     accuracy = F.col("hits") / F.col("n_keep")
     return joined.select(*cell, "coverage", "n_keep", "n_total", accuracy.alias("selective_accuracy"), (1 - accuracy).alias("risk"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import entropy, perturb, qa, receipts
+from ..operators.running import running
 from ..providers import LexicalNli
 from . import standins as s
 from .concept_lane import CELL, r
@@ -198,11 +199,9 @@ INSTANCES = "ins as (select o_orderkey as instance_id, row_number() over (order
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order keys with their rank. Keys count from 0 or 1 without gaps or with; the rank is by counts of lower keys per block."""
+    """Order keys with their rank, from 0."""
     keys = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("instance_id"))
-    part = keys.withColumn("_b", F.floor(F.col("instance_id") / 4096))
-    before = part.groupBy("_b").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return part.join(F.broadcast(before), "_b").withColumn("ordinal", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("instance_id")) - 1).select("instance_id", "ordinal")
+    return running(keys, [], [F.col("instance_id").asc()], {"ordinal": F.lit(1)}).select("instance_id", (F.col("ordinal") - 1).alias("ordinal"))
 
 
 @query("block_completeness", f"with {INSTANCES}, m as (select l_orderkey as instance_id, count(distinct l_returnflag) as models from lineitem group by 1), j as (select ordinal // 1000 as block, coalesce(models, 0) as models from ins left join m using (instance_id)) select block, count(*) as n_instances, count(*) filter (where models = 3) as n_complete, count(*) filter (where models in (1, 2)) as n_partial, count(*) filter (where models = 3) = count(*) as complete from j group by 1")

@@ -106,7 +106,7 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rescored_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC-06."""
     q, f = s.vectors(spark, sf_dir)
-    found = f.select("form_id").withColumn("m", F.col("form_id") % 13).join(F.broadcast(q.select("query_id", (F.col("query_id") % 13).alias("m"))), "m")
+    found = f.select("form_id").withColumn("m", F.col("form_id") % 13).join(q.select("query_id", (F.col("query_id") % 13).alias("m")), "m")
     return reports.rescored(found, q, f.withColumn("form", F.col("form_id").cast("string"))).withColumn("score", r("score", 6))
 
 
