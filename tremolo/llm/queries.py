@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, token_count, toxicity, warc_zip, wavelet
+from . import decontaminate, exact_dedup, licences, mixing, near_dedup, periodic_runs, quality, token_count, toxicity, warc_zip, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc_zip.op8_warc,
         "op9_mixing": mixing.op9_mixing,
         "op10_token_count": token_count.op10_token_count,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     }
 
 
