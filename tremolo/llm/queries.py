@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, licences, mixing, near_dedup, periodic_runs, quality, token_count, toxicity, warc_zip, wavelet
+from . import decontaminate, exact_dedup, licences, mixing, near_dedup, periodic_runs, quality, token_count, toxicity, vector_codes, warc_zip, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.op9_mixing,
         "op10_token_count": token_count.op10_token_count,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op8_warc": warc_zip.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op8_warc": warc_zip.ORACLE, "op9_mixing": mixing.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
