@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, licences, mixing, near_dedup, periodic_runs, quality, token_count, toxicity, vector_codes, warc_zip, wavelet
+from . import decontaminate, exact_dedup, licences, mixing, near_dedup, periodic_runs, personal_data, quality, token_count, toxicity, vector_codes, warc_zip, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_count": token_count.op10_token_count,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_personal_data": personal_data.op13_personal_data,
     }
 
 
