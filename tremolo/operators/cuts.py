@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +45,12 @@ def written(rows: DataFrame) -> Iterator[DataFrame]:
         yield spark.read.schema(rows.schema).parquet(where)
     finally:
         delete(spark, where)
+
+
+def file_system(where: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a shared folder and the path within it, on any executor."""
+    if "://" not in where and not where.startswith("file:"):
+        return pafs.LocalFileSystem(), where
+    if where.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + where[len("file:") :].lstrip("/")
+    return pafs.FileSystem.from_uri(where)

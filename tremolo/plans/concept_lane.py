@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import concepts, entropy, perturb, receipts, retrieval, stats
+from ..operators import concepts, entropy, ivf, perturb, receipts, retrieval, stats
 from ..params import UNASSIGNED
 from . import standins as s
 from .registry import query
@@ -349,3 +349,23 @@ def collision_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.grid(spark, sf_dir)
     changed = rows.where("k % 5 = 0").select(*CELL, "_ord", F.when(F.col("label") == "C0", "C1").otherwise("C0").alias("new_label"))
     return perturb.collisions(rows, changed, CELL, "_ord", "label")
+
+
+#: Neighbours that the index is asked for, and the share of the best that it must find on average.
+INDEX_K, INDEX_RECALL = 10, 0.9
+
+
+@query("vector_index_recall")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-04: per query the share of its exact ten best that the nearest cells hold; the index's cells are its own, so SQL has none."""
+    q, f = s.vectors(spark, sf_dir)
+    found = ivf.search(ivf.build(f.select("form_id", "vector")), q, INDEX_K).select("query_id", "form_id", F.lit(1).alias("hit"))
+    exact = retrieval.topk(q, f, INDEX_K)
+    return exact.join(found, ["query_id", "form_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+@query("vector_index_exact", f"with {s.VECTORS} select query_id, form_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, form_id)::int as rank from scores) where rank <= {INDEX_K}")
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-04 with its exact completion: few cells first, then those whose bound leaves a better form possible."""
+    q, f = s.vectors(spark, sf_dir)
+    return ivf.search(ivf.build(f.select("form_id", "vector")), q, INDEX_K, n=4, exact=True).withColumn("score", r("score", 6))
