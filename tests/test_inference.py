@@ -6,14 +6,24 @@ from tremolo.operators import inference
 
 
 def test_staged_gates(spark):
+    mat = "the cat sat on the mat"
     rows = spark.createDataFrame(
-        [("v1", "the cat sat on the mat", "the cat sat on a big mat"), ("v2", "the cat sat on the mat", "THE CAT sat on a big mat"), ("v3", "the cat sat on the mat", "the cat did not sit on the mat"), ("v4", "the cat sat on the mat", "the cat sat on the mat"), ("v5", "the cat sat on the mat", "the cat lay on the mat")],
-        "variant_id string, original string, text string",
+        [("v1", "i", mat, "the cat sat on a big mat"), ("v2", "i", mat, "THE CAT sat on a big mat"), ("v3", "j", mat, "THE cat sat on a big mat"), ("v4", "i", mat, "the cat did not sit on the mat"), ("v5", "i", mat, mat), ("v6", "i", mat, "the cat lay on the mat")],
+        "variant_id string, instance_id string, original string, text string",
     )
-    grammar = spark.createDataFrame([("v1", 0.9), ("v2", 0.9), ("v5", 0.2)], "variant_id string, value double")
+    grammar = spark.createDataFrame([("v1", 0.2), ("v2", 0.9), ("v3", 0.9), ("v6", 0.2)], "variant_id string, value double")
     keep = lambda **k: sorted(r.variant_id for r in inference.staged_gates(rows, "original", "text", **k).collect())
-    assert keep() == ["v1", "v5"] and keep(grammar=grammar) == ["v1"]
-    assert keep(contradiction=grammar.where("variant_id = 'v5'")) == ["v5"]
+    assert keep() == ["v1", "v3", "v6"]
+    # the first of two equal texts fails a gate: the second is no copy of an accepted one; another instance has its own
+    assert keep(grammar=grammar) == ["v2", "v3"]
+    assert keep(contradiction=grammar.where("variant_id = 'v6'")) == ["v6"]
+
+
+def test_edit_gate_stops_early(spark):
+    from tremolo.functions import scalar
+
+    rows = spark.createDataFrame([("abcdefghij", "abcdefghij"), ("abcdefghij", "abcdXXXXXX"), ("abcdefghij", "abcXXXXXXX"), ("", ""), ("abcdefghij", "abcdefghiX"), ("é" * 40, "é" * 39 + "x"), ("é" * 40, "é" * 38 + "xx")], "a string, b string")
+    assert [r.ok for r in rows.select(scalar.edit_gate(F.col("a"), F.col("b")).alias("ok")).collect()] == [False, True, False, False, True, False, True]
 
 
 def test_surrounding_sentence(spark):

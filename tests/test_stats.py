@@ -67,18 +67,24 @@ def test_bootstrap_p(spark):
     assert stats.bootstrap_p(rows, ["g"], "v").first().p_boot == pytest.approx(9.99950002499875e-05)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_kendall_against_all_pairs(seed):
-    draw = np.random.default_rng(seed)
-    x, y = draw.integers(0, 8, 60), draw.integers(0, 8, 60)
+def tau(x, y):
     c = d = tx = ty = 0
-    for i in range(60):
+    for i in range(len(x)):
         for j in range(i):
             a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
             c, d, tx, ty = c + (a * b > 0), d + (a * b < 0), tx + (a == 0), ty + (b == 0)
-    n = 60 * 59 / 2
-    assert stats.tau_b(x.astype(float), y.astype(float)) == pytest.approx((c - d) / math.sqrt((n - tx) * (n - ty)))
-    assert stats.tau_b(np.ones(5), np.arange(5.0)) is None
+    n = len(x) * (len(x) - 1) / 2
+    return (c - d) / math.sqrt((n - tx) * (n - ty)) if n not in (tx, ty) else None
+
+
+@pytest.mark.parametrize("size", [{}, {"range_rows": 7, "ranges": 50, "window_rows": 0}, {"range_rows": 1, "ranges": 10, "window_rows": 0}])
+def test_kendall_against_all_pairs(spark, size):
+    draw = np.random.default_rng(len(size))
+    cells = {"a": (draw.integers(0, 8, 90), draw.integers(0, 8, 90)), None: (draw.normal(size=70), draw.normal(size=70)), "same": (np.ones(5), np.arange(5.0)), "up": (np.arange(9.0), np.arange(9.0) ** 2), "one": (np.ones(1), np.ones(1))}
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (x, y) in cells.items() for a, b in zip(x, y, strict=True)] + [("a", None, 1.0)], "c string, x double, y double")
+    got = {r.c: (r.n, r.tau) for r in stats.kendall(rows, ["c"], "x", "y", **size).collect()}
+    assert got == {k: (len(x), pytest.approx(tau(x, y)) if tau(x, y) is not None else None) for k, (x, y) in cells.items()}
+    assert stats.kendall(rows.where("c = 'up'"), [], "x", "y", **size).first().tau == pytest.approx(1.0)
 
 
 def data(spark, n=400):
@@ -124,25 +130,6 @@ def test_predictors(spark):
     assert regress.cohen_f2(0.5, 0.4) == pytest.approx(0.2)
 
 
-def test_bootstrap_does_not_depend_on_partitions(spark):
-    rows = spark.range(60).select(F.lit("p").alias("c"), (F.sin("id") + 0.2).alias("d"))
-    run = lambda x: sorted((r.replicate, r.value) for r in bootstrap.replicates(x, ["c"], ["d"], lambda g: bootstrap.rank_biserial(g["d"].to_numpy()), 40, chunk=16).collect())
-    assert run(rows.repartition(1)) == run(rows.repartition(9)) and len(run(rows)) == 40
-
-
-def test_bootstrap_of_clusters(spark):
-    rows = spark.range(60).select(F.lit("p").alias("c"), F.col("id").cast("double").alias("d"), (F.col("id") % 6).alias("g"))
-    assert bootstrap.replicates(rows, ["c"], ["d"], lambda g: g["d"].mean(), 10, cluster="g").count() == 10
-
-
-def test_queries_draw_the_studys_replicates(spark, sf):
-    from tremolo.plans import analysis
-
-    ci, aurc = analysis.bootstrap_ci(spark, sf).collect(), analysis.bootstrap_aurc(spark, sf).collect()
-    assert ci and {r.b for r in ci} == {2000}
-    assert aurc and {r.b for r in aurc} == {20_000} and all(r.p_boot >= 2 / 20_001 for r in aurc)
-
-
 def test_ranges_give_what_windows_give(spark):
     """One cell with most rows, a null cell, tied scores: ranked, risk and rank operators agree whether cells are windows or ranges."""
     rows = spark.range(4000).select(

@@ -199,10 +199,13 @@ def negation_set_gate(a: Column, b: Column) -> Column:
 
 
 def edit_gate(a: Column, b: Column, low: float = DEFAULT.edit_low, high: float = DEFAULT.edit_high) -> Column:
-    """The texts differ enough, and not too much (GAT-5). Lengths that lie too far apart decide it without a distance."""
+    """The texts differ enough, and not too much (GAT-5). Lengths that lie too far apart decide it without a distance, and a distance
+    is no further looked for than ``high`` of the longer length."""
     longest, apart = F.greatest(F.char_length(a), F.char_length(b)), F.abs(F.char_length(a) - F.char_length(b))
+    near = F.call_function("levenshtein", a, b, F.floor(longest * F.lit(high)).cast("int") + 1)
+    share = F.when(longest == 0, F.lit(0.0)).when(near >= 0, near / longest).otherwise(F.lit(2.0))
     # bound by a lambda, so that the distance is taken once for both limits
-    inside = F.exists(F.array(edit_distance(a, b)), lambda d: d.between(low, high))
+    inside = F.exists(F.array(share), lambda d: d.between(low, high))
     return F.when(F.try_divide(apart, longest) > high, F.lit(False)).otherwise(inside)
 
 

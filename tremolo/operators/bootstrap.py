@@ -1,24 +1,12 @@
-"""Bootstrap replicates. Each replicate has a generator of its own, from seed, cell and number; so they run anywhere, in any order.
-
-Results agree in distribution, not bit for bit, with a study that draws from one stream.
-"""
+"""Statistics of one set of rows, as the replicates of ``resample`` have them by counts."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..params import DEFAULT
 
 
-def generator(seed: int, cell: str, replicate: int) -> np.random.Generator:
-    return np.random.default_rng([seed, zlib.crc32(cell.encode()), replicate])
-
-
 def rank_biserial(d: np.ndarray) -> float:
     """(T+ - T-) / (T+ + T-) of differences without zeros; 0 of none."""
     d = d[d != 0]
@@ -37,33 +25,3 @@ def trapezoid_aurc(score: np.ndarray, correct: np.ndarray) -> float:
     k = np.maximum(1, np.ceil(cover * n)).astype(int)
     risk = 1 - hits[k - 1] / k
     return float(((risk[1:] + risk[:-1]) / 2 * -np.diff(cover)).sum())
-
-
-def replicates(rows: DataFrame, cell: list[str], columns: list[str], statistic, b: int, seed: int = 13, chunk: int = 250, cluster: str | None = None) -> DataFrame:
-    """(cell, replicate, value) of ``statistic``(frame) over resampled rows, or resampled clusters (STA-11, STA-12, STA-23, STA-25).
-
-    Work is dealt by cell and chunk of replicates; a cell's rows go to each chunk, so a cell must fit a worker.
-    """
-    own = rows.select(*cell, *columns, *([cluster] if cluster and cluster not in columns else [])).withColumn("_chunks", F.sequence(F.lit(0), F.lit(-(-b // chunk) - 1)))
-    dealt = own.withColumn("_chunk", F.explode("_chunks")).drop("_chunks")
-    types = dict(rows.dtypes)
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        name, at = "|".join(map(str, key[:-1])), int(key[-1])
-        group = group.sort_values([*columns], ignore_index=True)
-        groups = [g.index.to_numpy() for _, g in group.groupby(cluster)] if cluster else None
-        out = []
-        for r in range(at * chunk, min(b, (at + 1) * chunk)):
-            draw = generator(seed, name, r)
-            pick = np.concatenate([groups[i] for i in draw.integers(0, len(groups), len(groups))]) if groups else draw.integers(0, len(group), len(group))
-            out.append((*key[:-1], r, float(statistic(group.iloc[pick]))))
-        return pd.DataFrame(out)
-
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in cell), "replicate long", "value double"])
-    return dealt.groupBy(*cell, "_chunk").applyInPandas(run, schema)
-
-
-def interval(values: DataFrame, cell: list[str], value: str = "value", level: float = 0.95) -> DataFrame:
-    """Percentile interval of replicates."""
-    low = (1 - level) / 2
-    return values.where(~F.isnan(value)).groupBy(*cell).agg(F.count(value).alias("b"), F.percentile(value, F.lit(low)).alias("ci_low"), F.percentile(value, F.lit(1 - low)).alias("ci_high"))

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..params import DEFAULT
 from .cuts import written
 from .stats import normal_tail
 
 
+#: How the terms of fixed effects begin.
+EFFECT = "fixed:"
+#: Values that a column of fixed effects may have.
+MOST_EFFECTS = 500
+
+
 @dataclass(frozen=True)
 class Fit:
     """Coefficients by name with cluster-robust errors (STA-21)."""
@@ -24,12 +32,14 @@ class Fit:
     clusters: int
     r2: float | None = None
 
-    def table(self, spark) -> DataFrame:
+    def table(self, spark, alpha: float = DEFAULT.alpha) -> DataFrame:
+        """Terms with intervals, p, whether that is under ``alpha``, and whether the term is a predictor: neither the constant nor a
+        model's effect."""
         rows = []
         for name, b, s in zip(self.names, self.coef.tolist(), self.se.tolist(), strict=True):
-            z = b / s if s else math.nan
-            rows.append((name, b, s, b - 1.959963984540054 * s, b + 1.959963984540054 * s, 2 * normal_tail(abs(z)) if s else None))
-        return spark.createDataFrame(rows, "term string, coef double, se double, ci_low double, ci_high double, p double")
+            p = 2 * normal_tail(abs(b / s)) if s else None
+            rows.append((name, b, s, b - 1.959963984540054 * s, b + 1.959963984540054 * s, p, None if p is None else p < alpha, name != "const" and not name.startswith(EFFECT)))
+        return spark.createDataFrame(rows, "term string, coef double, se double, ci_low double, ci_high double, p double, significant boolean, is_linguistic boolean")
 
 
 def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,8 +50,19 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns(z).drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
 
 
+def with_effects(rows: DataFrame, column: str, most: int = MOST_EFFECTS) -> tuple[DataFrame, list[str]]:
+    """Rows with an indicator of each of a column's values but the first in order, and the indicators' names: fixed effects (STA-18).
+    Null is no value. A column of more than ``most`` values is no fixed effect."""
+    found = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    values = sorted(found)[1:]
+    names = [f"{EFFECT}{column}={v}" for v in values]
+    return rows.where(F.col(column).isNotNull()).withColumns({n: (F.col(column) == F.lit(v)).cast("double") for n, v in zip(names, values, strict=True)}), names
+
+
 def _design(columns: list[str]) -> list[tuple[str, Column]]:
-    return [("const", F.lit(1.0)), *[(c, F.col(c).cast("double")) for c in columns]]
+    return [("const", F.lit(1.0)), *[(c, F.col(f"`{c}`").cast("double")) for c in columns]]
 
 
 def gram(rows: DataFrame, y: Column, columns: list[str], weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, float, int]:
@@ -85,7 +106,9 @@ def _linear(columns: list[str], coef: np.ndarray) -> Column:
 
 def _used(rows: DataFrame, y: str, columns: list[str], cluster: str) -> DataFrame:
     """The columns of a fit, without rows null in any."""
-    return rows.select(F.col(y).cast("double").alias(y), *[F.col(c).cast("double").alias(c) for c in columns if c != y], *([cluster] if cluster not in (y, *columns) else [])).dropna()
+    used = rows.select(F.col(y).cast("double").alias(y), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns if c != y], *([cluster] if cluster not in (y, *columns) else []))
+    whole = [F.col(f"`{c}`").isNotNull() & ~F.isnan(f"`{c}`") for c in dict.fromkeys([y, *columns])]
+    return used.where(reduce(lambda p, q: p & q, [*whole, F.col(cluster).isNotNull()]))
 
 
 def ols(rows: DataFrame, y: str, columns: list[str], cluster: str) -> Fit:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
 from .cuts import kept
+from .running import WINDOW_ROWS, running
 from .selective import distinct_ranks, with_ranks
 
 
@@ -192,33 +193,66 @@ def interpretation(effect: Column, p: Column, params: Params = DEFAULT) -> Colum
     )
 
 
-def kendall(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of each group, in n log n (STA-17). A group must fit a worker."""
+#: Rows of a range of ranks, at least; a cell has at most RANGES of them.
+RANGE_ROWS, RANGES = 100_000, 1000
 
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group["_x"].to_numpy(), group["_y"].to_numpy()
-        return pd.DataFrame([(*key, len(a), tau_b(a, b))])
 
-    used = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+def kendall(rows: DataFrame, by: list[str], x: str, y: str, range_rows: int = RANGE_ROWS, ranges: int = RANGES, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Kendall's tau-b of each group, of any size, in n log n (STA-17).
+
+    Ordered by (x, y) rows have places u, by (y, x) places v: discordant pairs are the inversions of v in order of u. Places are cut
+    into ranges. Pairs within a range of u, and within one of v, are counted in a task each, those within both once less; pairs that lie
+    in different ranges both ways are told by the numbers of rows in each pair of ranges.
+    """
+    used, _ = kept(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).withColumn("_id", F.monotonically_increasing_id()))
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.select(*by).schema)
-    return used.groupBy(*by).applyInPandas(one, f"{keys}, n long, tau double")
-
-
-def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Kendall's tau-b: discordant pairs are the inversions of y in order of x."""
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    ties = lambda *cols: sum(c * (c - 1) // 2 for c in np.unique(np.stack(cols), axis=1, return_counts=True)[1].tolist())
-    tx, ty, both = ties(x), ties(y), ties(x, y)
-    whole = n * (n - 1) // 2
-    if whole in (tx, ty):
-        return None
-    swaps, width, now = 0, 1, y.copy()
+    keys = f"{keys}, " if keys else ""
+    order = lambda rows, a, b, name: running(rows, by, [F.col(a).asc(), F.col(b).asc(), F.col("_id").asc()], {name: F.lit(1)}, window_rows).drop(f"_all_{name}")
+    placed = running(order(used, "_x", "_y", "_u"), by, [F.col("_y").asc(), F.col("_x").asc(), F.col("_id").asc()], {"_v": F.lit(1)}, window_rows).withColumnRenamed("_all__v", "_n")
+    width = F.greatest(F.lit(range_rows), F.ceil(F.col("_n") / ranges))
+    placed, _ = kept(placed.select(*by, "_u", "_v", *[F.floor((F.col(c) - 1) / width).cast("int").alias(f"_r{c}") for c in ("_u", "_v")]))
+
+    def swaps(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        v = group.sort_values("_u")["_v"].to_numpy()
+        return pd.DataFrame([(*key[:-1], inversions(v))])
+
+    def swaps_but_shared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_u", ignore_index=True)
+        v = group["_v"].to_numpy()
+        # ranges of v in their order: what inversions are left lie within one of them
+        return pd.DataFrame([(*key[:-1], inversions(v) - inversions(v[np.argsort(group["_r_v"].to_numpy(), kind="stable")]))])
+
+    def apart(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((int(group["_r_u"].max()) + 1, int(group["_r_v"].max()) + 1), np.int64)
+        grid[group["_r_u"], group["_r_v"]] = group["k"]
+        before = np.cumsum(grid, axis=0) - grid
+        above = np.cumsum(before[:, ::-1], axis=1)[:, ::-1] - before
+        return pd.DataFrame([(*key, int((above * grid).sum()))])
+
+    schema = f"{keys}swaps long"
+    parts = placed.groupBy(*by, "_r_u").applyInPandas(swaps_but_shared, schema)
+    parts = parts.unionByName(placed.groupBy(*by, "_r_v").applyInPandas(swaps, schema))
+    # a row a pair of ranges
+    grid = placed.groupBy(*by, "_r_u", "_r_v").agg(F.count("*").alias("k"))
+    parts = parts.unionByName(grid.groupBy(*by).applyInPandas(apart, schema))
+    ties = lambda *c: used.groupBy(*by, *c).agg(F.count("*").alias("_k")).groupBy(*by).agg(F.sum(F.col("_k") * (F.col("_k") - 1) / 2).alias("t" + "".join(c)), F.sum("_k").alias("n" + "".join(c)))
+    out = parts.groupBy(*by).agg(F.sum("swaps").alias("_swaps"))
+    for table in (ties("_x"), ties("_y"), ties("_x", "_y")):
+        named = table.select(*[F.col(c).alias(f"_of_{c}") if c in by else F.col(c) for c in table.columns])
+        out = out.join(named, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or F.lit(True)).drop(*[f"_of_{c}" for c in by])
+    n = F.col("n_x").cast("double")
+    whole, tx, ty, both = n * (n - 1) / 2, F.col("t_x"), F.col("t_y"), F.col("t_x_y")
+    tau = (whole - tx - ty + both - 2 * F.col("_swaps")) / F.sqrt((whole - tx) * (whole - ty))
+    return out.select(*by, F.col("n_x").alias("n"), F.when((whole != tx) & (whole != ty), tau).alias("tau"))
+
+
+def inversions(v: np.ndarray) -> int:
+    """Pairs of different numbers that stand the wrong way round, by merging."""
+    n, swaps, width, now = len(v), 0, 1, v.copy()
     while width < n:
         for at in range(0, n, 2 * width):
             left, right = now[at : at + width], now[at + width : at + 2 * width]
             swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
             now[at : at + 2 * width] = np.sort(now[at : at + 2 * width], kind="stable")
         width *= 2
-    return float((whole - tx - ty + both - 2 * swaps) / math.sqrt((whole - tx) * (whole - ty)))
+    return swaps

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, entropy, regress, selective, stats
+from ..operators import entropy, mixed, quantiles, regress, resample, selective, stats
+from ..operators.cuts import kept
 from ..params import DEFAULT
 from . import standins as s
 from .concept_lane import CELL, PAIR_SQL, order_differences, r
 from .registry import query
 
+#: The study's replicates of an interval (STA-11); those of areas (STA-12) are DEFAULT.bootstrap.
+BOOTSTRAP_CI = 2000
+
 RANKED = f"{s.SELECTION}, rk as (select *, row_number() over (partition by lang order by entropy, _ord) as rn, count(*) over (partition by lang) as n_total from sel)"
 CURVE = f"""{RANKED}, gr as (select round_even(1.0::double - 0.05::double * i, 2) as coverage from range(19) t(i)), hs as (select *, sum(correct) over (partition by lang order by rn) as hits from rk),
 cv as (select lang, coverage, rn::int as n_keep, n_total, hits / rn::double as selective_accuracy, 1 - hits / rn::double as risk from hs join gr on rn = greatest(1, ceil(coverage * n_total)::int))"""
@@ -181,18 +185,18 @@ def bootstrap_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-19, AGG-20, AGG-10."""
     c = F.col("confidence")
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = s.grid(spark, sf_dir).groupBy("model_name").agg(F.count("*").alias("n"), r(F.min(c), 6).alias("min"), q.alias("q"), r(F.max(c), 6).alias("max"), F.count_distinct(c).alias("n_distinct"))
-    return made.select("model_name", "n", "min", r(F.col("q")[0], 6).alias("q1"), r(F.col("q")[1], 6).alias("median"), r(F.col("q")[2], 6).alias("q3"), "max", r(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"), "n_distinct")
+    rows, _ = kept(s.grid(spark, sf_dir).select("model_name", "confidence"))
+    q = quantiles.quantiles(rows, ["model_name"], "confidence", [0.0, 0.25, 0.5, 0.75, 1.0]).drop("n")
+    made = rows.groupBy("model_name").agg(F.count("*").alias("n"), F.count_distinct(c).alias("n_distinct")).join(q, "model_name")
+    at = lambda i: r(F.col("q")[i], 6)
+    return made.select("model_name", "n", at(0).alias("min"), at(1).alias("q1"), at(2).alias("median"), at(3).alias("q3"), at(4).alias("max"), r(F.col("q")[3] - F.col("q")[1], 6).alias("iqr"), "n_distinct")
 
 
 @query("quartile_bins", f"with {s.GRID}, q as (select model_name, quantile_cont(confidence, [0.25, 0.5, 0.75]) as q from g group by 1) select model_name, 1 + (confidence > q[1])::int + (confidence > q[2])::int + (confidence > q[3])::int as bin, count(*) as n from g join q using (model_name) group by all")
 def quartile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-07, WIN-08: ties stay in one bin."""
-    rows = s.grid(spark, sf_dir)
-    edges = rows.groupBy("model_name").agg(F.percentile("confidence", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    above = lambda i: (F.col("confidence") > F.col("q")[i]).cast("int")
-    return rows.join(edges, "model_name").groupBy("model_name", (1 + above(0) + above(1) + above(2)).alias("bin")).agg(F.count("*").alias("n"))
+    made = quantiles.binned(s.grid(spark, sf_dir).select("model_name", "confidence"), ["model_name"], "confidence", [0.25, 0.5, 0.75])
+    return made.groupBy("model_name", "bin").agg(F.count("*").alias("n"))
 
 
 @query("standardised", f"with {s.SELECTION}, m as (select avg(entropy) as me, stddev_pop(entropy) as se, avg(confidence) as mc, stddev_pop(confidence) as sc from sel) select _ord, round((entropy - me) / se, 6) + 0.0 as entropy, round((confidence - mc) / sc, 6) + 0.0 as confidence, 0.0::double as one, round(ln(greatest(0.0001, least(0.9999, sel.entropy)) / (1 - greatest(0.0001, least(0.9999, sel.entropy)))), 6) + 0.0 as logit from sel, m")
@@ -213,31 +217,112 @@ def ols_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "term string, coef double")
 
 
+def hurdle_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Labelled documents with indicators of their language, as models; the source is the instance that rows cluster in."""
+    source = s.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_ord"), "source")
+    return regress.with_effects(s.selection(spark, sf_dir).join(source, "_ord"), "lang")
+
+
 @query("logit_hurdle")
 def logit_hurdle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STA-18, STA-21: a logistic fit has no closed form in SQL; the suite holds it against Newton's steps in NumPy."""
-    return regress.logit(s.selection(spark, sf_dir), "correct", ["entropy", "margin"], "lang").table(spark)
+    """STA-18, STA-21: a logistic fit with fixed effects of models; it has no closed form in SQL, the suite holds it against Newton's
+    steps in NumPy."""
+    rows, effects = hurdle_rows(spark, sf_dir)
+    return regress.logit(rows, "correct", ["entropy", "margin", *effects], "source").table(spark)
 
 
-#: The study's replicates of an interval (STA-11); those of areas (STA-12) are DEFAULT.bootstrap.
-BOOTSTRAP_CI = 2000
+@query("magnitude_fixed_effects")
+def magnitude_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-19, STA-21: least squares on the logit of what is above 0, with fixed effects of models."""
+    from ..functions.scalar import logit
+
+    rows, effects = hurdle_rows(spark, sf_dir)
+    used = rows.where("entropy > 0").withColumn("logit_h", logit(F.col("entropy")))
+    return regress.ols(used, "logit_h", ["confidence", "margin", *effects], "source").table(spark)
+
+
+@query("mixed_intercepts")
+def mixed_intercepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-20, STA-24: a random intercept a source, fixed effects of models; the suite holds it against a dense fit."""
+    rows, effects = hurdle_rows(spark, sf_dir)
+    fit = mixed.random_intercept(rows, "entropy", ["confidence", "margin", *effects], "source")
+    figures = [("group_variance", fit.group_variance), ("residual_variance", fit.residual_variance), ("log_likelihood", fit.log_likelihood), ("r2_marginal", fit.r2_marginal), ("r2_conditional", fit.r2_conditional)]
+    figures = spark.createDataFrame([(n, float(v)) for n, v in figures], "term string, coef double")
+    return fit.fixed.table(spark).unionByName(figures, allowMissingColumns=True)
+
+
+@query("cluster_bootstrap")
+def cluster_bootstrap(spark: SparkSession, sf_dir: str, b: int = 1000) -> DataFrame:
+    """STA-23: intervals of coefficients over resampled orders, with the account of failed refits."""
+    rows = s.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", (F.col("l_quantity") / 50).alias("quantity"), (F.col("l_returnflag") == "R").cast("double").alias("returned"))
+    made, _ = kept(resample.cluster_coefficients(rows, "l_discount", ["quantity", "returned"], "l_orderkey", b))
+    return resample.cluster_intervals(made, ["const", "quantity", "returned"])
+
+
+@query("bootstrap_means")
+def bootstrap_means(spark: SparkSession, sf_dir: str, b: int = BOOTSTRAP_CI) -> DataFrame:
+    """STA-25: means of the signals' cells with their intervals."""
+    rows = s.selection(spark, sf_dir)
+    values = resample.means(rows, ["lang"], "entropy", "_ord", b)
+    return rows.groupBy("lang").agg(F.avg("entropy").alias("mean")).join(resample.intervals(values, ["lang"], ["value"]).drop("signal"), "lang")
+
+
+@query("mean_difference")
+def mean_difference(spark: SparkSession, sf_dir: str, b: int = BOOTSTRAP_CI) -> DataFrame:
+    """STA-29: the difference of two means, each side resampled by itself."""
+    rows = s.selection(spark, sf_dir).withColumn("side", F.when(F.col("correct") == 1, "good").otherwise("bad"))
+    values = resample.means(rows, ["lang", "side"], "entropy", "_ord", b)
+    both = values.groupBy("lang", "replicate").agg((F.max(F.when(F.col("side") == "good", F.col("value"))) - F.max(F.when(F.col("side") == "bad", F.col("value")))).alias("value")).where("value is not null")
+    held, _ = kept(both)
+    mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("entropy")))
+    point = rows.groupBy("lang").agg((mean("good") - mean("bad")).alias("difference"))
+    return point.join(resample.intervals(held, ["lang"], ["value"]).drop("signal", "b"), "lang").join(stats.bootstrap_p(held, ["lang"], "value"), "lang")
+
+
+@query("line_with_band")
+def line_with_band(spark: SparkSession, sf_dir: str, b: int = 1000) -> DataFrame:
+    """STA-25: a line through two signals at five points, with its bootstrap band."""
+    return resample.linear_band(s.selection(spark, sf_dir), ["lang"], "entropy", "confidence", "_ord", [0.0, 0.25, 0.5, 0.75, 1.0], b)
 
 
 @query("bootstrap_ci")
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bootstrap_ci(spark: SparkSession, sf_dir: str, b: int = BOOTSTRAP_CI) -> DataFrame:
     """STA-11: intervals of the rank-biserial of order pairs; draws are random, so SQL has no counterpart."""
-    pairs = order_differences(spark, sf_dir)
-    values = bootstrap.replicates(pairs, ["pair"], ["d"], lambda g: bootstrap.rank_biserial(g["d"].to_numpy()), BOOTSTRAP_CI)
-    return bootstrap.interval(values, ["pair"])
+    values = resample.effects(order_differences(spark, sf_dir), ["pair"], "d", "instance", b)
+    return resample.intervals(values, ["pair"], ["value"]).drop("signal")
 
 
-@query("bootstrap_aurc")
-def bootstrap_aurc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STA-12: replicates of the difference of two areas on one set of rows."""
+def signal_replicates(spark: SparkSession, sf_dir: str, b: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, replicate, an area a signal), and the areas of the rows themselves, (lang, a column a signal)."""
     rows = s.selection(spark, sf_dir)
-    delta = lambda g: bootstrap.trapezoid_aurc(g["entropy"].to_numpy(), g["correct"].to_numpy()) - bootstrap.trapezoid_aurc(-g["margin"].to_numpy(), g["correct"].to_numpy())
-    values = bootstrap.replicates(rows, ["lang"], ["entropy", "margin", "correct"], delta, DEFAULT.bootstrap)
-    return stats.bootstrap_p(values, ["lang"], "value").join(bootstrap.interval(values, ["lang"]).drop("b"), "lang")
+    held, _ = kept(combined(spark, sf_dir))
+    orders = {"entropy": "entropy", "confidence": [F.col("confidence").desc()], "margin": [F.col("margin").desc()], "combined": [F.col("entropy").asc(), F.col("confidence").desc()], "combined_3": "combined_3"}
+    point = None
+    for name, order in orders.items():
+        one = selective.aurc(selective.risk_coverage(held, ["lang"], order), ["lang"]).withColumnRenamed("aurc", name)
+        point = one if point is None else point.join(one, "lang")
+    values, _ = kept(resample.areas(rows, ["lang"], b=b))
+    return values, point
+
+
+@query("bootstrap_aurc")
+def bootstrap_aurc(spark: SparkSession, sf_dir: str, b: int = DEFAULT.bootstrap) -> DataFrame:
+    """STA-12: the area of each of five signals with its interval, one draw for all signals, combined_3 ranked anew in each replicate."""
+    values, point = signal_replicates(spark, sf_dir, b)
+    names = [*resample.SIGNALS, *resample.COMBINED]
+    areas = point.select("lang", F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).alias("aurc")) for n in names])).alias("_v")).select("lang", "_v.*")
+    return areas.join(resample.intervals(values, ["lang"], names), ["lang", "signal"])
+
+
+@query("bootstrap_aurc_difference")
+def bootstrap_aurc_difference(spark: SparkSession, sf_dir: str, b: int = DEFAULT.bootstrap) -> DataFrame:
+    """STA-12, STA-13: combined_3 against the best single signal of the rows themselves, on the same draws."""
+    values, point = signal_replicates(spark, sf_dir, b)
+    best = selective.best_single(point, ["lang"], ["entropy", "confidence", "margin"], "combined_3").select("lang", "best_single", (F.col("combined_3") - F.col("best_single_value")).alias("delta"))
+    single = F.when(F.col("best_single") == "entropy", F.col("entropy")).when(F.col("best_single") == "confidence", F.col("confidence")).otherwise(F.col("margin"))
+    deltas, _ = kept(values.join(F.broadcast(best), "lang").select("lang", (F.col("combined_3") - single).alias("value")))
+    ends = resample.intervals(deltas, ["lang"], ["value"]).drop("b", "signal")
+    return best.join(stats.bootstrap_p(deltas, ["lang"], "value"), "lang").join(ends, "lang").withColumn("better", F.col("ci_high") < 0)
 
 
 @query("kendall_tau", f"with {PAIR_SQL}, x as (select pair, instance, round(d / 10000) as a, instance % 7 as b from dp), p as (select l.pair, sign(l.a - r.a) as sa, sign(l.b - r.b) as sb from x l join x r on l.pair = r.pair and l.instance < r.instance), c as (select pair, count(*) filter (where sa * sb > 0) as c, count(*) filter (where sa * sb < 0) as d, count(*) filter (where sa = 0) as ta, count(*) filter (where sb = 0) as tb, count(*) as n from p group by 1) select pair, (select count(*) from x where x.pair = c.pair) as n, round((c - d) / sqrt((n - ta)::double * (n - tb)), 9) + 0.0 as tau from c")

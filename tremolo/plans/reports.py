@@ -9,6 +9,7 @@ from ..operators import cuts, perturb, reports
 from ..sources import readers, sinks
 from . import standins as s
 from .concept_lane import r
+from .quality import BARE
 from .registry import query
 
 
@@ -72,10 +73,10 @@ def rule_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.grid(spark, sf_dir).groupBy(reports.rule_branch(path).alias("branch"), F.contains(path, F.lit("inject")).alias("injected")).agg(F.count("*").alias("n"))
 
 
-@query("flat_answers", f"with {s.TURNS} select conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split(pred, ' '), lambda a: a <> ''))), '|') as answers from qa where not regexp_matches(pred, '[^ -~]')")
+@query("flat_answers", f"with {s.TURNS} select conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(pred, ' '), lambda a: {BARE('a')}), lambda a: a <> ''))), '|') as answers from qa")
 def flat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-18: sorted for comparison; the suite has the order by hand."""
-    return s.turns(spark, sf_dir).where(~F.col("pred").rlike("[^ -~]")).select("conv_id", "turn", F.array_join(F.array_sort(reports.flat_answers(F.split("pred", " "))), "|").alias("answers"))
+    return s.turns(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(reports.flat_answers(F.split("pred", " "))), "|").alias("answers"))
 
 
 @query("negative_controls", f"with {s.GRID}, {s.entropy_sql('g', 'instance_id model_name', 'e')}, m as (select model_name, avg(normalised_entropy) as h from e group by 1) select model_name, round(h, 9) as mean_identical, coalesce(h > 0.05, false) as excluded from m")
@@ -93,12 +94,12 @@ def quartile_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.quartile_contrast(s.selection(spark, sf_dir), ["lang"], "confidence", "entropy").withColumns({c: r(c) for c in ("mean_top", "mean_bottom", "difference")})
 
 
-@query("exact_lookup", "with f as (select p_name as form, 'C' || p_size as cui from part), q as (select p_partkey as qid, '  ' || upper(p_name) as text from part where p_partkey % 7 = 0) select distinct qid, cui from q join f on lower(trim(q.text)) = lower(trim(f.form))")
+@query("exact_lookup", "with f as (select p_name as form, 'C' || p_size as cui from part), q as (select p_partkey as qid, '  ' || upper(p_name) as text from part) select distinct qid, cui from q join f on lower(trim(q.text)) = lower(trim(f.form))")
 def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-10."""
     p = s.table(spark, sf_dir, "part")
     forms = p.select(F.col("p_name").alias("form"), F.concat(F.lit("C"), F.col("p_size").cast("string")).alias("cui"))
-    queries = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("qid"), F.concat(F.lit("  "), F.upper("p_name")).alias("text"))
+    queries = p.select(F.col("p_partkey").alias("qid"), F.concat(F.lit("  "), F.upper("p_name")).alias("text"))
     return reports.exact_matches(queries, forms)
 
 
