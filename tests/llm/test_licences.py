@@ -59,6 +59,37 @@ def test_root_licence_covers_all(spark):
     assert got == {"LICENSE": "CC-BY-NC-4.0", "a/b": "CC-BY-NC-4.0", "": "CC-BY-NC-4.0"}
 
 
+def test_query_inherits_on_the_real_table(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    got = [r.asDict() for r in licences.op5_licences(spark, sf).collect()]
+    assert len(got) == 10_000
+    held: dict[str, list] = {}
+    for r in got:
+        if r["kind"] == "file":
+            held.setdefault(r["path"].rpartition("/")[0], []).append((-r["cosine"], r["licence"], r["path"]))
+    inherited = 0
+    for r in got:
+        if r["kind"] in ("file", "header"):
+            assert r["licence_dir"] is None
+            continue
+        folder = r["path"].rpartition("/")[0]
+        while folder not in held and folder:
+            folder = folder.rpartition("/")[0]
+        if folder in held:
+            inherited += 1
+            assert (r["kind"], r["licence"], r["licence_dir"]) == ("inherited", min(held[folder])[1], folder)
+        else:
+            assert (r["kind"], r["licence"], r["licence_dir"]) == (None, None, None)
+    assert len(held) >= 10 and inherited >= 50
+    # folders beyond what is broadcast are shuffled, hot ones told: the same rows
+    monkeypatch.setattr(licences, "BROADCAST_DIRS", 3)
+    key = lambda r: tuple(map(str, r))
+    few = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 3000")
+    small = sorted(licences.scan_licences(licences.laid_out(few)).collect(), key=key)
+    monkeypatch.undo()
+    assert small == sorted(licences.scan_licences(licences.laid_out(few)).collect(), key=key)
+
+
 def test_odd_and_no_files(spark):
     assert licences.scan_licences(files(spark, [(f"p/{i}", t) for i, t in enumerate(ODD)])).count() == len(ODD)
     assert licences.scan_licences(files(spark, [])).count() == 0

@@ -18,12 +18,12 @@ def opened(data: bytes) -> warc_zip.Archive:
 def test_records_round_trip():
     payload = "<p>Ünïcode</p>\r\n\r\nWARC/1.1\r\n\r\nx".encode()
     digest = hashlib.sha1(payload).hexdigest()
-    got = warc_zip.parse_record(warc_zip.record_bytes(5, "http://x/\r\n y", payload, digest, None))
+    got = warc_zip.parse_record(warc_zip.record_bytes(5, "http://x/\r\n y", payload, digest, None, "0-1"))
     assert (got["page_id"], got["payload"], got["record_type"], got["refers_to"]) == (5, payload, "response", None) and got["url"] == "http://x/%0D%0A%20y"
-    got = warc_zip.parse_record(warc_zip.record_bytes(None, None, payload, digest, 9))
+    got = warc_zip.parse_record(warc_zip.record_bytes(None, None, payload, digest, 9, "0-2", None))
     assert (got["page_id"], got["payload_bytes"], got["payload_digest"], got["record_type"], got["refers_to"]) == (None, len(payload), digest, "revisit", 9)
     with pytest.raises(ValueError):
-        warc_zip.parse_record(warc_zip.record_bytes(5, "u", payload, "0" * 40, None))
+        warc_zip.parse_record(warc_zip.record_bytes(5, "u", payload, "0" * 40, None, "0-3"))
 
 
 def test_zip64_directory(monkeypatch):
@@ -88,3 +88,19 @@ def test_no_pages(spark):
     where = common.work_dir(spark, "test")
     warc_zip.write_archives(pages(spark, []), where)
     assert warc_zip.read_archives(spark, where).count() == 0
+
+
+def test_records_have_ids_of_their_own(spark, tmp_path, monkeypatch):
+    schema = "page_id long, url string, html string"
+    page = "x" * 2000
+    rows = [(1, "http://a", page), (1, "http://a", page), (2, "http://b", page), (None, None, page), (None, None, "short"), (None, "u", "short"), (3, "http://c", "y" * 1500), (4, None, "y" * 1500), (5, "http://d", "z" * 1200)]
+    pages = spark.createDataFrame(rows, schema).repartition(3)
+    seen = []
+    for k, most in enumerate((200_000, 0, 1)):
+        monkeypatch.setattr(warc_zip, "BROADCAST_GROUPS", most)
+        warc_zip.write_archives(pages, f"{tmp_path}/{k}")
+        got = warc_zip.read_archives(spark, f"{tmp_path}/{k}").collect()
+        assert len({r.record_id for r in got}) == len(rows)
+        seen.append(sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in got))
+    assert seen[0] == seen[1] == seen[2]
+    assert [r for r in seen[0] if r[2] == "revisit"] == [("1", 2000, "revisit", "2"), ("1", 2000, "revisit", "2"), ("3", 1500, "revisit", "4"), ("None", 2000, "revisit", "2")]

@@ -91,6 +91,26 @@ def tidy(operator):
     return run
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, values: list[str], times: str, most: int) -> DataFrame:
+    """``rows`` with the ``values`` of a written table (key, times, values), a row a key at most; null where it has none, or the key is.
+
+    A table of ``most`` rows is broadcast. Of a larger one those keys are that many rows share, ``most`` of them at most; other rows
+    meet theirs in a shuffle, in which rows that look for nothing go by a number of their own.
+    """
+    n, total = table.agg(F.count("*"), F.coalesce(F.sum(times), F.lit(0))).first()
+    told = lambda part, name: part.select(F.col(key).alias("_key"), F.struct(*values).alias(name))
+    if n <= most:
+        return rows.join(F.broadcast(told(table, "_told")), F.col(key) == F.col("_key"), "left").select(*rows.columns, *[F.col(f"_told.{v}").alias(v) for v in values])
+    often = F.col(times) > total // max(1, most)
+    hot, cold = told(table.where(often), "_hot"), told(table.where(~often), "_cold")
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").drop("_key")
+    looks = F.col("_hot").isNull() & F.col(key).isNotNull()
+    spread = F.when(looks, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    marked = marked.withColumns({"_spread": spread, "_look": F.when(looks, F.col(key)).otherwise("")})
+    found = marked.join(cold.withColumn("_zero", F.lit(0).cast("long")), (F.col("_look") == F.col("_key")) & (F.col("_spread") == F.col("_zero")), "left")
+    return found.select(*rows.columns, *[F.coalesce(f"_hot.{v}", f"_cold.{v}").alias(v) for v in values])
+
+
 def file_system(where: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder (local, hdfs, s3, gs) and the path within it. Works on any executor."""
     if "://" not in where and not where.startswith("file:"):

@@ -7,7 +7,7 @@ once as `` word word ... ``, and matches are mapped back to word numbers and to
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow.parquet as pq
@@ -20,11 +20,13 @@ from . import common
 WINDOW = 10
 #: Characters of benchmark text in one automaton (some 5 million nodes); more items are taken in blocks of about that size.
 BLOCK_CHARS = 500_000
+#: Characters of texts that a task holds against block after block, where there are several.
+PART_CHARS = 16_000_000
 
 #: A-Z to a-z, other ASCII bytes that are no part of a word to a space, bytes of other characters as they are.
 TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20) for b in range(256))
 
-RESULT = "row long, doc_id long, n_words long, n_hit long, n_items long, items array<string>, runs array<array<long>>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first_byte:long,end_byte:long>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,53 +122,73 @@ def _present(spark: SparkSession, where: str, n: int) -> list[int]:
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items (sorted ids), spans of hit passages (UTF-8 offsets).
-
-    Null texts, on either side, have no words. An empty benchmark hits nothing. Items without an id hit and count, each text as one,
-    but can't be listed. Repeated documents, and those of one doc_id, are scanned each; repeated items count once. Very long texts
-    are scanned whole. Windows that overlap or touch are one passage. A benchmark of more than about ``block_chars`` characters is
-    taken in blocks, each with an automaton of its own; blocks are scanned beside one another and joined by row.
+    """Per row of ``docs`` (doc_id, text, any more): doc_id, n_words, n_hit, n_items, items (sorted ids), spans of hit passages (UTF-8
+    offsets).
+
+    Null texts, on either side, have no words. An empty benchmark hits nothing, an empty table of documents gives none. Items without
+    an id hit and count, each text as one, but can't be listed. Repeated documents, and those of one doc_id, are scanned each; repeated
+    items count once. Very long texts are scanned whole. Windows that overlap or touch are one passage. Other columns of ``docs``,
+    whatever their names, aren't read. A benchmark of more than about ``block_chars`` characters is taken in blocks, each with an
+    automaton of its own; texts are read once, a task holding some of them against each block in turn.
     """
     common.bounded_batches(docs.sparkSession)
     where, n = _blocks(benchmark, block_chars)
     blocks = _present(docs.sparkSession, where, n)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if len(blocks) > 1:
-        # rows keep their numbers in all scans
-        rows = common.cut(rows, keep=True)
-    found = reduce(DataFrame.unionByName, [_scan(rows, where, block, width, k == 0) for k, block in enumerate(blocks or [-1])])
-    if len(blocks) > 1:
-        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
-        # (first word, end, first byte, end) in order: those that overlap or touch become one
-        last = lambda done: F.element_at(done, -1)
-        grown = lambda done, r: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last(done)[0], F.greatest(last(done)[1], r[1]), last(done)[2], F.greatest(last(done)[3], r[3]))))
-        step = lambda done, r: F.when((F.size(done) > 0) & (r[0] <= F.try_element_at(done, F.lit(-1))[1]), grown(done, r)).otherwise(F.concat(done, F.array(r)))
-        found = found.withColumn("runs", F.aggregate("runs", F.array().cast("array<array<bigint>>"), step))
-        found = found.withColumn("n_hit", F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0]))
-    spans = F.transform("runs", lambda r: F.struct(r[2].alias("first_byte"), r[3].alias("end_byte")))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items", spans.alias("spans"))
-
-
-def _scan(rows: DataFrame, where: str, block: int, width: int, every: bool) -> DataFrame:
-    """One block's hits: ``every`` row, or those that are hit. Block -1 has no items."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows = automaton(where, block, width) if block >= 0 else Windows([], width)
-        for batch in batches:
+        for part in _parts(batches, len(blocks)):
             out = []
-            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
-                words = words_of(text)
-                runs, who = windows.scan(words)
-                if every or who:
-                    spans = byte_spans(text, runs) if runs else []
-                    doc_id = None if pd.isna(doc_id) else int(doc_id)
-                    out.append((row, doc_id, len(words), sum(b - a for a, b in runs), len(who), sorted(i for known, i in who if known), [[*r, *s] for r, s in zip(runs, spans, strict=True)]))
-            frame = pd.DataFrame(out, columns=["row", "doc_id", "n_words", "n_hit", "n_items", "items", "runs"])
+            for text, (n_words, runs, who) in zip(part["text"], _overlaps(part["text"].tolist(), where, blocks, width), strict=True):
+                spans = byte_spans(text, runs) if runs else []
+                out.append((n_words, sum(b - a for a, b in runs), len(who), sorted(i for known, i in who if known), [{"first_byte": a, "end_byte": b} for a, b in spans]))
+            frame = pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items", "spans"])
+            frame.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
             yield frame.astype({"doc_id": "Int64"})
 
     return rows.mapInPandas(scan, RESULT)
 
 
+def _parts(batches: Iterator[pd.DataFrame], blocks: int) -> Iterator[pd.DataFrame]:
+    """Batches one by one, or, for several blocks, together up to PART_CHARS, so that an automaton is made for many texts."""
+    held, chars = [], 0
+    for batch in batches:
+        held.append(batch)
+        chars += int(batch["text"].str.len().fillna(0).sum()) if len(batch) else 0
+        if blocks <= 1 or chars >= PART_CHARS:
+            yield pd.concat(held, ignore_index=True)
+            held, chars = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _overlaps(texts: list[str | None], where: str, blocks: list[int], width: int) -> list[tuple[int, list[tuple[int, int]], set]]:
+    """(words, runs of hit words, items) of each text over all blocks; runs that overlap or touch are one. Words are made anew for each
+    block, so that of many texts only the texts are held."""
+    out: list[tuple[int, list[tuple[int, int]], set]] = []
+    for k, block in enumerate(blocks or [-1]):
+        windows = automaton(where, block, width) if block >= 0 else Windows([], width)
+        for at, text in enumerate(texts):
+            words = words_of(text)
+            runs, who = windows.scan(words)
+            if k == 0:
+                out.append((len(words), runs, who))
+            elif who:
+                n, before, others = out[at]
+                out[at] = n, _merged([*before, *runs]), others | who
+    return out
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with its columns, whatever their names.
 
@@ -176,27 +198,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_char
     common.bounded_batches(docs.sparkSession)
     where, n = _blocks(benchmark, block_chars)
     blocks = _present(docs.sparkSession, where, n)
-    if not blocks:
-        return docs
-    if len(blocks) == 1:
-        return docs.where(~_hits(where, blocks[0], width)(F.col("text").cast("string")))
-    row = "row"
-    while row in docs.columns:
-        row = f"_{row}"
-    rows = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), keep=True)
-    gone = reduce(DataFrame.union, [rows.where(_hits(where, block, width)(F.col("text").cast("string"))).select(row) for block in blocks])
-    return rows.join(gone.distinct(), row, "left_anti").select(*docs.columns)
-
-
-def _hits(where: str, block: int, width: int):
-    """Whether any window of the block's items occurs in a text."""
 
     def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        windows = automaton(where, block, width)
         for batch in batches:
-            yield pd.Series([bool(windows.scan(words_of(text))[1]) for text in batch], dtype=bool)
+            yield pd.Series([bool(who) for *_, who in _overlaps(batch.tolist(), where, blocks, width)], dtype=bool)
 
-    return F.pandas_udf(hit, "boolean")
+    return docs.where(~F.pandas_udf(hit, "boolean")(F.col("text").cast("string"))) if blocks else docs
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -278,10 +278,10 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
     dirs = found.select("dir").distinct().select("dir", F.explode(F.array_distinct(above)).alias("licence_dir"))
     licensed = F.broadcast(licensed) if licensed.count() <= BROADCAST_DIRS else licensed
+    files_in = found.groupBy("dir").agg(F.count("*").alias("files"))
     nearest = dirs.join(licensed, "licence_dir").groupBy("dir").agg(F.max_by(F.struct("licence_dir", "of", "near"), F.length("licence_dir")).alias("up"))
-    nearest = common.cut(nearest, keep=True)
-    nearest = F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRS else nearest
-    joined = found.join(nearest, "dir", "left")
+    nearest = common.cut(nearest.join(files_in, "dir"), keep=True)
+    joined = common.looked_up(found, nearest, "dir", ["up"], "files", BROADCAST_DIRS)
     own = F.col("licence").isNotNull()
     return joined.select(
         "doc_id", "path", F.coalesce("licence", "up.of").alias("licence"), F.when(own, F.col("cosine")).otherwise(F.col("up.near")).alias("cosine"),
@@ -289,8 +289,17 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     )
 
 
+def laid_out(docs: DataFrame) -> DataFrame:
+    """(doc_id, path, text) of a tree that ``documents`` don't have: a document lies in the folder of its number by 256, and there in that
+    of its number by 16. The first of a folder is the folder's licence file, by its name; whether it holds a licence is for the scan
+    to say."""
+    number = F.col("doc_id").cast("long")
+    wide, narrow = F.floor(number / 256).cast("string"), F.floor(number / 16).cast("string")
+    own = F.concat_ws("/", wide, narrow, F.when(number % 16 == 0, "LICENSE").otherwise(number.cast("string")))
+    place = F.when(number % 256 == 0, F.concat_ws("/", wide, F.lit("LICENSE"))).when(number.isNotNull(), own).otherwise("unknown")
+    return docs.select("doc_id", place.alias("path"), "text")
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents``, as files source/lang/doc_id."""
-    docs = common.table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")))
-    return scan_licences(docs.select("doc_id", path.alias("path"), "text"))
+    """All of ``documents``, as files number by 256/number by 16/number; the first of a folder is named LICENSE."""
+    return scan_licences(laid_out(common.table(spark, sf_dir, "documents")))

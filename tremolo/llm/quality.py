@@ -39,6 +39,8 @@ UNSEEN = 3
 BINS = 1000
 #: Ids or grams up to which a table of them is broadcast (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Languages up to which their table is broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Characters that a worker takes at a time; longer texts are taken in parts, each after the characters before it.
 BATCH_CHARS = 200_000
 #: Grams of the full order, and shorter ones with their terms, that are sent to the workers (16 and 24 bytes each).
@@ -399,10 +401,15 @@ def limits(scored: DataFrame) -> tuple[DataFrame, dict[str, float] | None]:
     drawn = lambda own, all_of: (F.col("n") * own + F.lit(PRIOR_DOCS * all_of)) / (F.col("n") + PRIOR_DOCS)
     means = known.groupBy("of").agg(F.count("*").alias("n"), (F.sum("nats") / F.sum("n_chars")).alias("own")).select("of", "n", drawn(F.col("own"), every["mean"]).alias("mean"))
     means = common.cut(means)
-    own = quantiles(known.join(F.broadcast(means), "of"), ["of"]).join(means, "of")
+    own = quantiles(known.join(_bounded(means), "of"), ["of"]).join(means, "of")
     return common.cut(own.select("of", drawn(F.col("low") - SLACK, every["low"]).alias("low"), drawn(F.col("high") + SLACK, every["high"]).alias("high"), "mean"), keep=True), every
 
 
+def _bounded(languages: DataFrame) -> DataFrame:
+    """A written table, a row a language; broadcast if it is small. ``lang`` is free text."""
+    return F.broadcast(languages) if languages.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else languages
+
+
 @common.tidy
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang, any more): doc_id, text_hash, lang, n_chars, score, perplexity, low, high, keep.
@@ -419,7 +426,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = common.cut(scored.join(ids, scored["doc_id"] == ids["trusted_id"], "left").select("doc_id", "text_hash", "lang", "n_chars", "nats", F.col("trusted_id").isNotNull().alias("trusted"), F.coalesce(unseen(), F.lit(False)).alias("unseen")), keep=True)
     table, every = limits(scored)
     own = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit(every[c] if every else None).cast("double"))
-    joined = scored.alias("s").join(F.broadcast(table).alias("own"), F.coalesce("s.lang", F.lit("")) == F.col("own.of"), "left").select("s.*", own("low").alias("low"), own("high").alias("high"), own("mean").alias("mean"))
+    joined = scored.alias("s").join(_bounded(table).alias("own"), F.coalesce("s.lang", F.lit("")) == F.col("own.of"), "left").select("s.*", own("low").alias("low"), own("high").alias("high"), own("mean").alias("mean"))
     joined = joined.withColumns({"score": shrunk(F.col("mean")), "perplexity": F.when(F.col("n_chars") > 0, F.exp(F.col("nats") / F.col("n_chars")))})
     keep = F.coalesce((F.col("n_chars") == 0) | F.col("score").between(F.col("low"), F.col("high")), F.lit(True))
     return joined.select("doc_id", "text_hash", "lang", "n_chars", "score", "perplexity", "low", "high", keep.alias("keep"))

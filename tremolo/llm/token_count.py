@@ -101,9 +101,11 @@ def counter(path: str, chunk: int, overlap: int) -> PieceCounter:
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_bytes, n_tokens, over_limit, and the chunks and widenings it took.
+    """Per row of ``docs`` (doc_id, text, any more): doc_id, n_bytes, n_tokens, over_limit, and the chunks and widenings it took.
 
-    Null texts count as empty: no bytes, no tokens. Repeated rows and null doc_ids come out as they come in.
+    Null texts count as empty: no bytes, no tokens. Very long texts are taken in chunks of ``chunk`` characters, with the same count as
+    the whole text has; texts of fewer are one chunk. Repeated rows and null doc_ids come out as they come in. An empty table gives
+    none; other columns, whatever their names, aren't read.
     """
     common.bounded_batches(docs.sparkSession)
 

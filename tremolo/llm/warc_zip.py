@@ -41,7 +41,7 @@ END, END64, END64_AT, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 DATE = "2000-01-01T00:00:00Z"
 
 MANIFEST = "archive string, n_records long, n_bytes long"
-RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string"
+RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, record_id string"
 
 
 @dataclass(frozen=True)
@@ -127,14 +127,15 @@ def _headers(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, body
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A WARC record: a response with its payload, or a revisit with the response's HTTP head alone."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, number: str, refers_url: str | None = None) -> bytes:
+    """A WARC record: a response with its payload, or a revisit with the response's HTTP head alone. ``number`` is the record's own, so
+    that pages of one id, or of none, have records of different ids; page ids stand in fields of their own."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {uri}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    target = lambda url, page: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page}"
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:record:{number}>", *([] if page_id is None else [f"{PAGE}: {page_id}"]), f"WARC-Target-URI: {target(url, page_id)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {target(refers_url, refers_to)}", f"WARC-Refers-To-Date: {DATE}", f"{REFERS}: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
@@ -148,8 +149,8 @@ def parse_record(data: bytes) -> dict:
     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
     if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(http["content-length"])):
         raise ValueError(f"{head['warc-record-id']}: payload and digest differ")
-    number = lambda uri: None if uri is None or uri == "<urn:page:None>" else int(uri.removeprefix("<urn:page:").removesuffix(">"))
-    return {"page_id": number(head["warc-record-id"]), "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": kind, "refers_to": number(head.get("warc-refers-to")), "url": head["warc-target-uri"], "payload": payload}
+    number = lambda field: None if field.lower() not in head else int(head[field.lower()])
+    return {"record_id": head["warc-record-id"], "page_id": number(PAGE), "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": kind, "refers_to": number(REFERS), "url": head["warc-target-uri"], "payload": payload}
 
 
 class Archive:
@@ -189,27 +190,32 @@ def pack(records: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+#: Fields of this archive's own: the page of a record, and the page whose record has the payload.
+PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
+
+
 @common.tidy
 def write_archives(pages: DataFrame, out_dir: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html, any more) into archives below ``out_dir``; their manifest.
 
     A null html is an empty payload, a null url gets a urn. Of equal payloads of ``revisit_bytes`` or more, the row with the
     largest page_id is the response, others revisit it; repeated rows of that page_id are responses all. Null page_ids count as
-    smaller than others; if a group has no other, its rows are responses. An empty table gives no archive.
+    smaller than others; if a group has no other, its rows are responses. Records of repeated rows have ids of their own. Very long
+    payloads are written whole, in an archive of their own if they have more bytes than one should. An empty table gives no archive;
+    other columns, whatever their names, aren't read.
     """
     spark = pages.sparkSession
     common.bounded_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.text_of("html").alias("html"))
     same = F.when(F.octet_length("html") >= revisit_bytes, F.sha2("html", 256))
-    groups = rows.select("page_id", same.alias("same")).where("same is not null").groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    groups = common.cut(groups)
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
-    # short payloads have no group: where groups are shuffled, these rows go by a number of their own instead of one null key
-    key = F.coalesce(same, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    rows = rows.withColumn("same", key).join(groups, "same", "left").drop("same").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).drop("first").withColumn("digest", F.sha1("html"))
+    every = rows.select("page_id", "url", same.alias("same")).where("same is not null").groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
+    groups = common.cut(every.where("n > 1").select("same", "n", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")))
+    rows = common.looked_up(rows.withColumn("same", same), groups, "same", ["first", "first_url"], "n", BROADCAST_GROUPS)
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
+    rows = rows.select("page_id", "url", "html", refers.alias("refers_to"), "first_url", F.sha1("html").alias("digest"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, held, size, number = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush() -> pd.DataFrame:
             name = f"pages-{part:06d}-{seq:05d}.wacz"
@@ -218,8 +224,9 @@ def write_archives(pages: DataFrame, out_dir: str, revisit_bytes: int = REVISIT_
 
         for batch in batches:
             whole = lambda c: [None if pd.isna(x) else int(x) for x in batch[c]]  # noqa: B023, E731
-            for page_id, url, html, refers_to, digest in zip(whole("page_id"), batch["url"], batch["html"], whole("refers_to"), batch["digest"], strict=True):
-                data = gzip.compress(record_bytes(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to), 3, mtime=0)
+            for page_id, url, html, refers_to, first_url, digest in zip(whole("page_id"), batch["url"], batch["html"], whole("refers_to"), batch["first_url"], batch["digest"], strict=True):
+                number += 1
+                data = gzip.compress(record_bytes(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to, f"{part}-{number}", first_url), 3, mtime=0)
                 if held and size + len(data) > archive_bytes:
                     yield flush()
                     seq, size, held = seq + 1, 0, []
@@ -233,7 +240,7 @@ def write_archives(pages: DataFrame, out_dir: str, revisit_bytes: int = REVISIT_
 
 
 def read_archives(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Per record of the archives below ``out_dir``: page_id, payload_bytes, payload_digest, record_type, refers_to, url, archive."""
+    """Per record of the archives below ``out_dir``: page_id, payload_bytes, payload_digest, record_type, refers_to, url, archive, record_id."""
     names = spark.read.parquet(f"{out_dir}/manifest").select("archive")
     names = names.repartition(max(1, min(names.count(), READERS)))
 

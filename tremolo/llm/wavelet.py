@@ -419,8 +419,9 @@ def encoder(path: str) -> WordEncoder:
 def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode ``docs`` (doc_id, text, any more) into shards below ``out_dir``, in ascending doc_id order; the manifest, a row a shard.
 
-    Null texts count as empty. Null doc_ids come first; rows of one doc_id stand in order of their texts' hashes. Repeated rows
-    are written as often as they come. An empty table gives no shard.
+    Null texts count as empty. Null doc_ids come first; rows of one doc_id stand in order of their texts' hashes, and may lie in any
+    number of tasks. Repeated rows are written as often as they come. Very long texts are encoded whole, a shard of their own if they
+    have more ids than a shard should. An empty table gives no shard; other columns, whatever their names, aren't read.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
@@ -456,7 +457,9 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         common.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # rows of one doc_id, or without any, are dealt on by their texts, and equal ones by their number
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("row").asc()]
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     rows.mapInPandas(write, MANIFEST).write.parquet(f"{out_dir}/manifest")
     return spark.read.parquet(f"{out_dir}/manifest")
 
