@@ -111,3 +111,12 @@ def identity_excluded(rows: DataFrame, instance: list[str], text: str, original_
     same = casefold(strip(F.col(text))) == casefold(strip(F.col(original_text)))
     made = rows.groupBy(*instance).agg(F.count("*").alias(m), F.count_if(same).alias("n_identical"))
     return made.withColumn("kept", F.col(m) - F.col("n_identical") >= min_m)
+
+
+def legacy_entropy(rows: DataFrame, cell: list[str], label: str) -> DataFrame:
+    """(cell, k, entropy) by the older rule, not the default: exact strings are the clusters, nulls one, and the scale is log2(k + 1)
+    for k predictions; 0 of one (STA-27)."""
+    counted = rows.groupBy(*cell, label).agg(F.count("*").alias("_n"))
+    made = counted.groupBy(*cell).agg(F.sum("_n").alias("k"), F.count("*").alias("_c"), F.sum(F.col("_n") * F.log2("_n")).alias("_nlogn"))
+    h = F.when(F.col("k") <= 1, F.lit(0.0)).otherwise(bits(F.col("k"), F.col("k"), F.col("_nlogn"), F.col("_c")) / F.log2(F.col("k") + 1))
+    return made.select(*cell, "k", h.alias("entropy"))

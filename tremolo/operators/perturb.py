@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions import scalar
+from ..params import UNASSIGNED
 
 
 def n_words(x: Column) -> Column:
@@ -187,3 +188,24 @@ def collisions(rows: DataFrame, changed: DataFrame, cell: list[str], variant: st
     joined = changed.join(siblings, cell).where((F.col("_v") != F.col(variant)) & (F.col("_l") == F.col(f"new_{label}")))
     hit = joined.select(*cell, variant).distinct().withColumn("collides", F.lit(True))
     return changed.join(hit, [*cell, variant], "left").withColumn("collides", F.coalesce("collides", F.lit(False)))
+
+
+def collision_effect(rows: DataFrame, cell: list[str], variant: str, before: str, after: str) -> DataFrame:
+    """(any_collision, direction, n): how many cells' entropy went up, down or lost its value, by whether a changed variant's new label
+    was already among its siblings' labels (COL-01). ``rows`` has each variant once, with both labels. All six rows are there."""
+    from .cuts import kept
+    from .entropy import label_entropy
+
+    clean = lambda c: F.when(scalar.is_blank(F.col(c)) | (scalar.strip(F.col(c)) == "nan"), UNASSIGNED).otherwise(scalar.strip(F.col(c)))
+    held, _ = kept(rows.select(*cell, F.col(variant).alias("_ord"), clean(before).alias("_b"), clean(after).alias("_a")))
+    h = [label_entropy(held, cell, label).select(*cell, F.col("normalised_entropy").alias(name)) for label, name in (("_b", "_hb"), ("_a", "_ha"))]
+    same = (F.coalesce("_hb", F.lit(-1.0)) - F.coalesce("_ha", F.lit(-1.0))).between(-1e-8, 1e-8)
+    direction = F.when(F.col("_ha") > F.col("_hb"), "up").when(F.col("_ha") < F.col("_hb"), "down").otherwise("undefined")
+    moved = h[0].join(h[1], cell).where(~same).select(*cell, direction.alias("direction"))
+    # a label that a sibling had before: it is there at all and the variant's own was another
+    labels = held.groupBy(*cell, "_b").agg(F.lit(True).alias("_there")).withColumnRenamed("_b", "_l")
+    changed = held.where(F.col("_b") != F.col("_a")).withColumnRenamed("_a", "_l")
+    hit = changed.join(labels, [*cell, "_l"]).select(*cell).distinct().withColumn("any_collision", F.lit(True))
+    counted = moved.join(hit, cell, "left").groupBy(F.coalesce("any_collision", F.lit(False)).alias("any_collision"), "direction").agg(F.count("*").alias("n"))
+    cells = rows.sparkSession.createDataFrame([(a, d) for a in (False, True) for d in ("up", "down", "undefined")], "any_collision boolean, direction string")
+    return cells.join(F.broadcast(counted), ["any_collision", "direction"], "left").select("any_collision", "direction", F.coalesce("n", F.lit(0)).alias("n"))

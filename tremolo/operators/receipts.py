@@ -141,6 +141,13 @@ def ledger(draft: DataFrame, computed: DataFrame, key: list[str], tolerance: flo
     return joined.withColumn("ok", F.coalesce(F.abs(F.col("draft") - F.col("computed")) <= tolerance, F.lit(False)))
 
 
+def curve_ledger(curve: DataFrame, stored: DataFrame, key: list[str], tolerance: float = 1e-4) -> DataFrame:
+    """Areas as stored against those of a stored curve (coverage, risk), by trapezoids: (key, draft, computed, ok) (RCP-13)."""
+    from .selective import aurc
+
+    return ledger(stored, aurc(curve, key).withColumnRenamed("aurc", "value"), key, tolerance)
+
+
 def order_flips(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """How often a value falls along an order (WIN-10)."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))

@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from .cuts import kept
+from .quantiles import quantiles
 from .receipts import ReceiptError
 
-#: The prompts of the question lane, with and without a context.
-CONTEXT_PROMPT = (
-    "Answer the question using only the context. Reply with a short answer span only. If the question is unanswerable from the context, reply with 'unanswerable'.\n\n",
-    "Context: ", "\n\n", "Question: ", "\n\n", "Answer:",
-)
-PLAIN_PROMPT = ("Answer the biomedical factoid question with a short exact answer only. Do not explain.\n\n", "Question: ", "\n\n", "Answer:")
+#: The prompts of the question lane, with and without a context, and that of the concept lane.
+CONTEXT_PROMPT = """Answer the question using only the context. Reply with a short answer span only. If the question is unanswerable from the context, reply with 'unanswerable'.
+
+Context: {context}
+
+Question: {question}
+
+Answer:"""
+PLAIN_PROMPT = """Answer the biomedical factoid question with a short exact answer only. Do not explain.
+
+Question: {question}
+
+Answer:"""
+CONCEPT_PROMPT = """Identify the primary medical concept in the following clinical text. Reply with only the concept name.
+
+Text: {text}"""
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with its named slots filled; null where a value is. What stands in a value is no slot."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
 def prompt(question: Column, context: Column) -> Column:
     """The question with its context, or alone where that is null or empty (STR-16)."""
-    a, b = [F.lit(x) for x in CONTEXT_PROMPT], [F.lit(x) for x in PLAIN_PROMPT]
-    return F.when(F.coalesce(context, F.lit("")) != "", F.concat(a[0], a[1], context, a[2], a[3], question, a[4], a[5])).otherwise(F.concat(b[0], b[1], question, b[2], b[3]))
+    return F.when(F.coalesce(context, F.lit("")) != "", filled(CONTEXT_PROMPT, context=context, question=question)).otherwise(filled(PLAIN_PROMPT, question=question))
+
+
+def concept_prompt(text: Column) -> Column:
+    """What asks for the concept of a text (STR-16)."""
+    return filled(CONCEPT_PROMPT, text=text)
 
 
 def rule_branch(path: Column) -> Column:
@@ -91,15 +115,59 @@ def negative_controls(entropy: DataFrame, model: str, value: str, most: float =
     return entropy.groupBy(model).agg(F.avg(value).alias("mean_identical")).withColumn("excluded", F.coalesce(F.col("mean_identical") > most, F.lit(False)))
 
 
+def quartiles(rows: DataFrame, by: list[str], accuracy: str, entropy: str, *more: str) -> DataFrame:
+    """Rows of the best and the worst quarter by accuracy, limits included, with ``side``; a row may be of both (STA-30)."""
+    used, _ = kept(rows.where(F.col(accuracy).isNotNull() & F.col(entropy).isNotNull()).select(*dict.fromkeys([*by, accuracy, entropy, *more])))
+    edges, _ = kept(quantiles(used, by, accuracy, [0.25, 0.75]).select(*[F.col(c).alias(f"_of_{c}") for c in by], "q"))
+    joined = used.join(F.broadcast(edges) if edges.limit(100_001).count() <= 100_000 else edges, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or F.lit(True))
+    sides = F.filter(F.array(F.when(F.col(accuracy) >= F.col("q")[1], "top"), F.when(F.col(accuracy) <= F.col("q")[0], "bottom")), lambda x: x.isNotNull())
+    return joined.withColumn("side", F.explode(sides)).drop("q", *[f"_of_{c}" for c in by])
+
+
 def quartile_contrast(rows: DataFrame, by: list[str], accuracy: str, entropy: str) -> DataFrame:
     """Mean entropy of the best and the worst quarter by accuracy, limits included, and their difference (STA-30)."""
-    used = rows.where(F.col(accuracy).isNotNull() & F.col(entropy).isNotNull())
-    edges = used.groupBy(*by).agg(F.percentile(accuracy, F.lit(0.75)).alias("_top"), F.percentile(accuracy, F.lit(0.25)).alias("_low"))
-    top, low = F.col(accuracy) >= F.col("_top"), F.col(accuracy) <= F.col("_low")
-    made = used.join(edges, by).groupBy(*by).agg(F.count_if(top).alias("n_top"), F.count_if(low).alias("n_bottom"), F.avg(F.when(top, F.col(entropy))).alias("mean_top"), F.avg(F.when(low, F.col(entropy))).alias("mean_bottom"))
+    top, low = F.col("side") == "top", F.col("side") == "bottom"
+    made = quartiles(rows, by, accuracy, entropy).groupBy(*by).agg(F.count_if(top).alias("n_top"), F.count_if(low).alias("n_bottom"), F.avg(F.when(top, F.col(entropy))).alias("mean_top"), F.avg(F.when(low, F.col(entropy))).alias("mean_bottom"))
     return made.withColumn("difference", F.col("mean_top") - F.col("mean_bottom"))
 
 
+def quartile_pairs(rows: DataFrame, by: list[str], accuracy: str, entropy: str, key: str, seed: str = "42") -> DataFrame:
+    """(by, d): differences of entropy, best quarter less worst, of arbitrary pairs (STA-30). Either side comes in the order of a hash of
+    its key, so the larger side is a sample without replacement of the smaller one's size, and both may be of any size."""
+    from .running import running
+
+    sided = quartiles(rows, by, accuracy, entropy, key).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), "side")))
+    placed = running(sided, [*by, "side"], [F.col("_h").asc(), F.col(key).asc()], {"_k": F.lit(1)})
+    side = lambda name: placed.where(F.col("side") == name).select(*[F.col(c).alias(f"_{name}_{c}") for c in by], F.col("_k").alias(f"_{name}_k"), F.col(entropy).alias(f"_{name}_e"))
+    top, low = side("top"), side("bottom")
+    same = [F.col(f"_top_{c}").eqNullSafe(F.col(f"_bottom_{c}")) for c in by] + [F.col("_top_k") == F.col("_bottom_k")]
+    return top.join(low, same).select(*[F.col(f"_top_{c}").alias(c) for c in by], (F.col("_top_e") - F.col("_bottom_e")).alias("d"))
+
+
+def group_figures(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(group_type, group_name, n, mean, median, sd, min, max, nonzero_count, nonzero_rate, pct_zero, pct_above) of a value by each key
+    alone (AGG-22, AGG-26). sd is 0 of one row; a value of up to 1e-12 is zero, above counts those over 0.20. Groups of any size."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("group_type"), F.col(k).cast("string").alias("group_name")) for k in keys]))
+    each, _ = kept(rows.where(F.col(value).isNotNull()).select(pairs.alias("_g"), F.col(value).cast("double").alias("_v")).select("_g.*", "_v"))
+    v, by = F.col("_v"), ["group_type", "group_name"]
+    made = each.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.count_if(v > 0).alias("nonzero_count"), F.avg((v > 0).cast("int")).alias("nonzero_rate"), (100 * F.avg((v <= 1e-12).cast("int"))).alias("pct_zero"), (100 * F.avg((v > 0.20).cast("int"))).alias("pct_above"),
+    )
+    medians = quantiles(each, by, "_v", [0.5]).select(F.col("group_type").alias("_t"), F.col("group_name").alias("_n"), F.col("q")[0].alias("median"))
+    joined = made.join(medians, F.col("group_type").eqNullSafe(F.col("_t")) & F.col("group_name").eqNullSafe(F.col("_n")))
+    return joined.select(*by, "n", "mean", "median", "sd", "min", "max", "nonzero_count", "nonzero_rate", "pct_zero", "pct_above")
+
+
+def bimodality(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, pct_zero, pct_middle, pct_above, persists): a spike at zero of 40 % or more, a tail above 0.20 of 15 % or more, and less
+    between 0.05 and 0.20 than in the tail (AGG-22)."""
+    v = F.col(value)
+    share = lambda c: 100 * F.avg(c.cast("int"))
+    made = rows.where(v.isNotNull()).groupBy(*by).agg(share(v <= 1e-12).alias("pct_zero"), share((v > 0.05) & (v <= 0.20)).alias("pct_middle"), share(v > 0.20).alias("pct_above"))
+    return made.withColumn("persists", (F.col("pct_zero") >= 40) & (F.col("pct_above") >= 15) & (F.col("pct_middle") < F.col("pct_above")))
+
+
 def exact_matches(queries: DataFrame, forms: DataFrame, text: str = "text") -> DataFrame:
     """(qid, cui) of concepts that have a query's text as a form, but for case and outer blanks (JOI-10). Blank texts match none."""
     key = lambda c: scalar.casefold(scalar.strip(F.col(c)))

@@ -125,15 +125,6 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("share", r(F.col("n") / F.sum("n").over(Window.partitionBy("model_name"))))
 
 
-@query("stacked_summaries", f"""with {s.DUAL}, x as (select *, split_part(instance_id, '-', 2) as week from dual where retained_m_distinct) select case when grouping(model_name) = 0 then 'model' when grouping(week) = 0 then 'week' else 'all' end as dimension, coalesce(model_name, week, 'all') as key, count(*) as n, round(avg(normalised_entropy_dedup), 9) as mean, round(quantile_cont(normalised_entropy_dedup, 0.5), 9) as median, round(max(normalised_entropy_dedup), 9) as max, round(avg((normalised_entropy_dedup > 0)::int), 9) as nonzero_rate from x group by grouping sets ((model_name), (week), ())""")
-def stacked_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-26, AGG-09, AGG-22: per model, per week and over all."""
-    rows = entropy.retained(entropy.dual_entropy(s.grid(spark, sf_dir), CELL)).withColumn("week", F.split_part("instance_id", F.lit("-"), F.lit(2)))
-    e = F.col("entropy")
-    made = rows.groupingSets([["model_name"], ["week"], []], "model_name", "week").agg(F.grouping("model_name").alias("_m"), F.grouping("week").alias("_w"), F.count("*").alias("n"), r(F.avg(e)).alias("mean"), r(F.percentile(e, F.lit(0.5))).alias("median"), r(F.max(e)).alias("max"), r(F.avg((e > 0).cast("int"))).alias("nonzero_rate"))
-    return made.select(F.when(F.col("_m") == 0, "model").when(F.col("_w") == 0, "week").otherwise("all").alias("dimension"), F.coalesce("model_name", "week", F.lit("all")).alias("key"), "n", "mean", "median", "max", "nonzero_rate")
-
-
 @query("zero_transition", f"with {s.DUAL} select z.raw_zero, z.dedup_zero, coalesce(t.n, 0) as n from (values (true, true), (true, false), (false, true), (false, false)) z(raw_zero, dedup_zero) left join (select is_zero, is_zero_dedup, count(*) as n from dual where retained_m_distinct group by all) t on z.raw_zero = t.is_zero and z.dedup_zero = t.is_zero_dedup")
 def zero_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-15: all four cells are there."""
