@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.cuts import file_system
+
 
 def _path(spark: SparkSession, where: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
@@ -97,6 +104,53 @@ def redacted(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.drop(*columns)
 
 
+#: Bytes of a file that a task holds while it hashes it.
+PART_BYTES = 8 << 20
+#: Tasks that hash files, at most.
+HASHERS = 1000
+
+
+def listed(system: pafs.FileSystem, root: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files below a folder, or the file itself, by name; none whose name begins with . or _."""
+    info = system.get_file_info(root)
+    if info.type == pafs.FileType.File:
+        return [(root, info.size)]
+    found = system.get_file_info(pafs.FileSelector(root, recursive=True))
+    return sorted((f.path, f.size) for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, n_bytes) of files, for freezing inputs (MTH-02, RCP-08). Each file must fit a task."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+    """(path, sha256, n_bytes) of a file or those below a folder, for freezing inputs (MTH-02, RCP-08). Each is read as a stream, so it
+    may be of any size; empty ones count too. Only names go through the driver."""
+    system, root = file_system(path)
+    scheme = path[: path.index(root)] if root in path else ""
+    names = spark.createDataFrame([(scheme + p,) for p, _ in listed(system, root)], "path string")
+    names = names.repartition(max(1, min(names.count(), HASHERS)))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name in batch["path"]:
+                system, where = file_system(name)
+                made, n = hashlib.sha256(), 0
+                with system.open_input_stream(where) as f:
+                    while part := f.read(PART_BYTES):
+                        made.update(part)
+                        n += len(part)
+                out.append((name, made.hexdigest(), n))
+            yield pd.DataFrame(out, columns=["path", "sha256", "n_bytes"])
+
+    return names.mapInPandas(digest, "path string, sha256 string, n_bytes long")
+
+
+def relative(hashes: DataFrame, root: str) -> DataFrame:
+    """Hashes with paths below a folder, so that a copy elsewhere compares."""
+    tail = re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/")) + "/"
+    return hashes.withColumn("path", F.element_at(F.split(F.col("path"), re.escape(tail), 2), -1))
+
+
+def frozen_changes(frozen: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, status) of a stored manifest against files as they are: same, changed, new or gone (RCP-08)."""
+    a, b = (m.select("path", F.col("sha256").alias(name)) for m, name in ((frozen, "_a"), (now, "_b")))
+    status = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "gone").when(F.col("_a") == F.col("_b"), "same").otherwise("changed")
+    return a.join(b, "path", "full").select("path", status.alias("status"))
