@@ -130,6 +130,23 @@ def test_predictors(spark):
     assert regress.cohen_f2(0.5, 0.4) == pytest.approx(0.2)
 
 
+def test_hot_values_are_told(spark, monkeypatch):
+    """Of a table beyond what is broadcast hot keys are told, others met: the same rows, whatever is null."""
+    from tremolo.operators import lookups
+
+    rows = spark.range(500).select(F.when(F.col("id") % 5 < 4, 0).when(F.col("id") % 25 < 20, F.col("id")).alias("k"), F.when(F.col("id") % 3 > 0, "g").alias("g"), "id")
+    table = spark.createDataFrame(rows.groupBy("g", "k").agg(F.count("*").alias("n"), F.max("id").alias("v")).where("v % 7 <> 1").collect(), "g string, k long, n long, v long")
+    each = lambda most: sorted(map(repr, lookups.looked_up(rows, table, ["g", "k"], ["v"], "n", most).collect()))
+    assert each(10**6) == each(3) == each(0) and len(each(3)) == 500
+    plan = lookups.looked_up(rows, table, ["g", "k"], ["v"], "n", 3)._jdf.queryExecution().toString()
+    assert "_spread" in plan
+    cell = spark.createDataFrame([("a", float(i % 4), float(i)) for i in range(60)] + [(None, None, 1.0)], "g string, x double, y double")
+    want = sorted(map(repr, selective.with_ranks(cell, ["g"], {"rx": "x", "ry": "y"}).collect()))
+    monkeypatch.setattr(lookups, "MOST_KEYS", 2)
+    got = selective.with_ranks(cell, ["g"], {"rx": "x", "ry": "y"}, 0)
+    assert sorted(map(repr, got.select("g", "x", "y", "rx", "ry", "_size").collect())) == want
+
+
 def test_ranges_give_what_windows_give(spark):
     """One cell with most rows, a null cell, tied scores: ranked, risk and rank operators agree whether cells are windows or ranges."""
     rows = spark.range(4000).select(

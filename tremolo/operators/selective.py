@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
 from .cuts import kept
+from .lookups import looked_up
 from .running import WINDOW_ROWS, running
 
 
@@ -85,17 +86,15 @@ def with_ranks(rows: DataFrame, cell: list[str], ranks: dict[str, str], window_r
     than once, so it should be a table; of one with more than ``window_rows``, each value's rank is taken once and joined back."""
     if rows.count() <= window_rows:
         return rows.withColumns({**{name: average_rank(F.col(c), cell) for name, c in ranks.items()}, "_size": F.count("*").over(Window.partitionBy(*cell))})
-    out = rows.join(rows.groupBy(*[F.col(c).alias(f"_of_{c}") for c in cell]).agg(F.count("*").alias("_size")), _same(cell)).drop(*[f"_of_{c}" for c in cell])
+    sizes, _ = kept(rows.groupBy(*cell).agg(F.count("*").alias("_size")))
+    out = looked_up(rows, sizes, cell, ["_size"], "_size")
     for name, column in ranks.items():
-        at = distinct_ranks(rows, cell, column, {}, window_rows).select(*[F.col(c).alias(f"_of_{c}") for c in [*cell, column]], F.col("_rank").alias(name))
-        out = out.join(at, _same([*cell, column])).drop(*[f"_of_{c}" for c in [*cell, column]])
+        # a value that most rows have, as zero entropy is, fills no task
+        at, _ = kept(distinct_ranks(rows, cell, column, {}, window_rows).select(*cell, column, "_n", F.col("_rank").alias(name)))
+        out = looked_up(out, at, [*cell, column], [name], "_n")
     return out
 
 
-def _same(columns: list[str]) -> Column | list[Column]:
-    return [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns] or F.lit(True)
-
-
 def rank_share(value: Column, cell: list[str], inverted: bool = False) -> Column:
     """Average rank over the cell's size; inverted, one less that (WIN-02). As one expression: a cell must fit a task; ``with_ranks`` asks no such thing."""
     share = average_rank(value, cell) / F.count("*").over(Window.partitionBy(*cell))
