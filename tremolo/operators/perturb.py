@@ -55,13 +55,22 @@ def synonym_variants(rows: DataFrame, key: list[str], text: str, mention: str, l
     return made.select(*key, "_text", variant.alias("variant")).where("variant != _text").select(*key, "variant").distinct()
 
 
+#: What a paraphrase without a model substitutes, as text and as words; and what a translation without one changes.
+PARAPHRASE_TEXTS = ((" is ", " remains "), (" was ", " remained "))
+PARAPHRASE_WORDS = (("shows", "demonstrates"), ("with", "accompanied by"))
+TRANSLATION_TEXTS = ((";", "."),)
+TRANSLATION_WORDS = (("which", "that"),)
+
+
+def _substituted(text: Column, texts: tuple[tuple[str, str], ...], words: tuple[tuple[str, str], ...]) -> list[Column]:
+    """The text with each substitution alone."""
+    return [*(F.replace(text, F.lit(a), F.lit(b)) for a, b in texts), *(F.regexp_replace(text, rf"(?U)\b{a}\b", b) for a, b in words)]
+
+
 def template_paraphrase(x: Column) -> Column:
     """The variants without a model: up to three by fixed substitutions, or the text itself (PRT-03)."""
     text = scalar.strip(F.coalesce(x, F.lit("")))
-    made = F.array(
-        F.replace(text, F.lit(" is "), F.lit(" remains ")), F.replace(text, F.lit(" was "), F.lit(" remained ")),
-        F.regexp_replace(text, r"(?U)\bshows\b", "demonstrates"), F.regexp_replace(text, r"(?U)\bwith\b", "accompanied by"),
-    )
+    made = F.array(*_substituted(text, PARAPHRASE_TEXTS, PARAPHRASE_WORDS))
     other = F.slice(F.filter(F.array_distinct(made), lambda v: (v != "") & (v != text)), 1, 3)
     return F.when(F.size(other) > 0, other).otherwise(F.array(text))
 
@@ -69,7 +78,7 @@ def template_paraphrase(x: Column) -> Column:
 def back_translated(x: Column, translated: Column | None = None) -> Column:
     """(variants, fallback): a translation there and back where a model gives one; else small changes, marked as fallback (PRT-04)."""
     text = scalar.strip(F.coalesce(x, F.lit("")))
-    small = F.array(F.regexp_replace(text, r"(?U)\s+", " "), F.replace(text, F.lit(";"), F.lit(".")), F.regexp_replace(text, r"(?U)\bwhich\b", "that"))
+    small = F.array(F.regexp_replace(text, r"(?U)\s+", " "), *_substituted(text, TRANSLATION_TEXTS, TRANSLATION_WORDS))
     back = F.coalesce(scalar.strip(translated), F.lit("")) if translated is not None else F.lit("")
     variants = F.when(back != "", F.array(back)).otherwise(F.array_distinct(F.filter(small, lambda v: v != "")))
     return F.struct(variants.alias("variants"), (back == "").alias("fallback"))

@@ -7,10 +7,11 @@ import json
 import zipfile
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cuts
+from ..operators import cuts, receipts
 from ..sources import annotated, readers, sinks
 from . import standins as s
 from .registry import query
@@ -127,3 +128,114 @@ def frozen_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda where: sinks.relative(sinks.file_hashes(spark, where), where).withColumn("path", F.split_part("path", F.lit("/"), F.lit(1))).where("path like 'n=%'")
     sinks.write_new(named(before), manifest)
     return sinks.frozen_changes(spark.read.parquet(manifest), named(after)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("discovered_files", """with f as (select n_nationkey, lower(n_name) || ['_corpus_pubtator.txt.gz', '_PubTator.tsv', '.txt', '.csv', '_st21pv.gz'][n_nationkey % 5 + 1] as name from nation) select name, case when lower(name) like '%.txt' then 1 else 0 end + case when contains(lower(name), 'pubtator') then 4 else 0 end + case when contains(lower(name), 'corpus') then 2 else 0 end + case when contains(lower(name), 'st21pv') then 2 else 0 end as score from f where not name like '%.csv' and not name like '%_PubTator.tsv'""")
+def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-06: likely files by their names; a pattern counts in its own case."""
+    where = cuts.folder(spark, "found")
+    endings = ["_corpus_pubtator.txt.gz", "_PubTator.tsv", ".txt", ".csv", "_st21pv.gz"]
+
+    def write(batches):
+        for batch in batches:
+            system, folder = cuts.file_system(where)
+            system.create_dir(folder, recursive=True)
+            for key, name in batch.itertuples(index=False):
+                with system.open_output_stream(f"{folder}/{name.lower()}{endings[key % 5]}", compression=None) as f:
+                    f.write(b"x")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    s.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return readers.discover(spark, where).select(F.element_at(F.split("path", "/"), -1).alias("name"), "score")
+
+
+@query("csv_header", "select (row_number() over () - 1)::int as place, column_name as name from (describe select p_partkey, p_name, p_brand from part)")
+def csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12: the columns of a table of files, from first lines alone."""
+    where = cuts.folder(spark, "header")
+    sinks.write_csv(s.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), where)
+    return spark.createDataFrame(list(enumerate(readers.header(spark, where))), "place int, name string")
+
+
+@query("quoted_answers", "select p_partkey as id, p_name || '|' || case when p_partkey % 2 = 0 then 'it''s ' || p_brand else p_brand end as answers from part")
+def quoted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-15: printed dicts of arrays in cells, with apostrophes within double quotes."""
+    second = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('"it\'s '), "p_brand", F.lit('"'))).otherwise(F.concat(F.lit("'"), "p_brand", F.lit("'")))
+    cell = F.concat(F.lit("{'text': array(['"), "p_name", F.lit("', "), second, F.lit("], dtype=object), 'answer_start': array([1, 2])}"))
+    rows = s.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cell.alias("c"))
+    return rows.select("id", F.array_join(F.filter(readers.quoted_answers("c"), lambda x: x != "object"), "|").alias("answers"))
+
+
+@query("candidate_labels", "select p_partkey as id, 'C' || p_size as cui, p_name as name from part")
+def candidate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-16."""
+    label = F.concat(F.when(F.col("p_partkey") % 3 == 0, "").otherwise("UMLS:"), F.lit("C"), F.col("p_size").cast("string"), F.lit("||"), "p_name")
+    return readers.candidate_labels(s.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("l")), "l").drop("l")
+
+
+@query("cached_table", "select p_brand, count(*) as n from part group by 1")
+def cached_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-17: made once; asked for again, it is read and what would make it isn't run."""
+    where = cuts.folder(spark, "cache")
+    readers.cached(spark, where, lambda: s.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")))
+    return readers.cached(spark, where, lambda: spark.range(0).selectExpr("'none' as p_brand", "id as n"))
+
+
+@query("refused_overwrite", "select count(*) as n_rows, true as refused from supplier")
+def refused_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-03: a second write to a folder is refused, and the first stays."""
+    where, rows = cuts.folder(spark, "new"), s.table(spark, sf_dir, "supplier")
+    sinks.write_new(rows, where)
+    try:
+        sinks.write_new(rows.limit(0), where)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(where).agg(F.count("*").alias("n_rows")).withColumn("refused", F.lit(refused))
+
+
+@query("run_receipt", "select c_mktsegment as kind, count(*) as n from customer group by 1 union all select 'seed', 42")
+def run_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-05, SNK-09: counts by kind and the seed in a JSON file put in place of an older one, read back."""
+    where = f"{cuts.folder(spark, 'receipt')}.json"
+    n = {r["c_mktsegment"]: r["count"] for r in s.table(spark, sf_dir, "customer").groupBy("c_mktsegment").count().collect()}
+    sinks.write_receipt(spark, where, {"seed": 0})
+    sinks.write_receipt(spark, where, {"seed": 42, "counts": n})
+    held = spark.read.option("multiLine", True).schema("seed long, counts map<string, long>").json(where)
+    return held.select(F.explode("counts").alias("kind", "n")).unionByName(held.select(F.lit("seed").alias("kind"), F.col("seed").alias("n")))
+
+
+@query("markdown_table", "with t as (select n_name as a, n_regionkey::varchar as b from nation), w as (select greatest(max(length(a)), 6) as x, greatest(max(length(b)), 6) as y from t), l as (select 1 as o, '| ' || rpad('nation', x::int, ' ') || ' | ' || rpad('region', y::int, ' ') || ' |' as line from w union all select 2, '|' || repeat('-', x::int + 2) || '|' || repeat('-', y::int + 2) || '|' from w union all select 2 + row_number() over (order by a), '| ' || rpad(a, x::int, ' ') || ' | ' || rpad(b, y::int, ' ') || ' |' from t, w) select (o - 1)::int as place, line from l")
+def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06."""
+    rows = s.table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), F.col("n_regionkey").alias("region")).orderBy("nation")
+    return spark.createDataFrame(list(enumerate(sinks.markdown(rows).split("\n"))), "place int, line string")
+
+
+@query("redacted_table", "select doc_id, lang, n_chars from documents")
+def redacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-07: no text, every row."""
+    return sinks.redacted(s.table(spark, sf_dir, "documents"), ["text", "source"])
+
+
+@query("row_receipt", "select count(*) as n_written, true as holds, true as told from lineitem")
+def row_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RCP-01: rows counted as they are written; a wrong expectation is an error."""
+    rows = s.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    watched, seen = receipts.counted(rows, "written")
+    sinks.write_new(watched, where := cuts.folder(spark, "counted"))
+    n = spark.read.parquet(where).count()
+    receipts.assert_rows(seen, n)
+    try:
+        receipts.assert_rows(seen, n + 1)
+        told = False
+    except receipts.ReceiptError:
+        told = True
+    return spark.createDataFrame([(n, True, told)], "n_written long, holds boolean, told boolean")
+
+
+@query("total_lookup", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
+def total_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOI-11: every order finds its customer, or the query fails."""
+    names = s.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return receipts.join_total(s.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), names, ["o_custkey"], "c_name").drop("o_custkey")
