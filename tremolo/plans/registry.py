@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import all modules that register queries."""
-    from . import analysis, concept_lane, corpora, grid_lane, quality, reports, summaries  # noqa: F401
+    from . import analysis, concept_lane, corpora, grid_lane, quality, reports, summaries, text_lane  # noqa: F401
