@@ -14,6 +14,8 @@ from .concept_lane import TOP, found, r
 from .quality import BARE, LINE
 from .registry import query
 
+#: A word in place of another, twice, as words beside one another share the blank between them.
+WORD_SQL = lambda x, a, b: f"regexp_replace(regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_]){a}($|[^\\p{{L}}\\p{{N}}_])', '\\1{b}\\2', 'g'), '(^|[^\\p{{L}}\\p{{N}}_]){a}($|[^\\p{{L}}\\p{{N}}_])', '\\1{b}\\2', 'g')"
 SQUEEZED = lambda x: BARE(LINE(x))
 MADE_OUTPUTS = f"{s.TURNS}, mo as (select conv_id, turn, case turn % 5 when 0 then '<s>[INST] ' || gold || ' [/INST] Answer: \"' || pred || '\"' when 1 then '  ' || pred || '</s>' when 2 then 'Concept: ' || pred || '.' when 3 then 'I think the primary medical concept here is: ' || pred || '..' else '' end as out from qa)"
 
@@ -156,7 +158,7 @@ def normal_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("template_paraphrases", f"""with {s.TURNS}, t as (select conv_id, turn, {BARE("case when turn % 3 = 0 then 'It is said with care: ' || pred else pred end")} as x from qa),
-v as (select conv_id, turn, x, list_filter([replace(x, ' is ', ' remains '), replace(x, ' was ', ' remained '), regexp_replace(x, '(^|[^\\p{{L}}\\p{{N}}_])shows($|[^\\p{{L}}\\p{{N}}_])', '\\1demonstrates\\2', 'g'), regexp_replace(x, '(^|[^\\p{{L}}\\p{{N}}_])with($|[^\\p{{L}}\\p{{N}}_])', '\\1accompanied by\\2', 'g')], lambda y: y <> '' and y <> x) as l from t)
+v as (select conv_id, turn, x, list_filter([replace(x, ' is ', ' remains '), replace(x, ' was ', ' remained '), {WORD_SQL('x', 'shows', 'demonstrates')}, {WORD_SQL('x', 'with', 'accompanied by')}], lambda y: y <> '' and y <> x) as l from t)
 select conv_id, turn, case when len(l) > 0 then md5(array_to_string(l[1:3], '|')) else md5(x) end as variants from v""")
 def template_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRT-03 without a model."""
@@ -165,7 +167,7 @@ def template_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("back_translations", f"""with {s.TURNS}, t as (select conv_id, turn, pred, {BARE("pred || '; which  ends'")} as x from qa) select conv_id, turn, turn % 4 <> 0 as fallback,
-  case when turn % 4 = 0 then md5({BARE("'back ' || pred")}) else md5({LINE('x')} || '|' || replace(x, ';', '.') || '|' || regexp_replace(x, '(^|[^\\p{{L}}\\p{{N}}_])which($|[^\\p{{L}}\\p{{N}}_])', '\\1that\\2', 'g')) end as variants from t""")
+  case when turn % 4 = 0 then md5({BARE("'back ' || pred")}) else md5({LINE('x')} || '|' || replace(x, ';', '.') || '|' || {WORD_SQL('x', 'which', 'that')}) end as variants from t""")
 def back_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRT-04: a translation where there is one, else small changes that are marked."""
     back = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("back "), "pred"))
