@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tremolo.llm import common, decontaminate, mixing, near_dedup, quality, wavelet
 
+from .test_mixing import level
 from .test_near_dedup import classes
 
 
@@ -35,17 +38,31 @@ def test_stages_against_brute_force(spark, sf):
 
     table = spark.createDataFrame(third, docs.schema)
     fourth = corpus_pipeline.mix_sources(spark, table, sf)
-    assert fourth.columns == docs.columns and {r.doc_id for r in fourth.collect()} <= {r.doc_id for r in third}
+    assert fourth.columns == docs.columns and Counter(r.doc_id for r in fourth.collect()) == mixed(third)
 
     last = corpus_pipeline.write_tokens(spark, fourth, sf).orderBy("start").collect()
     library = wavelet.encoder(public_tokenizers.path("word_bpe_49k.json")).library
     texts = {r.doc_id: r.text for r in third}
     assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in fourth.collect())
-    for row in last[:20]:
+    for row in last:
         ids = [*library.encode(texts[row.doc_id], add_special_tokens=False).ids, 1]
         assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def mixed(rows):
+    """How often each document is taken: floor(rate), and once more if the number drawn from its id is under the fraction."""
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += size[r.doc_id]
+    target, out = level(dict(sizes)), Counter()
+    for r in rows:
+        rate = target[r.source] / sizes[r.source] if sizes[r.source] else 0.0
+        drawn = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        out[r.doc_id] = int(rate) + (drawn < rate - int(rate))
+    return +out
+
+
 def _hit(text, items):
     windows = {w for _, t in items for w in decontaminate.windows_of(decontaminate.words_of(t))}
     line = b" " + b" ".join(decontaminate.words_of(text)) + b" "

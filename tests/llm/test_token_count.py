@@ -35,3 +35,12 @@ def test_query_columns(spark, make_docs):
     assert sorted((r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 4096) for r in got) and sum(r.doc_id is None for r in got) == 1
     assert token_count.count_tokens(make_docs([]), PATH).count() == 0
+
+
+def test_real_texts_through_small_chunks(spark):
+    """The query's own texts, all of them in chunks, though few are long enough for that in production."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_count.count_tokens(docs, PATH).collect()}
+    parts = token_count.count_tokens(docs, PATH, chunk=300, overlap=24).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in parts} == whole
+    assert sum(r.n_chunks > 1 for r in parts) > 900
