@@ -44,6 +44,15 @@ def test_recall_and_completion(spark):
     assert got(ivf.search(index, queries, 10, n=2, exact=True)) == want
 
 
+def test_probes_are_chosen_by_measured_recall(spark):
+    x, q, forms, queries = made(spark, 1200, 12, 50, 5, clusters=1)
+    index = ivf.build(forms, cells=30)
+    n = ivf.probes_for(index, queries, 10, 0.9)
+    share = lambda n: len({(a, b) for a, b, _, _ in got(ivf.search(index, queries, 10, n=n))} & {(a, b) for a, b, _, _ in brute(x, q, 10)}) / 500
+    assert 1 < n <= 30 and share(n) >= 0.9 > share(n - 1)
+    assert ivf.probes_for(index, queries.limit(0), 10) == ivf.PROBES
+
+
 @pytest.mark.parametrize("copies", [0, 400])
 def test_cells_in_parts(spark, monkeypatch, copies):
     x, q, forms, queries = made(spark, 700, 5, 60, 2, copies=copies)

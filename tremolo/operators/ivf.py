@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cuts import kept
-from .retrieval import SCORED, best, top_of_block
+from .retrieval import SCORED, best, top_of_block, topk
 
 #: Rows that the cells are fitted on, at most: those with the smallest hashes of their form_ids. Every row is indexed.
 SAMPLE_ROWS = 65_536
@@ -124,6 +124,26 @@ def open_cells(index: Index, queries: DataFrame, n: int) -> DataFrame:
     return queries.mapInPandas(pick, f"query_id long, vector {dict(queries.dtypes)['vector']}, cell long")
 
 
+def probes_for(index: Index, queries: DataFrame, k: int, recall: float = 0.95, sample: int = 64) -> int:
+    """The cells to ask for so that ``recall`` of the k best are in them, measured on at most ``sample`` queries (those of the smallest
+    hashes) against a scan of all forms. Where neighbours lie in many cells, as in noise, that is most of the index."""
+    some = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    asked = {r.query_id: r.vector for r in some.collect()}
+    if not asked:
+        return PROBES
+    exact = topk(some, index.table.select("form_id", "vector"), k).select("query_id", "form_id")
+    # k rows a sampled query
+    pairs = exact.join(index.table.select("form_id", "cell"), "form_id").select("query_id", "cell").collect()
+    names = list(asked)
+    likes = np.array([asked[n] for n in names], np.float64) @ index.centres.T
+    likes[:, index.rows == 0] = -np.inf
+    place = np.empty(likes.shape, np.int64)
+    np.put_along_axis(place, np.argsort(-likes, axis=1, kind="stable"), np.broadcast_to(np.arange(likes.shape[1]), likes.shape), axis=1)
+    at = {n: i for i, n in enumerate(names)}
+    needed = np.sort([place[at[r.query_id], r.cell] + 1 for r in pairs])
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
+
 def within(index: Index, asked: DataFrame, k: int, part_rows: int = PART_ROWS, part_queries: int = PART_QUERIES) -> DataFrame:
     """(query_id, form_id, score): the k best of each asked cell's parts. A cell of many forms or queries is a grid of parts, a pair
     of parts a task, so that none grows with the hottest cell."""
