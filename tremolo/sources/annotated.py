@@ -238,7 +238,7 @@ def mentions(block: str) -> Iterator[tuple]:
     if found["t"] is None:
         return
     text = f"{found['t'][2]} {found['a'][2] if found['a'] else ''}"
-    number = lambda s: int(s) if re.fullmatch(r"\s*[+-]?\d+\s*", s) else None
+    number = lambda s: int(s) if re.match(r"\s*[+-]?\d+\s*\Z", s) else None
     for f in (line.split("\t") for line in lines):
         if len(f) >= 6:
             yield found["t"][1], text, number(f[1]), number(f[2]), f[3], f[4], f[5].removeprefix("UMLS:")
